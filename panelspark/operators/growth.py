@@ -180,6 +180,7 @@ def status_transition_rates(
     axis: str,
     t: str,
     gap: int,
+    last_t: int,
     axis_gap: int | None = None,
     never: str = "never",
     current: str = "current",
@@ -191,13 +192,12 @@ def status_transition_rates(
     """Yearly initiation and cessation of each cohort between two cross-sections.
 
     Every state grows at its own rate; ``ex_rate_from='never'`` lets the ex state
-    grow at the rate of the never state, as the published estimates do. Cells of
-    the first year without a later partner get rates of zero.
+    grow at the rate of the never state, as the published estimates do. A cell
+    without a later partner gets rates of zero; pairs end at ``last_t``.
     """
     cols = [never, current, ex]
-    last = df.agg(F.max(t).alias("m"))
     d = cohort_join(df.select(*keys, axis, t, *cols), keys, axis, t, gap, cols, axis_gap, "_2", how="left")
-    d = d.filter(F.col(t) <= last.scalar() - gap)
+    d = d.filter(F.col(t) <= last_t - gap)
     g = {c: clamp(growth_rate(c, c + "_2", gap), None, 1, None, growth_cap) for c in cols}
     d = d.withColumns({"_gn": g[never], "_gc": g[current], "_ge": g[ex]})
     ex_rate = "_gn" if ex_rate_from == never else "_ge"
