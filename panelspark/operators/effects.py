@@ -297,7 +297,7 @@ def relative_risk_reduction(
         .groupBy(*dict.fromkeys([*matrix_keys, *risk_keys]), F.col(origin).alias(category))
         .agg(F.sum(F.col(weight) * F.col(rr)).alias("_after"))
     )
-    both = list(dict.fromkeys([*matrix_keys, *risk_keys]))
+    both = [k for k in dict.fromkeys([*matrix_keys, *risk_keys]) if k in shares.columns]
     table = after.join(risk.select(*risk_keys, category, rr), [*risk_keys, category])
     joined = shares.join(table, [*both, category])
     return joined.groupBy(*keys).agg(

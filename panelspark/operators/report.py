@@ -116,7 +116,8 @@ def prevalence_total(
     pop: DataFrame, shares: DataFrame, on: list[str], keys: list[str], share: str = "current", people: str = "pop", per: float = 100.0
 ) -> DataFrame:
     """People in a category and their part of the population."""
-    d = pop.join(shares.select(*on, share), on).filter(F.col(people).isNotNull() & F.col(share).isNotNull())
+    own = [k for k in keys if k in shares.columns and k not in on]
+    d = pop.join(shares.select(*on, *own, share), on).filter(F.col(people).isNotNull() & F.col(share).isNotNull())
     return d.groupBy(*keys).agg(
         F.sum(F.col(people) * F.col(share) / F.lit(per)).alias("cases"), F.sum(people).alias("population")
     ).withColumn("rate", ratio("cases", "population"))

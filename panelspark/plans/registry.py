@@ -62,7 +62,7 @@ CAUSE_ROWS = CELLS + """, cause_rows AS (
 
 RATES = CAUSE_ROWS + """, rates AS MATERIALIZED (
   SELECT location, sex, age, year, cause,
-         100e0 + 10e0 * CAST(tot AS DOUBLE) AS nx,
+         (100e0 + 10e0 * CAST(tot AS DOUBLE)) / 7.3e0 AS nx,
          (n + 1e0) / (tot + 3e0) * 0.1e0 AS prev_rate,
          (n + 1e0) / (tot + 3e0) * 0.01e0 AS dis_mx,
          0.02e0 AS all_mx,

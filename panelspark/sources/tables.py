@@ -68,7 +68,7 @@ def rate_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = (n + 1.0) / (tot + 3.0)
     return cause_rows(cells(spark, sf_dir)).select(
         "location", "sex", "age", "year", "cause",
-        (F.lit(100.0) + F.lit(10.0) * tot).alias("nx"),
+        ((F.lit(100.0) + F.lit(10.0) * tot) / 7.3).alias("nx"),
         (share * 0.1).alias("prev_rate"),
         (share * 0.01).alias("dis_mx"),
         F.lit(0.02).alias("all_mx"),
