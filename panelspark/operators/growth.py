@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.constants import ALL_CAUSES, GROWTH_CAP, PER, TRANSITION_CAP
-from panelspark.functions.scalars import clamp, growth_rate, mean_of, open_ratio, ratio
+from panelspark.functions.scalars import clamp, growth_rate, mean_of, no_nan, open_ratio, ratio
 from panelspark.operators.joins import cohort_join, duplicate_error, with_values
 
 
@@ -137,43 +137,48 @@ def disease_transition_rates(
     """
     values = ["prev", "prev_rate", "death", "death_rate"]
     both = cohort_join(df.select(*keys, part, axis, t, *values), [*keys, part], axis, t, gap, values, axis_gap, "_2")
-    cell = [*keys, axis, t]
-    totals = both.filter(F.col(part) == total_label).select(
-        *cell, *[F.col(c + s).alias(f"all_{c}{s}") for c in ("death", "death_rate") for s in ("", "_2")]
-    )
-    d = both.filter(F.col(part) != total_label).join(totals, cell)
+    cell = W.partitionBy(*keys, axis, t)  # as many rows as there are parts
+    d = both.withColumn("_all", F.max(F.when(F.col(part) == total_label, F.struct("death", "death_2"))).over(cell))
+    d = d.filter((F.col(part) != total_label) & F.col("_all").isNotNull())
     d = d.withColumns({
         "_pop1": open_ratio("death", "death_rate") * F.lit(float(per)),
         "_pop2": open_ratio("death_2", "death_rate_2") * F.lit(float(per)),
     })
     d = d.withColumns({
-        "_well1": F.col("_pop1") - F.col("prev") - F.col("all_death"),
-        "_well2": F.col("_pop2") - F.col("prev_2") - F.col("all_death_2"),
+        "_well1": F.col("_pop1") - F.col("prev") - F.col("_all.death"),
+        "_well2": F.col("_pop2") - F.col("prev_2") - F.col("_all.death_2"),
     })
+    d = d.withColumns({"_ws1": open_ratio("_well1", "_pop1"), "_ws2": open_ratio("_well2", "_pop2")})
+    d = d.withColumns({
+        "_gw": growth_rate("_ws1", "_ws2", gap),
+        "_gs": growth_rate("prev_rate", "prev_rate_2", gap),
+        "_gd": growth_rate("death_rate", "death_rate_2", gap),
+    }).withColumns({g: clamp(g, 0, 1, 0, growth_cap) for g in ("_gs", "_gd")})
+    steps = range(1, gap + 1)
     d = d.withColumns({
-        "_gw": growth_rate(open_ratio("_well1", "_pop1"), open_ratio("_well2", "_pop2"), gap),
-        "_gs": clamp(growth_rate("prev_rate", "prev_rate_2", gap), 0, 1, 0, growth_cap),
-        "_gd": clamp(growth_rate("death_rate", "death_rate_2", gap), 0, 1, 0, growth_cap),
+        f"{name}{k}": _step(v, g, k) for name, v, g in (("_s", "prev", "_gs"), ("_d", "death", "_gd"), ("_w", "_well1", "_gw")) for k in steps
     })
-    steps = range(2, gap + 1)
-    incidence = mean_of([
-        open_ratio(
-            _step("prev", "_gs", k) - (_step("prev", "_gs", k - 1) - _step("death", "_gd", k)),
-            _step("_well1", "_gw", k - 1),
-        )
-        for k in steps
-    ])
-    fatality = mean_of([open_ratio(_step("death", "_gd", k), _step("prev", "_gs", k - 1)) for k in steps])
-    return d.select(
+    return _mean_rates(
+        d, {
+            "ir": [open_ratio(F.col(f"_s{k}") - (F.col(f"_s{k - 1}") - F.col(f"_d{k}")), f"_w{k - 1}") for k in steps[1:]],
+            "cf": [open_ratio(f"_d{k}", f"_s{k - 1}") for k in steps[1:]],
+        },
+    ).select(
         *keys,
         part,
         axis,
         (F.col(t) + gap).cast("int").alias(t),
-        clamp(incidence, 0, 1, 0, rate_cap, 0.0).alias("ir"),
-        clamp(fatality, None, 1, None, rate_cap, 0.0).alias("cf"),
+        clamp("ir", 0, 1, 0, rate_cap, 0.0).alias("ir"),
+        clamp("cf", None, 1, None, rate_cap, 0.0).alias("cf"),
     )
 
 
+def _mean_rates(d: DataFrame, terms: dict[str, list[Column]]) -> DataFrame:
+    """Means of yearly terms, in stages so that no expression is repeated inside another."""
+    d = d.withColumns({f"_{n}{i}": no_nan(x) for n, xs in terms.items() for i, x in enumerate(xs)})
+    return d.withColumns({n: mean_of([F.col(f"_{n}{i}") for i in range(len(xs))]) for n, xs in terms.items()})
+
+
 def status_transition_rates(
     df: DataFrame,
     keys: list[str],
@@ -198,23 +203,25 @@ def status_transition_rates(
     cols = [never, current, ex]
     d = cohort_join(df.select(*keys, axis, t, *cols), keys, axis, t, gap, cols, axis_gap, "_2", how="left")
     d = d.filter(F.col(t) <= last_t - gap)
-    g = {c: clamp(growth_rate(c, c + "_2", gap), None, 1, None, growth_cap) for c in cols}
-    d = d.withColumns({"_gn": g[never], "_gc": g[current], "_ge": g[ex]})
+    grown = {never: "_gn", current: "_gc", ex: "_ge"}
+    d = d.withColumns({g: growth_rate(c, c + "_2", gap) for c, g in grown.items()})
+    d = d.withColumns({g: clamp(g, None, 1, None, growth_cap) for g in grown.values()})
     ex_rate = "_gn" if ex_rate_from == never else "_ge"
-    steps = range(2, gap + 1)
-    initiation = mean_of([
-        open_ratio(
-            _step(current, "_gc", k) - (_step(current, "_gc", k - 1) - _step(ex, ex_rate, k)), _step(never, "_gn", k - 1)
-        )
-        for k in steps
-    ])
-    cessation = mean_of([open_ratio(_step(ex, ex_rate, k), _step(current, "_gc", k - 1)) for k in steps])
-    return d.select(
+    steps = range(1, gap + 1)
+    d = d.withColumns({
+        f"{name}{k}": _step(v, g, k) for name, v, g in (("_n", never, "_gn"), ("_c", current, "_gc"), ("_e", ex, ex_rate)) for k in steps
+    })
+    return _mean_rates(
+        d, {
+            "init": [open_ratio(F.col(f"_c{k}") - (F.col(f"_c{k - 1}") - F.col(f"_e{k}")), f"_n{k - 1}") for k in steps[1:]],
+            "cess": [open_ratio(f"_e{k}", f"_c{k - 1}") for k in steps[1:]],
+        },
+    ).select(
         *keys,
         axis,
         (F.col(t) + gap).cast("int").alias(t),
-        clamp(initiation, 0, 1, 0, rate_cap, 0.0).alias("init"),
-        clamp(cessation, 0, 1, 0, rate_cap, 0.0).alias("cess"),
+        clamp("init", 0, 1, 0, rate_cap, 0.0).alias("init"),
+        clamp("cess", 0, 1, 0, rate_cap, 0.0).alias("cess"),
     )
 
 
