@@ -28,7 +28,8 @@ def ratio(a: Column | str, b: Column | str) -> Column:
 def open_ratio(a: Column | str, b: Column | str) -> Column:
     """a / b where x/0 is infinite with the sign of x and 0/0 is NULL."""
     a, b = col(a).cast("double"), col(b).cast("double")
-    return F.when(b != 0, F.try_divide(a, b)).when(a > 0, F.lit(INF)).when(a < 0, F.lit(-INF))
+    zero = b == 0
+    return F.when(b != 0, F.try_divide(a, b)).when(zero & (a > 0), F.lit(INF)).when(zero & (a < 0), F.lit(-INF))
 
 
 def growth_rate(first: Column | str, last: Column | str, years: int) -> Column:

@@ -111,7 +111,9 @@ def measures_wide(
 
 
 def _step(value: str, rate: str, k: int) -> Column:
-    """Value at step k (1 is the start) under constant growth."""
+    """Value at step k under constant growth; step 1 is the start, whatever the rate."""
+    if k == 1:
+        return F.col(value)
     return F.col(value) * F.pow(F.lit(1.0) + F.col(rate), F.lit(float(k - 1)))
 
 

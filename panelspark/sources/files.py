@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.functions.scalars import no_nan, recode
@@ -45,15 +47,18 @@ def read_sheet_csv(spark: SparkSession, path: str, first_header: str, keep: dict
     The header is the row whose first cell is ``first_header``; data rows have a
     number there. ``keep`` maps headers to names; year columns become 'y<year>'.
     """
-    raw = spark.read.csv(path, header=False, escape='"', nullValue="NA")
-    head = raw.filter(F.col("_c0") == first_header).first()
-    if head is None:
+    line = spark.read.text(path).filter(F.col("value").startswith(first_header + ",") | F.col("value").startswith(f'"{first_header}",')).first()
+    if line is None:
         raise ValueError(f"no header row starting with {first_header}")
+    head = next(csv.reader([line.value]))
+    # The lines of text may have fewer cells, so the width comes from the header.
+    layout = ", ".join(f"_c{i} string" for i in range(len(head)))
+    raw = spark.read.schema(layout).csv(path, header=False, escape='"', nullValue="NA")
     cols = []
     for place, title in zip(raw.columns, head):
         if title in keep:
             cols.append(F.col(place).alias(keep[title]))
-        elif title is not None and title.replace(".0", "").isdigit():
+        elif title.replace(".0", "").isdigit():
             cols.append(F.col(place).alias("y" + title.replace(".0", "")))
     return raw.filter(F.col("_c0").try_cast("double").isNotNull()).select(*cols)
 
