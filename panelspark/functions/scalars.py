@@ -168,5 +168,13 @@ def values_of(name: str, values: list) -> Column:
 
 
 def bind(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside a lambda body."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """Evaluate ``value`` once and use it several times inside a lambda body.
+
+    A fold over nothing: the start value goes straight to the finishing lambda.
+    """
+    return F.aggregate(F.array(), value, lambda acc, _: acc, body)
+
+
+def floor0(x: Column) -> Column:
+    """max(0, x) that keeps NULL, for use inside lambdas."""
+    return bind(x, lambda v: F.when(v < 0, F.lit(0.0)).otherwise(v))

@@ -13,15 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.constants import TRANSITION_CAP
-from panelspark.functions.scalars import bind
+from panelspark.functions.scalars import bind, floor0
 from panelspark.operators.joins import duplicate_error
 
 
-def _floor0(x: Column) -> Column:
-    """max(0, x) that keeps NULL."""
-    return F.when(x < 0, F.lit(0.0)).otherwise(x)
-
-
 def _roles(df: DataFrame, keys: list[str], axis: str, t: str, first_t: int, axis_range: tuple[int, int], self_always: bool):
     """Each row twice: as a cell of its own cohort and as the rates of the cohort one year younger.
 
@@ -83,26 +78,23 @@ def roll_composition(
     cohorts = cells.groupBy(*keys, "_b").agg(
         F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), "n", "c", "e", "i", "q", "own_init", "own_cess"))).alias("s")
     )
-    fields = "struct<t:int,n:double,c:double,e:double,init:double,cess:double>"
+    def state(t, n, c, e, i, q):
+        return F.struct(t.alias("t"), n.alias("n"), c.alias("c"), e.alias("e"), i.alias("init"), q.alias("cess"))
+    # The cast makes the type of the history nullable: a gap adds a NULL.
     start = bind(
         F.get(F.col("s"), F.lit(0)),
-        lambda s: F.array(
-            F.struct(s["t"].alias("t"), s["n"].alias("n"), s["c"].alias("c"), s["e"].alias("e"),
-                     s["own_init"].alias("init"), s["own_cess"].alias("cess")).cast(fields)
-        ),
-    )
+        lambda s: F.array(state(s["t"], s["n"], s["c"], s["e"], s["own_init"], s["own_cess"])),
+    ).cast("array<struct<t:int,n:double,c:double,e:double,init:double,cess:double>>")
     def step(out: Column, s: Column) -> Column:
         def move(p: Column) -> Column:
-            ok = s["t"] == p["t"] + 1
-            new = F.struct(
-                s["t"].alias("t"),
-                _floor0(p["n"] * (F.lit(1.0) - s["i"])).alias("n"),
-                _floor0(p["c"] * (F.lit(1.0) - s["q"]) + p["n"] * s["i"]).alias("c"),
-                _floor0(p["c"] * s["q"] + p["e"]).alias("e"),
-                s["own_init"].alias("init"),
-                s["own_cess"].alias("cess"),
-            ).cast(fields)
-            return F.when(ok, new)
+            ok = (s["t"] == p["t"] + 1) & s["i"].isNotNull() & s["q"].isNotNull()
+            return F.when(ok, state(
+                s["t"],
+                floor0(p["n"] * (F.lit(1.0) - s["i"])),
+                floor0(p["c"] * (F.lit(1.0) - s["q"]) + p["n"] * s["i"]),
+                floor0(p["c"] * s["q"] + p["e"]),
+                s["own_init"], s["own_cess"],
+            ))
         return F.concat(out, F.array(bind(F.element_at(out, -1), move)))
     # A cohort whose first cell is no seed (it starts after a gap) has no state.
     first = F.get(F.col("s"), F.lit(0))["t"]
@@ -119,7 +111,6 @@ def roll_composition(
 
 
 STATES = ("well", "newcases", "sick", "dead", "pop", "all_dead")
-STATE = "array<struct<ir:double,cf:double,newcases:double,sick:double,dead:double,pop:double,well:double,all_dead:double>>"
 
 
 def roll_coupled(
@@ -186,94 +177,105 @@ def roll_coupled(
         )
         .filter(F.when(F.greatest("_n0", "_n1") > 1, duplicate_error([*keys, "_b", "_t", "_p"])).otherwise(F.lit(True)))
     )
-    cell = F.struct(F.col("_p").alias("p"), *seeds, "ir0", "cf0", *rates, *[f"_c_{c}" for c in carry])
-    by_year = cells.groupBy(*keys, "_b", "_t").agg(F.sort_array(F.collect_list(cell)).alias("rows"))
+    # Rates are capped here when no grid scales them, in compiled code; a part without
+    # all its rates is a NULL and ends in the fold.
+    scaled = {which for _, which, _ in grid.values()}
+    def ready(c):
+        return F.col(c) if c in scaled else F.least(F.col(c), F.lit(float(cap)))
+    step_row = F.when(
+        F.col("ir").isNotNull() & F.col("cf").isNotNull() & F.col("bg_mx").isNotNull() & F.col("bg_mx_all").isNotNull(),
+        F.struct(ready("ir").alias("ir"), ready("cf").alias("cf"), F.col("bg_mx").alias("bg"), F.col("bg_mx_all").alias("bga")),
+    )
+    own_cols = [*(("ir0", "cf0") if with_rates else ()), *[f"_c_{c}" for c in carry]]
+    cell = F.struct(
+        F.col("_p").alias("p"),
+        F.struct(*seeds, "ir0").alias("seed"),
+        step_row.alias("rate"),
+        *([F.struct(*own_cols).alias("own")] if own_cols else []),
+    )
+    by_year = cells.groupBy(*keys, "_b", "_t").agg(F.collect_list(cell).alias("rows"))
     # One slot per part in a fixed order; a missing part is a NULL slot.
     n = len(parts)
-    slots = F.when(F.size("rows") == n, F.col("rows")).otherwise(
+    slots = F.when(F.size("rows") == n, F.sort_array("rows")).otherwise(
         F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(F.filter("rows", lambda x: x["p"] == i), F.lit(0)))
     )
-    cohorts = by_year.withColumn("rows", slots).groupBy(*keys, "_b").agg(
+    by_year = by_year.withColumn("rows", slots)
+    cohorts = by_year.groupBy(*keys, "_b").agg(
         F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), "rows"))).alias("s")
     )
     first = F.get(F.col("s"), F.lit(0))["t"]
     cohorts = cohorts.filter((first == first_t) | (first == F.col("_b") + lo))
 
-    factor = {"ir": F.lit(1.0), "cf": F.lit(1.0)}
+    factor = {}
     for name, (numbers, which, step_size) in grid.items():
         cohorts = cohorts.withColumn(name, F.explode(F.sequence(F.lit(numbers.start), F.lit(numbers.stop - 1), F.lit(numbers.step))))
-        factor[which] = F.lit(1.0) + F.col(name) * F.lit(float(step_size))
-    cohorts = cohorts.withColumns({"_fi": factor["ir"], "_fc": factor["cf"]})
-    fi, fc = F.col("_fi"), F.col("_fc")
+        cohorts = cohorts.withColumn(f"_f_{which}", F.lit(1.0) + F.col(name) * F.lit(float(step_size)))
+        factor[which] = F.col(f"_f_{which}")
+
+    def scale(x: Column, which: str) -> Column:
+        return x * factor[which] if which in factor else x
 
-    def capped(x: Column) -> Column:
-        return F.when(x > cap, F.lit(float(cap))).otherwise(x)
+    def rate_of(x: Column, which: str) -> Column:
+        return F.least(x[which] * factor[which], F.lit(float(cap))) if which in factor else x[which]
 
-    def seed(x: Column) -> Column:
+    def seed(row: Column) -> Column:
+        x = row["seed"]
         well = x["nx"] * (F.lit(1.0) - (x["prev_rate"] + x["all_mx"]))
-        ir = x["ir0"] * fi
-        known = x["nx"].isNotNull() & x["prev_rate"].isNotNull() & x["all_mx"].isNotNull() & ir.isNotNull()
-        return F.when(known, F.struct(
-            capped(ir).alias("ir"), capped(x["cf0"] * fc).alias("cf"), (well * ir).alias("newcases"),
-            (x["nx"] * x["prev_rate"]).alias("sick"), (x["nx"] * x["dis_mx"]).alias("dead"),
-            x["nx"].alias("pop"), well.alias("well"), (x["nx"] * x["all_mx"]).alias("all_dead"),
+        new = well * scale(x["ir0"], "ir")
+        return F.when(x["nx"].isNotNull() & x["prev_rate"].isNotNull() & x["all_mx"].isNotNull() & x["ir0"].isNotNull(), F.struct(
+            well.alias("well"), new.alias("newcases"), (x["nx"] * x["prev_rate"]).alias("sick"), (x["nx"] * x["dis_mx"]).alias("dead"),
+            x["nx"].alias("pop"), (x["nx"] * x["all_mx"]).alias("all_dead"),
         ))
 
-    def one_step(prev: Column, row: Column) -> Column:
-        def part_step(s: Column, x: Column) -> Column:
-            known = s["pop"].isNotNull() & x["ir"].isNotNull() & x["cf"].isNotNull() & x["bg_mx"].isNotNull() & x["bg_mx_all"].isNotNull()
-            return F.when(known, bind(F.struct(capped(x["ir"] * fi).alias("ir"), capped(x["cf"] * fc).alias("cf")), lambda q: F.struct(
-                capped(x["ir0"] * fi).alias("ir"), capped(x["cf0"] * fc).alias("cf"),
-                _floor0(s["well"] * q["ir"]).alias("newcases"),
-                _floor0(s["sick"] * (F.lit(1.0) - (q["cf"] + x["bg_mx"])) + s["well"] * q["ir"]).alias("sick"),
-                (s["sick"] * q["cf"]).alias("dead"),
-                _floor0(s["pop"] - s["all_dead"]).alias("pop"),
-                x["bg_mx_all"].alias("bg"),
-            )))
-        def close(moved: Column) -> Column:
-            def with_deaths(deaths: Column) -> Column:
-                def finish(x: Column) -> Column:
-                    return F.when(x.isNotNull(), bind(_floor0(deaths + x["pop"] * x["bg"]), lambda d: F.struct(
-                        x["ir"].alias("ir"), x["cf"].alias("cf"), x["newcases"].alias("newcases"), x["sick"].alias("sick"),
-                        x["dead"].alias("dead"), x["pop"].alias("pop"),
-                        _floor0(x["pop"] - d - x["sick"]).alias("well"), d.alias("all_dead"),
-                    )))
-                return F.transform(moved, finish)
-            total = F.aggregate(moved, F.lit(0.0), lambda acc, x: acc + F.coalesce(x["dead"], F.lit(0.0)))
-            return bind(total, with_deaths)
-        return bind(F.zip_with(prev, row, part_step), close)
+    def one_step(prev: Column, rows: Column) -> Column:
+        def deaths_of(s: Column, row: Column) -> Column:
+            return s["sick"] * rate_of(row["rate"], "cf")
+        def close(deaths: Column) -> Column:
+            def part_step(s: Column, row: Column) -> Column:
+                x = row["rate"]
+                ir, cf = rate_of(x, "ir"), rate_of(x, "cf")
+                def finish(pop: Column, sick: Column, all_dead: Column) -> Column:
+                    return F.struct(
+                        floor0(pop - all_dead - sick).alias("well"), floor0(s["well"] * ir).alias("newcases"), sick.alias("sick"),
+                        (s["sick"] * cf).alias("dead"), pop.alias("pop"), all_dead.alias("all_dead"))
+                moved = bind(floor0(s["pop"] - s["all_dead"]), lambda pop: bind(
+                    floor0(s["sick"] * (F.lit(1.0) - (cf + x["bg"])) + s["well"] * ir), lambda sick: bind(
+                        floor0(deaths + pop * x["bga"]), lambda all_dead: finish(pop, sick, all_dead))))
+                return F.when(s.isNotNull() & x.isNotNull(), moved)
+            return F.zip_with(prev, rows, part_step)
+        return F.aggregate(
+            F.zip_with(prev, rows, deaths_of), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)), close)
 
-    kind = f"array<struct<t:int,v:{STATE}>>"
+    # The cast makes the type of the history nullable: a gap adds a NULL.
+    state_type = "struct<" + ",".join(f"{c}:double" for c in STATES) + ">"
     start = bind(
-        F.get(F.col("s"), F.lit(0)),
-        lambda s: F.array(F.struct(s["t"].alias("t"), F.transform(s["rows"], seed).alias("v"))),
-    ).cast(kind)
+        F.get(F.col("s"), F.lit(0)), lambda s: F.array(F.struct(s["t"].alias("t"), F.transform(s["rows"], seed).alias("v")))
+    ).cast(f"array<struct<t:int,v:array<{state_type}>>>")
 
     def fold(out: Column, s: Column) -> Column:
         def grow(p: Column) -> Column:
-            new = F.struct(s["t"].alias("t"), one_step(p["v"], s["rows"]).alias("v"))
-            return F.when(s["t"] == p["t"] + 1, new)
-        return F.concat(out, F.array(bind(F.element_at(out, -1), grow))).cast(kind)
+            return F.when(s["t"] == p["t"] + 1, F.struct(s["t"].alias("t"), one_step(p["v"], s["rows"]).alias("v")))
+        return F.concat(out, F.array(bind(F.element_at(out, -1), grow)))
 
     rest = F.slice(F.col("s"), F.lit(2), F.greatest(F.size("s") - 1, F.lit(0)))
     history = F.aggregate(rest, start, fold)
-    if carry:
-        # The steps hold the carried columns at the same position as the history.
-        history = F.arrays_zip(history.alias("h"), F.col("s").alias("s"))
-        rolled = cohorts.withColumn("_o", F.explode(history)).withColumns({"_h": F.col("_o.h"), "_rows": F.col("_o.s.rows")})
-    else:
-        rolled = cohorts.withColumn("_h", F.explode(history))
-    rolled = rolled.filter(F.col("_h").isNotNull())
-    if carry:
-        rolled = rolled.select(*keys, *grid, "_b", F.col("_h.t").alias("_t"), F.posexplode(F.arrays_zip(F.col("_h.v").alias("v"), F.col("_rows").alias("r"))).alias("_i", "_z"))
-        state, extra = "_z.v", [F.col(f"_z.r._c_{c}").alias(c) for c in carry]
+    used = [*keys, *grid, *[f"_f_{w}" for w in factor], "_b"]
+    if own_cols:
+        # The steps hold the columns of the cell itself at the same position as the history.
+        rolled = cohorts.select(*used, F.explode(F.arrays_zip(history.alias("h"), F.col("s").alias("s"))).alias("_o")).filter(F.col("_o.h").isNotNull())
+        cellwise = F.arrays_zip(F.col("_o.h.v").alias("v"), F.col("_o.s.rows").alias("r"))
+        rolled = rolled.select(*used, F.col("_o.h.t").alias("_t"), F.posexplode(cellwise).alias("_i", "_z"))
+        state = "_z.v"
+        extra = [F.least(scale(F.col(f"_z.r.own.{c}0"), c), F.lit(float(cap))).alias(c) for c in ("ir", "cf") if with_rates]
+        extra += [F.col(f"_z.r.own._c_{c}").alias(c) for c in carry]
     else:
-        rolled = rolled.select(*keys, *grid, "_b", F.col("_h.t").alias("_t"), F.posexplode("_h.v").alias("_i", "_z"))
+        rolled = cohorts.select(*used, F.explode(history).alias("_h")).filter(F.col("_h").isNotNull())
+        rolled = rolled.select(*used, F.col("_h.t").alias("_t"), F.posexplode("_h.v").alias("_i", "_z"))
         state, extra = "_z", []
     names = F.array(*[F.lit(p) for p in parts])
     return rolled.filter(F.col(state).isNotNull()).select(
         *keys, *grid, F.get(names, F.col("_i")).alias(part),
         (F.col("_t") - F.col("_b")).cast("int").alias(axis), F.col("_t").alias(t),
-        *[F.col(f"{state}.{c}").alias(c) for c in (*(("ir", "cf") if with_rates else ()), *STATES)],
+        *[F.col(f"{state}.{c}").alias(c) for c in STATES],
         *extra,
     )

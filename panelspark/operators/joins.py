@@ -1,8 +1,8 @@
 """Cohort and band joins, grid completion, scenario replacement.
 
 There is no cross join here: short literal lists and integer ranges are exploded
-on the rows that need them, and no side is broadcast by hint. Spark decides on
-broadcasts itself, by the size it has measured.
+on the rows that need them. A side is broadcast by hint only where its keys are
+limited to listed values (``bounded``); elsewhere Spark decides by measured size.
 """
 
 from __future__ import annotations
@@ -25,6 +25,30 @@ def with_axes(df: DataFrame, axes: dict[str, list | range]) -> DataFrame:
     return reduce(lambda d, item: with_values(d, item[0], item[1]), axes.items(), df)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(
+    df: DataFrame, domains: dict[str, list | range], limit: int = BROADCAST_ROWS, strict: bool = False
+) -> DataFrame:
+    """A table with one row per key whose key columns take listed values only.
+
+    Its size has a proven bound, the product of the lists; up to ``limit`` rows it is
+    marked for broadcast, beyond that it is left to the usual joins. Rows with other
+    keys are dropped, so the lists must cover what is looked up; with ``strict`` they
+    raise.
+    """
+    rows = 1
+    for name, values in domains.items():
+        listed = F.col(name).between(values.start, values.stop - 1) if isinstance(values, range) else F.col(name).isin(list(values))
+        if strict:
+            text = F.concat(F.lit(f"{name} is not listed: "), F.coalesce(F.col(name).cast("string"), F.lit("NULL")))
+            listed = F.when(listed, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
+        df = df.filter(listed)
+        rows *= len(values)
+    return F.broadcast(df) if rows <= limit else df
+
+
 def left_join(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on written-out keys."""
     return x.join(y, keys, "left")

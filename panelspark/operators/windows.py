@@ -4,15 +4,30 @@ A series is usually short (one row per year), and then a plain window is right.
 With ``block`` the order axis is cut into blocks: every block is a window of its
 own, and the blocks of a series are linked through one summary row each. A series
 that holds a third of all rows is then spread over as many tasks as it has blocks.
+
+``block`` is a column that grows with the order (such as the day), or BALANCED:
+then the rows are range-partitioned by key and order and each range is a block, so
+blocks have about the same size whatever the data look like.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from panelspark.session import materialize
+
+BALANCED = "balanced"
+
 
-def _blocked(df: DataFrame, keys: list[str], block: Column, aggs: list[Column]) -> tuple[DataFrame, DataFrame]:
-    tagged = df.withColumn("_block", block)
+def _blocked(
+    df: DataFrame, keys: list[str], order: list[str], block: Column | str, aggs: list[Column]
+) -> tuple[DataFrame, DataFrame]:
+    if isinstance(block, str) and block == BALANCED:
+        # The ranges come from a sample, so they are fixed by a checkpoint before two
+        # branches of the plan rely on them.
+        tagged = materialize(df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()))
+    else:
+        tagged = df.withColumn("_block", block)
     return tagged, tagged.groupBy(*keys, "_block").agg(*aggs)
 
 
@@ -27,14 +42,14 @@ def _link(tagged: DataFrame, summary: DataFrame, keys: list[str], carry: list[Co
 
 
 def previous(
-    df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column | None = None, prefix: str = "prev_"
+    df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column | str | None = None, prefix: str = "prev_"
 ) -> DataFrame:
     """Value of the row before, per key, in the named order."""
     if block is None:
         w = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns({prefix + c: F.lag(c).over(w) for c in cols})
     place = F.struct(*order)
-    tagged, summary = _blocked(df, keys, block, [F.max_by(F.struct(*cols), place).alias("_last")])
+    tagged, summary = _blocked(df, keys, order, block, [F.max_by(F.struct(*cols), place).alias("_last")])
     across = W.partitionBy(*keys).orderBy("_block")
     linked = _link(tagged, summary.withColumn("_in", F.lag("_last").over(across)), keys, [F.col("_in")])
     w = W.partitionBy(*keys, "_block").orderBy(*order)
@@ -45,13 +60,13 @@ def previous(
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column | None = None, prefix: str = "cum_"
+    df: DataFrame, keys: list[str], order: list[str], cols: list[str], block: Column | str | None = None, prefix: str = "cum_"
 ) -> DataFrame:
     """Sum of all rows up to this one, per key, in the named order (which must be total)."""
     if block is None:
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({prefix + c: F.sum(c).over(w) for c in cols})
-    tagged, summary = _blocked(df, keys, block, [F.sum(c).alias(f"_s_{c}") for c in cols])
+    tagged, summary = _blocked(df, keys, order, block, [F.sum(c).alias(f"_s_{c}") for c in cols])
     before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     summary = summary.withColumns({f"_b_{c}": F.sum(f"_s_{c}").over(before) for c in cols})
     linked = _link(tagged, summary, keys, [F.col(f"_b_{c}") for c in cols])

@@ -24,7 +24,7 @@ from panelspark.operators.growth import (
     disease_transition_rates, extend_edges, measures_wide, project_forward, split_series, status_transition_rates, to_rates,
 )
 from panelspark.operators.interp import bands_to_single, gap_fill, prevalence_panel, to_unit_steps
-from panelspark.operators.joins import complete_grid, stack, upsert_scenarios, with_values
+from panelspark.operators.joins import bounded, complete_grid, stack, upsert_scenarios, with_values
 from panelspark.operators.report import (
     averted, averted_totals, baseline_join, cost_per_unit, group_shares, marginal, nonadditivity, prevalence_total, survival_prob,
 )
@@ -297,7 +297,8 @@ def trajectories(rates: DataFrame, newborn: DataFrame, effects: DataFrame, codes
     p = project_forward(rates.filter(F.col("year") == s.base_year), "year", s.base_year, s.horizon)
     p = with_births(p, newborn.filter(F.col("year") <= s.horizon), s.base_year)
     p = with_values(p, "scenario", [s.baseline, *codes])
-    p = apply_effects(p, effects, ["scenario", "year", "sex", "age", "cause"], {"ir": "ir_eff", "cf": "cf_eff"})
+    domains = {"scenario": codes, "year": s.years(), "sex": SEXES, "age": range(s.ages[0], s.ages[1] + 1), "cause": causes}
+    p = apply_effects(p, bounded(effects, domains), ["scenario", "year", "sex", "age", "cause"], {"ir": "ir_eff", "cf": "cf_eff"})
     return roll_coupled(p, ["scenario", *PLACE], "cause", causes, "age", "year", s.base_year, s.ages)
 
 

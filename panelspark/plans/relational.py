@@ -12,12 +12,12 @@ from panelspark.functions.scalars import (
 from panelspark.operators.audit import audit, null_counts, unmatched_keys
 from panelspark.operators.interp import gap_fill
 from panelspark.operators.joins import (
-    anti_filter, band_join, complete_grid, pivot_unique, semi_filter, stack, unpivot, with_values,
+    anti_filter, band_join, bounded, complete_grid, pivot_unique, semi_filter, stack, unpivot, with_values,
 )
 from panelspark.operators.report import baseline_join
-from panelspark.operators.windows import best_row, previous, running_total, with_group_aggs
+from panelspark.operators.windows import BALANCED, best_row, previous, running_total, with_group_aggs
 from panelspark.plans.registry import CELLS, FACTS, query, r, round_cols, rounded
-from panelspark.sources.tables import YEARS, cells, line_facts, table, year_of
+from panelspark.sources.tables import CAUSES, SEXES, YEARS, cells, line_facts, table, year_of
 
 
 @query("q01_scan_filter_project", f"""
@@ -226,9 +226,10 @@ RISK_SQL = """risk AS (SELECT l_linestatus AS sex, l_returnflag AS category, l_l
 
 def risk_table(spark: SparkSession, d: str) -> DataFrame:
     """Relative risks per status, flag and line number."""
-    return table(spark, d, "lineitem").groupBy(
+    risk = table(spark, d, "lineitem").groupBy(
         F.col("l_linestatus").alias("sex"), F.col("l_returnflag").alias("category"), F.col("l_linenumber").alias("outcome")
     ).agg((F.lit(1.0) + F.lit(10.0) * F.avg("l_tax")).alias("rr"))
+    return bounded(risk, {"sex": SEXES, "category": CAUSES, "outcome": range(1, 8)}, strict=True)
 
 
 @query("q13_many_to_many_risk", f"""
@@ -345,11 +346,10 @@ def q21(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, event_type, lag(value) OVER w AS prev_value, {r("sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", 2)} AS cum_value
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def q22(spark: SparkSession, d: str) -> DataFrame:
-    """Five long series: both operators work per day and link the days."""
+    """Five long series, cut into balanced blocks that are linked by one row each."""
     e = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
-    day = F.to_date("ts")
-    out = previous(e, ["event_type"], ["ts", "event_id"], ["value"], block=day)
-    out = running_total(out, ["event_type"], ["ts", "event_id"], ["value"], block=day)
+    out = previous(e, ["event_type"], ["ts", "event_id"], ["value"], block=BALANCED)
+    out = running_total(out, ["event_type"], ["ts", "event_id"], ["value"], block=BALANCED)
     return out.select("event_id", "event_type", "prev_value", rounded("cum_value", 2).alias("cum_value"))
 
 

@@ -69,11 +69,11 @@ def series(n, seed):
     return data
 
 
-@pytest.mark.parametrize("block", [None, 7, 50])
+@pytest.mark.parametrize("block", [None, 7, 50, W.BALANCED])
 def test_previous_and_running_total(spark, block):
     data = series(120, 1)
     df = spark.createDataFrame(data, "k string, t int, v double")
-    b = None if block is None else F.floor(F.col("t") / block)
+    b = block if block in (None, W.BALANCED) else F.floor(F.col("t") / block)
     out = W.running_total(W.previous(df, ["k"], ["t"], ["v"], block=b), ["k"], ["t"], ["v"], block=b)
     got = {(r.k, r.t): (r.prev_v, r.cum_v) for r in out.collect()}
     assert len(got) == len(data)
