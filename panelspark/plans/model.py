@@ -292,12 +292,13 @@ def effect_table(parts: list[DataFrame], s: Settings) -> DataFrame:
     return add_package(wide, "scenario", list(s.combined_members), s.combined, ["year", "sex", "age", "cause"], ["ir_eff", "cf_eff"])
 
 
-def trajectories(rates: DataFrame, newborn: DataFrame, effects: DataFrame, codes: list[str], s: Settings, causes: list[str] = CAUSES) -> DataFrame:
+def trajectories(rates: DataFrame, newborn: DataFrame, effects: DataFrame, codes: list[str], s: Settings, causes: list[str] = CAUSES,
+                 sexes: list[str] = SEXES) -> DataFrame:
     """Well, sick and dead of every scenario, location, sex, age, year and cause."""
     p = project_forward(rates.filter(F.col("year") == s.base_year), "year", s.base_year, s.horizon)
     p = with_births(p, newborn.filter(F.col("year") <= s.horizon), s.base_year)
     p = with_values(p, "scenario", [s.baseline, *codes])
-    domains = {"scenario": codes, "year": s.years(), "sex": SEXES, "age": range(s.ages[0], s.ages[1] + 1), "cause": causes}
+    domains = {"scenario": codes, "year": s.years(), "sex": sexes, "age": range(s.ages[0], s.ages[1] + 1), "cause": causes}
     p = apply_effects(p, bounded(effects, domains), ["scenario", "year", "sex", "age", "cause"], {"ir": "ir_eff", "cf": "cf_eff"})
     return roll_coupled(p, ["scenario", *PLACE], "cause", causes, "age", "year", s.base_year, s.ages)
 
