@@ -178,19 +178,16 @@ def roll_coupled(
         .filter(F.when(F.greatest("_n0", "_n1") > 1, duplicate_error([*keys, "_b", "_t", "_p"])).otherwise(F.lit(True)))
     )
     # Rates are capped here when no grid scales them, in compiled code; a part without
-    # all its rates is a NULL and ends in the fold.
+    # all its rates has no fatality and ends in the fold.
     scaled = {which for _, which, _ in grid.values()}
     def ready(c):
         return F.col(c) if c in scaled else F.least(F.col(c), F.lit(float(cap)))
-    step_row = F.when(
-        F.col("ir").isNotNull() & F.col("cf").isNotNull() & F.col("bg_mx").isNotNull() & F.col("bg_mx_all").isNotNull(),
-        F.struct(ready("ir").alias("ir"), ready("cf").alias("cf"), F.col("bg_mx").alias("bg"), F.col("bg_mx_all").alias("bga")),
-    )
+    complete = F.col("ir").isNotNull() & F.col("cf").isNotNull() & F.col("bg_mx").isNotNull() & F.col("bg_mx_all").isNotNull()
     own_cols = [*(("ir0", "cf0") if with_rates else ()), *[f"_c_{c}" for c in carry]]
     cell = F.struct(
         F.col("_p").alias("p"),
+        F.when(complete, ready("cf")).alias("cf"), ready("ir").alias("ir"), F.col("bg_mx").alias("bg"), F.col("bg_mx_all").alias("bga"),
         F.struct(*seeds, "ir0").alias("seed"),
-        step_row.alias("rate"),
         *([F.struct(*own_cols).alias("own")] if own_cols else []),
     )
     by_year = cells.groupBy(*keys, "_b", "_t").agg(F.collect_list(cell).alias("rows"))
@@ -228,11 +225,10 @@ def roll_coupled(
         ))
 
     def one_step(prev: Column, rows: Column) -> Column:
-        def deaths_of(s: Column, row: Column) -> Column:
-            return s["sick"] * rate_of(row["rate"], "cf")
+        def deaths_of(s: Column, x: Column) -> Column:
+            return s["sick"] * rate_of(x, "cf")
         def close(deaths: Column) -> Column:
-            def part_step(s: Column, row: Column) -> Column:
-                x = row["rate"]
+            def part_step(s: Column, x: Column) -> Column:
                 ir, cf = rate_of(x, "ir"), rate_of(x, "cf")
                 def finish(pop: Column, sick: Column, all_dead: Column) -> Column:
                     return F.struct(
@@ -241,7 +237,7 @@ def roll_coupled(
                 moved = bind(floor0(s["pop"] - s["all_dead"]), lambda pop: bind(
                     floor0(s["sick"] * (F.lit(1.0) - (cf + x["bg"])) + s["well"] * ir), lambda sick: bind(
                         floor0(deaths + pop * x["bga"]), lambda all_dead: finish(pop, sick, all_dead))))
-                return F.when(s.isNotNull() & x.isNotNull(), moved)
+                return F.when(s.isNotNull() & x["cf"].isNotNull(), moved)
             return F.zip_with(prev, rows, part_step)
         return F.aggregate(
             F.zip_with(prev, rows, deaths_of), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)), close)

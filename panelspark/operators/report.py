@@ -32,19 +32,20 @@ def averted(
     measures: dict[str, str],
     digits: int | None = 3,
     cumulative: bool = False,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Baseline minus scenario, at least 0, to significant digits.
 
     ``measures`` maps a column to the name of its averted amount. ``cumulative``
     adds the running sum of the rounded amounts, rounded again; ``digits=None`` is
-    exact.
+    exact. ``keep`` names further columns of the input to return.
     """
     out = baseline_join(df, [*keys, t], scenario, baseline, list(measures), "_b_")
     out = out.filter(F.col(scenario) != F.lit(baseline))
     gain = {n: F.col(f"_b_{c}") - F.col(c) for c, n in measures.items()}
     out = out.withColumns({n: F.when(g < 0, F.lit(0.0)).otherwise(_signif(g, digits)) for n, g in gain.items()})
     names = list(measures.values())
-    out = out.select(*keys, t, scenario, *names)
+    out = out.select(*keys, t, scenario, *(keep or []), *names)
     if cumulative:
         out = running_total(out, [*keys, scenario], [t], names)
         out = out.withColumns({f"cum_{n}": _signif(F.col(f"cum_{n}"), digits) for n in names})

@@ -19,13 +19,20 @@ from panelspark.session import materialize
 BALANCED = "balanced"
 
 
+def balanced_blocks(df: DataFrame, keys: list[str], order: list[str], name: str = "block") -> DataFrame:
+    """The rows with the number of their range in (keys, order), all ranges about equal.
+
+    The ranges come from a sample, so they are fixed by a checkpoint before several
+    branches of a plan rely on them. Give the column to ``block`` to share it.
+    """
+    return materialize(df.repartitionByRange(*keys, *order).withColumn(name, F.spark_partition_id()))
+
+
 def _blocked(
     df: DataFrame, keys: list[str], order: list[str], block: Column | str, aggs: list[Column]
 ) -> tuple[DataFrame, DataFrame]:
     if isinstance(block, str) and block == BALANCED:
-        # The ranges come from a sample, so they are fixed by a checkpoint before two
-        # branches of the plan rely on them.
-        tagged = materialize(df.repartitionByRange(*keys, *order).withColumn("_block", F.spark_partition_id()))
+        tagged = balanced_blocks(df, keys, order, "_block")
     else:
         tagged = df.withColumn("_block", block)
     return tagged, tagged.groupBy(*keys, "_block").agg(*aggs)

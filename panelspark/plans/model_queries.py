@@ -165,5 +165,5 @@ FROM tot n JOIN tot b ON b.scenario = '0' AND b.year = n.year WHERE n.scenario <
 def q53(spark: SparkSession, d: str) -> DataFrame:
     """Status effects to risks to rates to trajectories to averted deaths, in one plan."""
     totals = projection_totals(spark, d, CAUSES)
-    gain = averted(totals, [], "year", "scenario", "0", {"dead": "deaths_averted"}, digits=None)
-    return round_cols(totals.join(gain, ["scenario", "year"]).select("scenario", "year", "dead", "newcases", "deaths_averted"), 4)
+    out = averted(totals, [], "year", "scenario", "0", {"dead": "deaths_averted"}, digits=None, keep=["dead", "newcases"])
+    return round_cols(out, 4)

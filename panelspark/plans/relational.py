@@ -15,7 +15,7 @@ from panelspark.operators.joins import (
     anti_filter, band_join, bounded, complete_grid, pivot_unique, semi_filter, stack, unpivot, with_values,
 )
 from panelspark.operators.report import baseline_join
-from panelspark.operators.windows import BALANCED, best_row, previous, running_total, with_group_aggs
+from panelspark.operators.windows import balanced_blocks, best_row, previous, running_total, with_group_aggs
 from panelspark.plans.registry import CELLS, FACTS, query, r, round_cols, rounded
 from panelspark.sources.tables import CAUSES, SEXES, YEARS, cells, line_facts, table, year_of
 
@@ -347,9 +347,10 @@ SELECT event_id, event_type, lag(value) OVER w AS prev_value, {r("sum(value) OVE
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def q22(spark: SparkSession, d: str) -> DataFrame:
     """Five long series, cut into balanced blocks that are linked by one row each."""
-    e = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
-    out = previous(e, ["event_type"], ["ts", "event_id"], ["value"], block=BALANCED)
-    out = running_total(out, ["event_type"], ["ts", "event_id"], ["value"], block=BALANCED)
+    order = ["ts", "event_id"]
+    e = balanced_blocks(table(spark, d, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], order)
+    out = previous(e, ["event_type"], order, ["value"], block=F.col("block"))
+    out = running_total(out, ["event_type"], order, ["value"], block=F.col("block"))
     return out.select("event_id", "event_type", "prev_value", rounded("cum_value", 2).alias("cum_value"))
 
 

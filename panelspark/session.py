@@ -41,9 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="panelspark-")
 
 
-def materialize(df: DataFrame, eager: bool = False) -> DataFrame:
-    """Reliable checkpoint: computed once, survives the loss of executors."""
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint: runs now, is computed once and survives the loss of executors.
+
+    (A lazy checkpoint would compute the rows a second time to write them.)
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)
