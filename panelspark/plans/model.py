@@ -349,8 +349,14 @@ def chain_report(report: DataFrame, s: Settings) -> DataFrame:
     return marginal(report, ["year"], "scenario", "cum_deaths_averted", chains, names)
 
 
-def additivity_report(report: DataFrame, s: Settings, parts: list[str]) -> DataFrame:
-    return nonadditivity(report.filter(F.col("scenario").isin(s.status_package, *parts)), [], "scenario", s.status_package, "deaths_averted", parts)
+def additivity_report(report: DataFrame, s: Settings, parts: list[str], parts_from: DataFrame | None = None) -> DataFrame:
+    """Deaths averted by the package over the sum of its parts.
+
+    ``parts_from`` may be another report (such as the unrounded one) for the parts.
+    """
+    source = report if parts_from is None else parts_from
+    rows = stack(report.filter(F.col("scenario") == s.status_package), source.filter(F.col("scenario").isin(parts)))
+    return nonadditivity(rows, [], "scenario", s.status_package, "deaths_averted", parts)
 
 
 def cost_report(report: DataFrame, costs: DataFrame, scale: Column | float = 1.0) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelspark.constants import AGE_BANDS, SEXES
 from panelspark.operators.cohort import roll_coupled
 from panelspark.operators.joins import stack
-from panelspark.plans import model as M
+from panelspark.plans import jobs, model as M
 from panelspark.session import materialize
 
 CAUSES = ["Ischemic stroke", "Stomach cancer"]
@@ -212,6 +212,46 @@ def test_recompute_replaces_only_changed_scenarios(rates, newborn, inputs, run):
     assert got["1.7", 2023] == pytest.approx(old["1.7", 2023])
 
 
+def csv_of(df, path, names):
+    df.select(*[F.col(c).cast("string").alias(h) for c, h in names.items()]).toPandas().to_csv(path, index=False)
+    return str(path)
+
+
+def test_jobs_read_and_write_tables(spark, burden, base, inputs, tmp_path):
+    """Both jobs on files: calibrated rates with a tiny grid, then all reports."""
+    status, effects, risks, clinical, levels = inputs
+    def plain(df):
+        return {c: c for c in df.columns}
+    b = csv_of(burden, tmp_path / "burden.csv", plain(burden))
+    pop = base.filter("age <= 95").select("location", "sex", "age", "year", "nx").distinct()
+    p = csv_of(pop, tmp_path / "pop.csv", {"location": "location_name", "sex": "sex_name", "age": "age_group_name", "year": "year_id", "nx": "val"})
+    w = tmp_path / "births.csv"
+    years = list(range(2022, 2032))
+    w.write_text("A title\n\nIndex,Variant,\"Region, subregion, country or area *\"," + ",".join(map(str, years)) + "\n1,Median," + PLACE + "," + ",".join(["60"] * len(years)) + "\n")
+    out = str(tmp_path / "out")
+    jobs.rates_job(spark, b, [p], str(w), out, CAUSES, passes=((range(0, 2), range(0, 1), 2.0, 1.0),))
+    rates = spark.read.parquet(out + "/rates")
+    assert rates.count() == 6 * 96 * 2 * 2 and rates.filter("ir is null or cf is null or nx is null").count() == 0
+    files = dict(
+        status=csv_of(status, tmp_path / "s.csv", {**plain(status), "sex": "Sex", "never": "Never", "current": "Current", "ex": "Ex"}),
+        effects=csv_of(effects, tmp_path / "e.csv", {"code": "Code", "target": "Target", "age_text": "Age", "rrr": "RRR"}),
+        risks=csv_of(risks, tmp_path / "r.csv", {"cause": "Cause", "rr": "RR", "category": "Category", "sex": "Sex"}),
+        clinical=csv_of(clinical, tmp_path / "c.csv", {"name": "Intervention", "cause": "cause", "target": "target", "rr": "RR"}),
+        levels=csv_of(levels, tmp_path / "l.csv", {"year": "year", "sex": "sex", "htn": "HTN", "aware": "Aware", "treated": "Treated", "control": "Control",
+                                                   "dm": "DM", "connection": "connection.to.care", "quality": "quality.of.care"}),
+        rates=out + "/rates", births=out + "/births")
+    (tmp_path / "n.csv").write_text('Code,Intervention\n1.1,"first\nline"\n1,All\n')
+    (tmp_path / "cost.csv").write_text("Code,Intervention,Total\n1.1,x,1000\n")
+    import pandas as pd
+    pd.read_csv(files["effects"]).assign(Intervention="x").to_csv(files["effects"], index=False)
+    jobs.project_job(spark, **files, names=str(tmp_path / "n.csv"), costs=str(tmp_path / "cost.csv"), out=out, status_codes=["1.1", "1.3", "1.7"], causes=CAUSES)
+    averted = spark.read.csv(out + "/averted", header=True, inferSchema=True, multiLine=True)
+    assert averted.filter("year = 2030").count() == 14  # every scenario but the baseline
+    assert averted.filter("cum_deaths_averted < 0 or deaths_averted < 0").count() == 0
+    for name in ("totals", "averted_totals", "survival", "prevalence", "causes", "care_steps", "additivity", "costs"):
+        assert spark.read.csv(f"{out}/{name}", header=True, multiLine=True).count() > 0, name
+
+
 def test_stack_fills_missing_columns(spark):
     got = stack(spark.createDataFrame([(1, 2)], "a int, b int"), spark.createDataFrame([(3,)], "a int"))
     assert {tuple(r) for r in got.collect()} == {(1, 2), (3, None)}
