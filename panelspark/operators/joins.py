@@ -105,6 +105,19 @@ def grid_of(entities: DataFrame, keys: list[str], axes: dict[str, list | range])
     return with_axes(entities.select(*keys).distinct(), axes)
 
 
+def _grid_array(axes: list[list | range], make, place: list[Column] | None = None) -> Column:
+    """All combinations of the axis values as one (constant) array."""
+    place = place or []
+    values = axes[len(place)]
+    items = (
+        F.sequence(F.lit(values.start), F.lit(values.stop - 1)) if isinstance(values, range) and values.step == 1
+        else F.array(*[F.lit(v) for v in values])
+    )
+    if len(place) == len(axes) - 1:
+        return F.transform(items, lambda x: make([*place, x]))
+    return F.flatten(F.transform(items, lambda x: _grid_array(axes, make, [*place, x])))
+
+
 def complete_grid(
     df: DataFrame,
     keys: list[str],
@@ -115,15 +128,27 @@ def complete_grid(
 ) -> DataFrame:
     """One row per (entity, axis values); cells without data get ``fill``.
 
-    The empty grid is appended and both are aggregated together: a single
-    shuffle instead of a join against the grid. A repeated cell raises.
+    The empty grid is added to the rows and both are aggregated together: a single
+    shuffle instead of a join against the grid. With an entity table the grid comes
+    from there; without one, the first row of each key brings the grid along, so the
+    input is computed once. A repeated cell raises.
     """
     cell = [*keys, *axes]
-    blank = grid_of(df if entities is None else entities, keys, axes)
-    for c in cols:
-        blank = blank.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
-    blank = blank.withColumn("_real", F.lit(0))
-    rows = df.select(*cell, *cols).withColumn("_real", F.lit(1)).unionByName(blank)
+    kinds = {c: df.schema[c].dataType for c in [*axes, *cols]}
+    if entities is None:
+        own = F.struct(*axes, *cols, F.lit(1).alias("_real"))
+        def empty(place: list[Column]) -> Column:
+            return F.struct(
+                *[x.cast(kinds[a]).alias(a) for a, x in zip(axes, place)], *[F.lit(None).cast(kinds[c]).alias(c) for c in cols],
+                F.lit(0).alias("_real"))
+        first = F.row_number().over(W.partitionBy(*keys).orderBy(*axes)) == 1
+        added = F.when(F.col("_first"), F.concat(F.array(own), _grid_array(list(axes.values()), empty))).otherwise(F.array(own))
+        rows = df.select(*cell, *cols).withColumn("_first", first).select(*keys, F.inline(added))
+    else:
+        blank = grid_of(entities, keys, axes)
+        for c in cols:
+            blank = blank.withColumn(c, F.lit(None).cast(kinds[c]))
+        rows = df.select(*cell, *cols).withColumn("_real", F.lit(1)).unionByName(blank.withColumn("_real", F.lit(0)))
     out = rows.groupBy(*cell).agg(*[F.max(c).alias(c) for c in cols], F.sum("_real").alias("_real"))
     out = out.filter(F.when(F.col("_real") > 1, duplicate_error(cell)).otherwise(F.lit(True))).drop("_real")
     if fill is None:

@@ -83,8 +83,7 @@ def transition_rates(
     rates = disease_transition_rates(both, PLACE, "cause", "band", "year", gap, 1, total)
     if open_band_from_previous:
         rates = extend_edges(rates, "band", LAST_BAND - 1, [LAST_BAND])
-    grid = rates.select(*PLACE, "cause").distinct()
-    full = complete_grid(rates, [*PLACE, "cause"], {"year": years, "band": range(LAST_BAND + 1)}, ["ir", "cf"], grid)
+    full = complete_grid(rates, [*PLACE, "cause"], {"year": years, "band": range(LAST_BAND + 1)}, ["ir", "cf"])
     full = full.withColumn("age", F.col("band") * 5 + 2)
     keys = ["year", *PLACE, "cause"]
     single = extend_edges(to_unit_steps(full, keys, "age", ["ir", "cf"]), "age", 2, [1, 0])
