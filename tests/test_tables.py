@@ -44,6 +44,17 @@ def test_complete_grid_fills_and_rejects_duplicates(spark):
         J.complete_grid(df.union(df), ["k"], {"t": range(1, 4)}, ["v"]).collect()
 
 
+def test_complete_grid_is_one_shuffle_of_one_scan(spark):
+    df = spark.range(100).selectExpr("concat('k', id % 9) k", "cast(id % 4 as int) t", "id v").groupBy("k", "t").agg(F.max("v").alias("v"))
+    out = J.complete_grid(df, ["k"], {"t": range(0, 6)}, ["v"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("Range (") == 1  # one of them is the aggregation of the input
+    assert out.count() == 9 * 6
+    pairs = spark.createDataFrame([("a", 1, 2, 3.0)], "k string, t int, u int, v double")
+    got = {(r.t, r.u): r.v for r in J.complete_grid(pairs, ["k"], {"t": range(0, 3), "u": [1, 2]}, ["v"], fill=None).collect()}
+    assert got == {(t, u): (3.0 if (t, u) == (1, 2) else None) for t in range(3) for u in (1, 2)}
+
+
 def test_unique_and_pivot_raise_on_duplicates(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 2.0)], "k string, n string, v double")
     with pytest.raises(PySparkException, match="duplicate key"):
