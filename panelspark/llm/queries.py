@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from panelspark.llm.line_dedup import SQL5, op5
+from panelspark.llm.mixing import op6
 from panelspark.llm.simhash import op9
 
 QUERIES = {
     "op5_line_dedup": op5,
+    "op6_mixing": op6,
     "op9_simhash_near_dedup": op9,
 }
 ORACLES = {
