@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from panelspark.llm.decontaminate import SQL3, op3
 from panelspark.llm.line_dedup import SQL5, op5
 from panelspark.llm.mixing import op6
 from panelspark.llm.simhash import op9
 
 QUERIES = {
+    "op3_decontamination": op3,
     "op5_line_dedup": op5,
     "op6_mixing": op6,
     "op9_simhash_near_dedup": op9,
 }
 ORACLES = {
+    "op3_decontamination": SQL3,
     "op5_line_dedup": SQL5,
 }
