@@ -17,10 +17,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelspark.llm.common import ascii_lower, saved
+from panelspark.llm.common import ascii_lower, saved, small
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -42,11 +41,6 @@ def windows_of(items: DataFrame, window: int) -> DataFrame:
     return out.select(F.xxhash64("words").alias("w"), F.size("words").alias("m"), "words", "items")
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """Mark a table for broadcast if its counted rows stay below the limit; otherwise it is joined by a shuffle."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
-
-
 def shingle_at(words: Column, at: Column, length: int) -> Column:
     """Hash of the ``length`` words from position ``at`` (from 0)."""
     return F.xxhash64(*[F.get(words, at + i) for i in range(length)])

@@ -6,12 +6,14 @@ from panelspark.llm.decontaminate import SQL3, op3
 from panelspark.llm.line_dedup import SQL5, op5
 from panelspark.llm.mixing import op6
 from panelspark.llm.simhash import op9
+from panelspark.llm.toxicity import op10
 
 QUERIES = {
     "op3_decontamination": op3,
     "op5_line_dedup": op5,
     "op6_mixing": op6,
     "op9_simhash_near_dedup": op9,
+    "op10_toxicity": op10,
 }
 ORACLES = {
     "op3_decontamination": SQL3,
