@@ -114,6 +114,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
+    """``docs`` without the documents that hold a window of an item."""
+    met, _ = contained(docs, items, window, shingle)
+    met = met.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
+    docs = docs.withColumn("_key", F.xxhash64("text"))
+    return docs.join(met, docs["doc_id"].eqNullSafe(met["_d"]) & (docs["_key"] == met["_t"]), "left_anti").drop("_key")
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))

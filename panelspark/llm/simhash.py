@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from panelspark.llm.common import saved
 
@@ -60,13 +60,12 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit number."""
+    """``docs`` with fp added: the fingerprint as a signed 64-bit number."""
     def run(batches):
         for b in batches:
             fp = np.fromiter((fingerprint(t, size, seed) for t in b["text"].to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp.view(np.int64))], ["doc_id", "fp"])
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64))], [*b.schema.names, "fp"])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("fp", T.LongType())]))
 
 
 def anchors_of(fp: np.ndarray) -> np.ndarray:
@@ -153,16 +152,31 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text, ...)."""
-    each = saved(fingerprints(docs, size), "fingerprints")
+def grouped(each: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp, root, component_id) of every fingerprint in ``each`` (doc_id, fp): its group's smallest fp and smallest doc_id."""
     fps = saved(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     groups = components(links(fps, threshold))
     named = fps.join(groups, fps["fp"] == groups["node"], "left")
     named = named.select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(smallest, "root").select("fp", "component_id")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return named.join(smallest, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, fp, component_id) for every row of ``docs`` (doc_id, text, ...)."""
+    each = saved(fingerprints(docs.select("doc_id", "text"), size).drop("text"), "fingerprints")
+    return each.join(grouped(each, threshold), "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each group: that of the smallest doc_id (none: of the smallest fingerprint)."""
+    each = saved(fingerprints(docs, size), "documents-with-fingerprints")
+    groups = grouped(each.select("doc_id", "fp"), threshold)
+    rows = each.select("doc_id", "fp").distinct().join(groups, "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r"))
+    first = first.select(F.col("r.doc_id").alias("_doc"), F.col("r.fp").alias("_fp"))
+    kept = each.join(first, each["doc_id"].eqNullSafe(first["_doc"]) & (each["fp"] == first["_fp"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "fp"]).select(*docs.columns)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
