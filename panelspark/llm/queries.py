@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from panelspark.llm.decontaminate import SQL3, op3
+from panelspark.llm.langid import op1
 from panelspark.llm.line_dedup import SQL5, op5
 from panelspark.llm.mixing import op6
 from panelspark.llm.simhash import op9
 from panelspark.llm.toxicity import op10
 
 QUERIES = {
+    "op1_language_id": op1,
     "op3_decontamination": op3,
     "op5_line_dedup": op5,
     "op6_mixing": op6,
