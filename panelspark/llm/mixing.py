@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from panelspark.llm.common import WORD, saved
+from panelspark.llm.common import WORD, partitions, saved
 
 WEIGHTS = (3, 1, 2)
 MAX_SOURCES = 10_000  # a mixture names its sources; more of them are refused, not cut
@@ -149,6 +149,7 @@ def draw_slots(sources: DataFrame, block: int, per_shard: int, seed: int) -> Dat
         [(i, goal[i], over[i], blocks[i]) for i in range(len(src))], "s int, goal long, over long, n_blocks long")
     before = Window.partitionBy("s").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    counts = counts.repartition(max(partitions(spark), total // 1_000_000), "s", "shard")  # few rows that become many slots
     slots = counts.withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
     slots = slots.join(F.broadcast(plan), "s").drop("n_blocks")
     spare = F.col("over") + F.col("slot") - F.col("goal")  # number among all surplus draws, if any
