@@ -7,10 +7,12 @@ from panelspark.llm.langid import op1
 from panelspark.llm.line_dedup import SQL5, op5
 from panelspark.llm.mixing import op6
 from panelspark.llm.simhash import op9
+from panelspark.llm.topk import SQL2, op2
 from panelspark.llm.toxicity import op10
 
 QUERIES = {
     "op1_language_id": op1,
+    "op2_top_k": op2,
     "op3_decontamination": op3,
     "op5_line_dedup": op5,
     "op6_mixing": op6,
@@ -18,6 +20,7 @@ QUERIES = {
     "op10_toxicity": op10,
 }
 ORACLES = {
+    "op2_top_k": SQL2,
     "op3_decontamination": SQL3,
     "op5_line_dedup": SQL5,
 }
