@@ -9,6 +9,7 @@ from panelspark.llm.mixing import op6
 from panelspark.llm.simhash import op9
 from panelspark.llm.topk import SQL2, op2
 from panelspark.llm.toxicity import op10
+from panelspark.llm.warc import op8
 
 QUERIES = {
     "op1_language_id": op1,
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_decontamination": op3,
     "op5_line_dedup": op5,
     "op6_mixing": op6,
+    "op8_warc": op8,
     "op9_simhash_near_dedup": op9,
     "op10_toxicity": op10,
 }
