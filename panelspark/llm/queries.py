@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelspark.llm.decontaminate import SQL3, op3
+from panelspark.llm.html_text import op4
 from panelspark.llm.langid import op1
 from panelspark.llm.line_dedup import SQL5, op5
 from panelspark.llm.mixing import op6
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_language_id": op1,
     "op2_top_k": op2,
     "op3_decontamination": op3,
+    "op4_html_text": op4,
     "op5_line_dedup": op5,
     "op6_mixing": op6,
     "op8_warc": op8,
