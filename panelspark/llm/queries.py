@@ -8,6 +8,7 @@ from panelspark.llm.langid import op1
 from panelspark.llm.line_dedup import SQL5, op5
 from panelspark.llm.mixing import op6
 from panelspark.llm.simhash import op9
+from panelspark.llm.substrings import op7
 from panelspark.llm.topk import SQL2, op2
 from panelspark.llm.toxicity import op10
 from panelspark.llm.warc import op8
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_html_text": op4,
     "op5_line_dedup": op5,
     "op6_mixing": op6,
+    "op7_substring_dedup": op7,
     "op8_warc": op8,
     "op9_simhash_near_dedup": op9,
     "op10_toxicity": op10,
