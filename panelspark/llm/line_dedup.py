@@ -54,7 +54,8 @@ class LineRuns:
         return name
 
     def _merged(self, names: list[str]) -> DataFrame:
-        rows = self.spark.read.parquet(*[f"{self.folder}/{name}" for name in names])  # one scan, not a union of buckets
+        # one scan of all files instead of a union of bucketed tables
+        rows = self.spark.read.schema(self.spark.table(names[0]).schema).parquet(*[f"{self.folder}/{name}" for name in names])
         return rows.groupBy(*KEY).agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
 
     def fresh(self, keys: DataFrame) -> DataFrame:
