@@ -17,6 +17,11 @@ from panelspark.functions.scalars import bind, floor0
 from panelspark.operators.joins import duplicate_error
 
 
+def tasks(df: DataFrame) -> int:
+    """Partitions of the fold: a number given outright, which Spark does not merge although the rows are few."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _roles(df: DataFrame, keys: list[str], axis: str, t: str, first_t: int, axis_range: tuple[int, int], self_always: bool):
     """Each row twice: as a cell of its own cohort and as the rates of the cohort one year younger.
 
@@ -65,7 +70,7 @@ def roll_composition(
     def one(flag, c):
         return F.max(F.when(flag, F.col(c).cast("double")))
     cells = (
-        r.repartition(*keys, "_b")
+        r.repartition(tasks(r), *keys, "_b")
         .groupBy(*keys, "_b", F.col(t).cast("int").alias("_t"))
         .agg(
             one(own, never).alias("n"), one(own, current).alias("c"), one(own, ex).alias("e"),
@@ -159,14 +164,15 @@ def roll_coupled(
     lo, hi = axis_range
     r = _roles(panel, keys, axis, t, first_t, axis_range, self_always=bool(carry) or with_rates)
     numbered = F.array_position(F.array(*[F.lit(p) for p in parts]), F.col(part)).cast("int")
-    r = r.withColumn("_p", numbered).filter(F.col("_p") > 0)
+    unlisted = F.raise_error(F.concat(F.lit(f"{part} is not listed: "), F.coalesce(F.col(part).cast("string"), F.lit("NULL"))))
+    r = r.withColumn("_p", F.when(numbered > 0, numbered).otherwise(unlisted.cast("int")))
     own, rate = F.col("_role") == 0, F.col("_role") == 1
     def one(flag, c, kind="double"):
         return F.max(F.when(flag, F.col(c).cast(kind)))
     seeds = ["nx", "prev_rate", "dis_mx", "all_mx"]
     rates = ["bg_mx", "bg_mx_all", "ir", "cf"]
     cells = (
-        r.repartition(*(spread or [*keys, "_b"]))
+        r.repartition(tasks(r), *(spread or [*keys, "_b"]))
         .groupBy(*keys, "_b", F.col(t).cast("int").alias("_t"), "_p")
         .agg(
             *[one(own, c).alias(c) for c in seeds],

@@ -136,6 +136,13 @@ def scale_rates(
     }).select(*rates.columns)
 
 
+def required(c: str, keys: list[str]) -> Column:
+    """The value, or an error that names the key without one: sums must not lose a category."""
+    text = [F.coalesce(F.col(k).cast("string"), F.lit("NULL")) for k in keys]
+    missing = F.raise_error(F.concat(F.lit(f"no {c} for: "), F.concat_ws(", ", *text)))
+    return F.coalesce(F.col(c), missing.cast("double"))
+
+
 def potential_impact(
     shares: DataFrame,
     risk: DataFrame,
@@ -151,7 +158,8 @@ def potential_impact(
     The join expands every share by the outcomes of its (risk_keys, category);
     ``keys`` includes the outcome column of the risk table.
     """
-    joined = shares.join(risk, [*risk_keys, category])
+    missing = required(rr, [*risk_keys, category])
+    joined = shares.join(risk, [*risk_keys, category], "left").withColumn(rr, missing)
     return joined.groupBy(*keys).agg(
         F.sum(F.col(rr) * F.col(base)).alias("alpha"),
         ratio(F.sum(F.col(rr) * F.col(new)), F.sum(F.col(rr) * F.col(base))).alias("impact"),
@@ -293,13 +301,14 @@ def relative_risk_reduction(
     """
     risk_keys, matrix_keys = risk_keys or [], matrix_keys or []
     after = (
-        matrix.join(risk.withColumnRenamed(category, dest), [*[k for k in matrix_keys if k in risk_keys], dest])
+        matrix.join(risk.withColumnRenamed(category, dest), [*[k for k in matrix_keys if k in risk_keys], dest], "left")
+        .withColumn(rr, required(rr, [dest]))
         .groupBy(*dict.fromkeys([*matrix_keys, *risk_keys]), F.col(origin).alias(category))
         .agg(F.sum(F.col(weight) * F.col(rr)).alias("_after"))
     )
     both = [k for k in dict.fromkeys([*matrix_keys, *risk_keys]) if k in shares.columns]
     table = after.join(risk.select(*risk_keys, category, rr), [*risk_keys, category])
-    joined = shares.join(table, [*both, category])
+    joined = shares.join(table, [*both, category], "left").withColumn(rr, required(rr, [*both, category]))
     return joined.groupBy(*keys).agg(
         F.sum(F.col(share) * F.col(rr)).alias("alpha"),
         ratio(F.sum(F.col(share) * F.col("_after")), F.sum(F.col(share) * F.col(rr))).alias("rrr"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from panelspark.operators.joins import duplicate_error, null_safe_join
+
 
 def _point(c: str) -> Column:
     """(place, value) of a known point, NULL where the value is missing."""
@@ -61,7 +63,7 @@ def _gap_fill_blocked(
         sizes = tagged.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
         before = F.coalesce(F.sum("_size").over(across.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         sizes = sizes.withColumn("_before", before).drop("_size")
-        tagged = tagged.join(sizes, [*keys, "_block"]).withColumn(
+        tagged = null_safe_join(tagged, sizes, [*keys, "_block"]).withColumn(
             "_x", (F.row_number().over(local) + F.col("_before")).cast("double")
         ).drop("_before")
     ends = tagged.groupBy(*keys, "_block").agg(
@@ -77,7 +79,7 @@ def _gap_fill_blocked(
     )
     past = local.rowsBetween(W.unboundedPreceding, W.currentRow)
     future = local.rowsBetween(W.currentRow, W.unboundedFollowing)
-    out = tagged.join(ends, [*keys, "_block"])
+    out = null_safe_join(tagged, ends, [*keys, "_block"])
     out = out.withColumns(
         {f"_p_{c}": F.coalesce(F.last(_point(c), ignorenulls=True).over(past), F.col(f"_in_{c}")) for c in cols}
     )
@@ -92,12 +94,13 @@ def to_unit_steps(df: DataFrame, keys: list[str], x: str, cols: list[str]) -> Da
     """Values at irregular points to every whole number between the first and last.
 
     Each point owns the whole numbers up to the next point, so the rows are made
-    where the segment is, without a search.
+    where the segment is, without a search. A second point at one place raises; a point
+    without a place owns no number.
     """
-    w = W.partitionBy(*keys).orderBy(x)
     seg = df.select(*keys, F.col(x).cast("double").alias("_x0"), *cols)
     w = W.partitionBy(*keys).orderBy("_x0")
     seg = seg.withColumn("_x1", F.lead("_x0").over(w)).withColumns({f"_y1_{c}": F.lead(c).over(w) for c in cols})
+    seg = seg.filter(F.when(F.col("_x0") == F.col("_x1"), duplicate_error([*keys, "_x0"])).otherwise(F.lit(True)))
     first = F.ceil("_x0").cast("int")
     last = F.when(F.col("_x1").isNull(), F.floor("_x0")).otherwise(F.ceil("_x1") - 1).cast("int")
     seg = seg.withColumn("_lo", first).withColumn("_hi", last).filter(F.col("_hi") >= F.col("_lo"))

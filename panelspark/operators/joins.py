@@ -25,28 +25,33 @@ def with_axes(df: DataFrame, axes: dict[str, list | range]) -> DataFrame:
     return reduce(lambda d, item: with_values(d, item[0], item[1]), axes.items(), df)
 
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 100 << 20
 
 
 def bounded(
-    df: DataFrame, domains: dict[str, list | range], limit: int = BROADCAST_ROWS, strict: bool = False
+    df: DataFrame, domains: dict[str, list | range], limit: int = BROADCAST_BYTES
 ) -> DataFrame:
     """A table with one row per key whose key columns take listed values only.
 
-    Its size has a proven bound, the product of the lists; up to ``limit`` rows it is
-    marked for broadcast, beyond that it is left to the usual joins. Rows with other
-    keys are dropped, so the lists must cover what is looked up; with ``strict`` they
-    raise.
+    Its size has a proven bound, the product of the lists times the width of a row; up
+    to ``limit`` bytes it is marked for broadcast, beyond that it is left to the usual
+    joins. A row with a key that is not listed raises: select rows before, visibly.
     """
     rows = 1
     for name, values in domains.items():
         listed = F.col(name).between(values.start, values.stop - 1) if isinstance(values, range) else F.col(name).isin(list(values))
-        if strict:
-            text = F.concat(F.lit(f"{name} is not listed: "), F.coalesce(F.col(name).cast("string"), F.lit("NULL")))
-            listed = F.when(listed, F.lit(True)).otherwise(F.raise_error(text).cast("boolean"))
-        df = df.filter(listed)
+        text = F.concat(F.lit(f"{name} is not listed: "), F.coalesce(F.col(name).cast("string"), F.lit("NULL")))
+        df = df.filter(F.when(listed, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
         rows *= len(values)
-    return F.broadcast(df) if rows <= limit else df
+    width = sum(40 if kind == "string" else 8 for _, kind in df.dtypes) + 16
+    return F.broadcast(df) if rows * width <= limit else df
+
+
+def null_safe_join(x: DataFrame, y: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """Join in which NULL keys meet; the keys of ``x`` stay."""
+    other = y.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return x.join(other, on, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def left_join(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,12 +73,14 @@ def cohort_join(
     """Pair the row at (axis, t) with the row at (axis + axis_gap, t + gap).
 
     Both rows lie on one birth diagonal, so a window over the diagonal finds the
-    partner: one shuffle, no self-join. A diagonal holds at most one row per time.
+    partner: one shuffle, no self-join. A diagonal holds at most one row per time;
+    a second one raises.
     """
     step = gap if axis_gap is None else axis_gap
     diagonal = F.col(t) * F.lit(step) - F.col(axis) * F.lit(gap)
     w = W.partitionBy(*keys, "_diag").orderBy(F.col(t).cast("int")).rangeBetween(gap, gap)
-    later = F.first(F.struct(F.lit(True).alias("hit"), *cols)).over(w)
+    one = F.when(F.count(F.lit(1)).over(w) <= 1, F.lit(True)).otherwise(duplicate_error([*keys, axis, t]))
+    later = F.when(one, F.first(F.struct(F.lit(True).alias("hit"), *cols)).over(w))
     out = df.withColumn("_diag", diagonal).withColumn("_later", later)
     if how == "inner":
         out = out.filter(F.col("_later").isNotNull())

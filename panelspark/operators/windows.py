@@ -6,26 +6,29 @@ own, and the blocks of a series are linked through one summary row each. A serie
 that holds a third of all rows is then spread over as many tasks as it has blocks.
 
 ``block`` is a column that grows with the order (such as the day), or BALANCED:
-then the rows are range-partitioned by key and order and each range is a block, so
-blocks have about the same size whatever the data look like.
+then quantiles of the first order column limit the blocks, so blocks have about the
+same size whatever the data look like.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from panelspark.session import materialize
-
 BALANCED = "balanced"
 
 
-def balanced_blocks(df: DataFrame, keys: list[str], order: list[str], name: str = "block") -> DataFrame:
-    """The rows with the number of their range in (keys, order), all ranges about equal.
+def balanced_blocks(df: DataFrame, keys: list[str], order: list[str], name: str = "block", blocks: int | None = None) -> DataFrame:
+    """The rows with the number of their range of the first order column, all ranges about equal.
 
-    The ranges come from a sample, so they are fixed by a checkpoint before several
-    branches of a plan rely on them. Give the column to ``block`` to share it.
+    The limits are quantiles: one small aggregate runs now and gives as many values as
+    blocks, which stand in the plan as literals. Give the column to ``block`` to share it.
     """
-    return materialize(df.repartitionByRange(*keys, *order).withColumn(name, F.spark_partition_id()))
+    n = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cuts = df.agg(F.percentile_approx(order[0], [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
+    if not cuts:
+        return df.withColumn(name, F.lit(0))
+    limits = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    return df.withColumn(name, F.size(F.filter(limits, lambda c: c <= F.col(order[0]))))
 
 
 def _blocked(

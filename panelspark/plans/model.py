@@ -145,7 +145,7 @@ def with_births(panel: DataFrame, newborn: DataFrame, after: int) -> DataFrame:
 def calibrate(
     rates: DataFrame, newborn: DataFrame, burden: DataFrame, first: int, last: int, causes: list[str] = CAUSES,
     passes: tuple = ((range(-10, 11), range(-10, 11), 2.0, 1.0), (range(-10, 11), range(-20, 11), 1.0, 0.0)),
-    step: float = 0.01, missing: float = 1.0, colocate: bool = False, ages: tuple[int, int] = (0, LAST_AGE), save=None,
+    step: float = 0.01, missing: float = 1.0, ages: tuple[int, int] = (0, LAST_AGE), save=None,
 ) -> DataFrame:
     """Fit incidence and fatality multipliers per cause and age band, pass after pass.
 
@@ -163,7 +163,7 @@ def calibrate(
         F.coalesce(amount("Deaths"), F.lit(0.0)).alias("obs_dead"), amount("Prevalence").alias("obs_sick"))
     keys = [*PLACE, "cause", "band"]
     for i_range, j_range, w_dead, w_sick in passes:
-        errors = calibration_errors(panel, observed, PLACE, "cause", causes, "age", "year", first, ages, "band", i_range, j_range, step, colocate=colocate)
+        errors = calibration_errors(panel, observed, PLACE, "cause", causes, "age", "year", first, ages, "band", i_range, j_range, step)
         panel = apply_multipliers(panel, fit(errors, keys, w_dead, w_sick), keys, step, missing)
         if save is not None:
             panel = save(panel)
@@ -299,7 +299,8 @@ def trajectories(rates: DataFrame, newborn: DataFrame, effects: DataFrame, codes
     p = with_births(p, newborn.filter(F.col("year") <= s.horizon), s.base_year)
     p = with_values(p, "scenario", [s.baseline, *codes])
     domains = {"scenario": codes, "year": s.years(), "sex": sexes, "age": range(s.ages[0], s.ages[1] + 1), "cause": causes}
-    p = apply_effects(p, bounded(effects, domains), ["scenario", "year", "sex", "age", "cause"], {"ir": "ir_eff", "cf": "cf_eff"})
+    used = effects.filter(F.col("scenario").isin(codes) & F.col("year").isin(list(s.years())) & F.col("cause").isin(causes))
+    p = apply_effects(p, bounded(used, domains), ["scenario", "year", "sex", "age", "cause"], {"ir": "ir_eff", "cf": "cf_eff"})
     return roll_coupled(p, ["scenario", *PLACE], "cause", causes, "age", "year", s.base_year, s.ages)
 
 

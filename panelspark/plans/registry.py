@@ -44,7 +44,7 @@ FACTS = """facts AS (
          l_linenumber AS code, l_extendedprice AS value, abs(l_discount) AS discount, l_tax AS tax
   FROM lineitem)"""
 
-CELLS = FACTS + """, cells AS (
+CELLS = FACTS + """, cells AS MATERIALIZED (
   SELECT location, sex, age, year,
          count(*) FILTER (WHERE cause = 'A') AS n_a,
          count(*) FILTER (WHERE cause = 'N') AS n_n,
@@ -55,7 +55,7 @@ CELLS = FACTS + """, cells AS (
         FROM supplier, (VALUES ('F'), ('O')) x(sex), range(1, 51) a(age), range(1995, 2002) y(year)) u
   GROUP BY location, sex, age, year)"""
 
-CAUSE_ROWS = CELLS + """, cause_rows AS (
+CAUSE_ROWS = CELLS + """, cause_rows AS MATERIALIZED (
   SELECT location, sex, age, year, 'A' AS cause, n_a AS n, n_a + n_n + n_r AS tot FROM cells
   UNION ALL SELECT location, sex, age, year, 'N', n_n, n_a + n_n + n_r FROM cells
   UNION ALL SELECT location, sex, age, year, 'R', n_r, n_a + n_n + n_r FROM cells)"""

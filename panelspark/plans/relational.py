@@ -15,7 +15,7 @@ from panelspark.operators.joins import (
     anti_filter, band_join, bounded, complete_grid, pivot_unique, semi_filter, stack, unpivot, with_values,
 )
 from panelspark.operators.report import baseline_join
-from panelspark.operators.windows import balanced_blocks, best_row, previous, running_total, with_group_aggs
+from panelspark.operators.windows import best_row, previous, running_total, with_group_aggs
 from panelspark.plans.registry import CELLS, FACTS, query, r, round_cols, rounded
 from panelspark.sources.tables import CAUSES, SEXES, YEARS, cells, line_facts, table, year_of
 
@@ -229,7 +229,7 @@ def risk_table(spark: SparkSession, d: str) -> DataFrame:
     risk = table(spark, d, "lineitem").groupBy(
         F.col("l_linestatus").alias("sex"), F.col("l_returnflag").alias("category"), F.col("l_linenumber").alias("outcome")
     ).agg((F.lit(1.0) + F.lit(10.0) * F.avg("l_tax")).alias("rr"))
-    return bounded(risk, {"sex": SEXES, "category": CAUSES, "outcome": range(1, 8)}, strict=True)
+    return bounded(risk, {"sex": SEXES, "category": CAUSES, "outcome": range(1, 8)})
 
 
 @query("q13_many_to_many_risk", f"""
@@ -346,11 +346,11 @@ def q21(spark: SparkSession, d: str) -> DataFrame:
 SELECT event_id, event_type, lag(value) OVER w AS prev_value, {r("sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)", 2)} AS cum_value
 FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def q22(spark: SparkSession, d: str) -> DataFrame:
-    """Five long series, cut into balanced blocks that are linked by one row each."""
+    """Five long series, cut into days that are linked by one row each."""
     order = ["ts", "event_id"]
-    e = balanced_blocks(table(spark, d, "events").select("event_id", "event_type", "ts", "value"), ["event_type"], order)
-    out = previous(e, ["event_type"], order, ["value"], block=F.col("block"))
-    out = running_total(out, ["event_type"], order, ["value"], block=F.col("block"))
+    e = table(spark, d, "events").select("event_id", "event_type", "ts", "value")
+    out = previous(e, ["event_type"], order, ["value"], block=F.to_date("ts"))
+    out = running_total(out, ["event_type"], order, ["value"], block=F.to_date("ts"))
     return out.select("event_id", "event_type", "prev_value", rounded("cum_value", 2).alias("cum_value"))
 
 

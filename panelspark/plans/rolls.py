@@ -242,7 +242,7 @@ def q33b(spark: SparkSession, d: str) -> DataFrame:
     """The whole 21 x 21 grid on the table of all suppliers together."""
     counts = national_counts(spark, d)
     errors = calibration_errors(national_rates(counts), _observed(counts, ["sex"]), ["sex"], "cause", CAUSES, "age", "year", FIRST, AXIS,
-                                "band", range(-10, 11), range(-10, 11), 0.01, colocate=False)
+                                "band", range(-10, 11), range(-10, 11), 0.01)
     return round_cols(fit(errors, ["sex", "cause", "band"]), 4)
 
 
@@ -255,7 +255,7 @@ def q33c(spark: SparkSession, d: str) -> DataFrame:
     counts = national_counts(spark, d)
     panel = national_rates(counts)
     errors = calibration_errors(panel, _observed(counts, ["sex"]), ["sex"], "cause", CAUSES, "age", "year", FIRST, AXIS,
-                                "band", range(-2, 3), range(-2, 3), 0.05, colocate=False)
+                                "band", range(-2, 3), range(-2, 3), 0.05)
     best = fit(errors, ["sex", "cause", "band"], w_dead=1.0, w_sick=0.0)
     return round_cols(apply_multipliers(panel, best, ["sex", "cause", "band"], 0.05).select("sex", "cause", "age", "year", "band", "ir", "cf"), 9)
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -29,16 +27,11 @@ def local_session(cpus: int | str = 8, app: str = "panelspark", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors reach, as named in ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder.
-    """
+    """The folder all executors reach, as named in ``spark.checkpoint.dir``."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return tempfile.mkdtemp(prefix="panelspark-")
+    return named
 
 
 def materialize(df: DataFrame) -> DataFrame:

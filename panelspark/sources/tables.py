@@ -45,10 +45,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("location")),
         {"sex": SEXES, "age": AGES, "year": YEARS},
     ).withColumn("cause", F.lit(None).cast("string"))
-    rows = facts.filter(
-        F.col("age").between(AGES.start, AGES.stop - 1) & F.col("year").between(YEARS.start, YEARS.stop - 1)
-    ).unionByName(grid)
-    return rows.groupBy("location", "sex", "age", "year").agg(
+    return facts.unionByName(grid).groupBy("location", "sex", "age", "year").agg(
         *[F.count(F.when(F.col("cause") == c, 1)).alias(f"n_{c.lower()}") for c in CAUSES]
     )
 

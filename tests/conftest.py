@@ -9,8 +9,8 @@ from panelspark.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    s = local_session(8, "tests", spark__sql__shuffle__partitions="4")
+def spark(tmp_path_factory):
+    s = local_session(8, "tests", spark__sql__shuffle__partitions="4", spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")))
     yield s
     s.stop()
 

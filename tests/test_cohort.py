@@ -142,8 +142,7 @@ def test_composition_keeps_its_sum(spark):
         assert (r.init, r.cess) == pytest.approx((i, q))
 
 
-@pytest.mark.parametrize("colocate", [True, False])
-def test_calibration_equals_brute_force(spark, colocate):
+def test_calibration_equals_brute_force(spark):
     cells = panel(7)
     rnd = random.Random(8)
     band = lambda a: a // 3
@@ -151,7 +150,7 @@ def test_calibration_equals_brute_force(spark, colocate):
     df = frame(spark, cells).withColumn("band", F.floor(F.col("age") / 3).cast("int"))
     odf = spark.createDataFrame([(*k, *v) for k, v in obs.items()], "place string, cause string, band int, year int, obs_dead double, obs_sick double")
     errors = C.calibration_errors(df, odf, ["place"], "cause", CAUSES, "age", "year", YEARS[0], (AGES[0], AGES[-1]), "band",
-                                  range(-2, 3), range(-2, 3), 0.1, colocate=colocate)
+                                  range(-2, 3), range(-2, 3), 0.1)
     best = C.fit(errors, ["place", "cause", "band"])
     got = {(r.place, r.cause, r.band): (r.i, r.j, r.error) for r in best.collect()}
     table = {}

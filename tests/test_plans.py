@@ -36,7 +36,8 @@ def test_query(spark, con, name):
 
 @needs_data
 def test_contract(spark):
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(catalog.ORACLES) == set(catalog.QUERIES)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     df = entry.entry(spark)
     assert df.columns == ["location", "year", "scenario", "deaths_averted", "cases_averted", "cum_deaths_averted", "cum_cases_averted"]
     assert isinstance(duckdb.__version__, str)
@@ -55,11 +56,13 @@ def test_scan_reads_only_what_is_used(spark):
 
 @needs_data
 def test_calibration_does_not_shuffle_the_grid(spark):
-    """The grid is made after the last exchange: band sums, errors and the argmin stay in the task."""
+    """The inner grid axis is made after the exchange of the panel: band sums and errors stay in the task, and each task
+    sends one best candidate per key to the argmin over the outer axis."""
     plan = catalog.QUERIES["q33_calibration"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     lines = plan.split("\n")
     grid = next(i for i, line in enumerate(lines) if "explode" in line and "sequence(-1, 1, 1)" in line or "[-1,0,1]" in line or "Generate explode(org.apache" in line)
-    assert not [line for line in lines[:grid] if "Exchange" in line]
+    above = [i for i, line in enumerate(lines[:grid]) if "Exchange" in line]
+    assert len(above) == 1 and "partial_min" in "".join(lines[above[0] + 1:above[0] + 3])
 
 
 def test_hot_series_is_cut_into_blocks(spark):
@@ -75,9 +78,9 @@ def test_hot_series_is_cut_into_blocks(spark):
 
 def test_bounded_tables(spark):
     df = spark.createDataFrame([("a", 1), ("b", 9)], "k string, t int")
-    assert [r.k for r in J.bounded(df, {"t": range(0, 5)}).collect()] == ["a"]
+    assert len(J.bounded(df, {"t": range(0, 10)}).collect()) == 2
     with pytest.raises(PySparkException, match="not listed"):
-        J.bounded(df, {"t": range(0, 5)}, strict=True).collect()
+        J.bounded(df, {"t": range(0, 5)}).collect()
     small = J.bounded(df, {"k": ["a", "b"]})._jdf.queryExecution().analyzed().toString()
     large = J.bounded(df, {"k": ["a", "b"]}, limit=1)._jdf.queryExecution().analyzed().toString()
     assert "ResolvedHint" in small and "ResolvedHint" not in large
