@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.constants import SMOKE_SHARE
 from panelspark.functions.scalars import case_map, ratio, signif
+from panelspark.operators.joins import null_safe_join
 from panelspark.operators.windows import running_total
 
 
@@ -78,6 +79,17 @@ def nonadditivity(df: DataFrame, keys: list[str], scenario: str, package, value:
     ).withColumn("ratio", ratio("package_total", "parts_total"))
 
 
+def scaled_parts(df: DataFrame, keys: list[str], scenario: str, package, value: str, parts: list | None = None, cols: list[str] | None = None) -> DataFrame:
+    """The rows with the parts of a package scaled so that they add up to it: amounts times the ratio of ``nonadditivity``.
+
+    A part without a ratio (no package, or parts that add up to zero) becomes NULL.
+    """
+    is_part = F.col(scenario).isin(parts) if parts else F.col(scenario) != F.lit(package)
+    ratios = nonadditivity(df, keys, scenario, package, value, parts).select(*keys, F.col("ratio").alias("_ratio"))
+    out = null_safe_join(df, ratios, keys)
+    return out.withColumns({c: F.when(is_part, F.col(c) * F.col("_ratio")).otherwise(F.col(c)) for c in cols or [value]}).drop("_ratio")
+
+
 def marginal(
     df: DataFrame, keys: list[str], scenario: str, value: str, chains: list[list], names: dict | None = None
 ) -> DataFrame:

@@ -59,7 +59,7 @@ def q34(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q34b_effects_wide_packages", f"""
 WITH {FACTS}, one AS (
-  SELECT location, code, cause, 1e0 - avg(discount) / 0.73e0 AS impact FROM facts WHERE code <= 4 GROUP BY 1, 2, 3),
+  SELECT location, code, cause, 1e0 - avg(discount) / 0.73e0 AS impact FROM facts GROUP BY 1, 2, 3),
 ir AS (SELECT location, code, cause, impact, 'IR' AS target FROM one),
 cf AS (SELECT location, code, cause, 1e0 - (1e0 - impact) / 2e0 AS impact, 'CF' AS target FROM one WHERE code <> 3),
 w AS (SELECT location, code, cause, coalesce(max(CASE target WHEN 'IR' THEN impact END), 1e0) AS ir_eff,
@@ -67,7 +67,7 @@ w AS (SELECT location, code, cause, coalesce(max(CASE target WHEN 'IR' THEN impa
 SELECT location, CAST(code AS INTEGER) AS code, cause, {r("ir_eff")} AS ir_eff, {r("cf_eff")} AS cf_eff FROM (
   SELECT * FROM w UNION ALL SELECT location, 8, cause, product(ir_eff), product(cf_eff) FROM w WHERE code IN (1, 2, 4) GROUP BY location, cause) x""")
 def q34b(spark: SparkSession, d: str) -> DataFrame:
-    one = lines(spark, d).filter(F.col("code") <= 4).groupBy("location", "code", "cause").agg((F.lit(1.0) - F.avg("discount") / 0.73).alias("impact"))
+    one = lines(spark, d).groupBy("location", "code", "cause").agg((F.lit(1.0) - F.avg("discount") / 0.73).alias("impact"))
     both = duplicate_target(one, "target", ["IR", "CF"]).filter((F.col("target") == "IR") | (F.col("code") != 3))
     both = both.withColumn("impact", F.when(F.col("target") == "CF", F.lit(1.0) - (F.lit(1.0) - F.col("impact")) / 2.0).otherwise(F.col("impact")))
     w = effects_wide(both, ["location", "code", "cause"], "target", "impact", {"IR": "ir_eff", "CF": "cf_eff"})
@@ -76,17 +76,16 @@ def q34b(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q34c_apply_effects", f"""
-WITH {RATES}, e AS (SELECT location, cause, 1e0 - avg(discount) AS ir_eff, 1e0 - avg(tax) AS cf_eff FROM facts WHERE year >= 1998 AND sex = 'F' GROUP BY 1, 2)
+WITH {RATES}, e AS (SELECT location, cause, 1e0 - avg(discount) AS ir_eff, 1e0 - avg(tax) AS cf_eff FROM facts WHERE sex = 'F' GROUP BY 1, 2)
 SELECT q.location, q.sex, q.age, q.year, q.cause,
        {r("ir * CASE WHEN q.sex = 'F' THEN coalesce(ir_eff, 1e0) ELSE 1e0 END", 9)} AS ir,
        {r("cf * CASE WHEN q.sex = 'F' THEN coalesce(cf_eff, 1e0) ELSE 1e0 END", 9)} AS cf
-FROM rates q LEFT JOIN e ON e.location = q.location AND e.cause = q.cause WHERE q.year = 2000""")
+FROM rates q LEFT JOIN e ON e.location = q.location AND e.cause = q.cause""")
 def q34c(spark: SparkSession, d: str) -> DataFrame:
     """Effects for one status only; the other keeps its rates."""
-    e = lines(spark, d).filter((F.col("year") >= 1998) & (F.col("sex") == "F")).groupBy("location", "sex", "cause").agg(
+    e = lines(spark, d).filter(F.col("sex") == "F").groupBy("location", "sex", "cause").agg(
         (F.lit(1.0) - F.avg("discount")).alias("ir_eff"), (F.lit(1.0) - F.avg("tax")).alias("cf_eff"))
-    rates = rate_panel(spark, d).filter(F.col("year") == 2000)
-    out = apply_effects(rates, e, ["location", "sex", "cause"], {"ir": "ir_eff", "cf": "cf_eff"})
+    out = apply_effects(rate_panel(spark, d), e, ["location", "sex", "cause"], {"ir": "ir_eff", "cf": "cf_eff"})
     return round_cols(out.select("location", "sex", "age", "year", "cause", "ir", "cf"), 9)
 
 

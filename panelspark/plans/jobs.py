@@ -11,12 +11,12 @@ trajectories by scenario and all reports. Results are parquet, reports also CSV.
 from __future__ import annotations
 
 import argparse
+import itertools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.constants import CAUSES
 from panelspark.plans import model as M
-from panelspark.session import materialize
 from panelspark.sources import files as S, schemas as H
 
 
@@ -44,7 +44,9 @@ def rates_job(
     S.write_table(M.births(base, wide, cols, last, fill_years=[last, last + 1, last + 2]), f"{out}/births")
     newborn = spark.read.parquet(f"{out}/births")
     extra = {} if passes is None else {"passes": passes}
-    S.write_table(M.calibrate(rates, newborn, b, first, last, causes, save=materialize, **extra), f"{out}/rates", partition_by=["year"])
+    number = itertools.count(1)
+    calibrated = M.calibrate(rates, newborn, b, first, last, causes, save=lambda df: S.stored(df, f"{out}/pass{next(number)}"), **extra)
+    S.write_table(calibrated, f"{out}/rates", partition_by=["year"])
 
 
 def project_job(
@@ -56,7 +58,7 @@ def project_job(
     care = [f"{c}.{k}" for c in s.arm_codes.values() for k in s.variants]
     clinical_table = table(spark, clinical, H.CLINICAL_EFFECTS)
     eff = M.status_effect_table(table(spark, effects, H.STATUS_EFFECTS), s)
-    scenarios = materialize(M.status_scenarios(table(spark, status, H.STATUS_PANEL), eff, codes, s))
+    scenarios = S.stored(M.status_scenarios(table(spark, status, H.STATUS_PANEL), eff, codes, s), f"{out}/status_scenarios")
     parts = [
         M.status_impact(scenarios, table(spark, risks, H.RISKS), s), M.second_hand_impact(clinical_table, s),
         M.care_impact(table(spark, levels, H.CASCADE), clinical_table, s),
@@ -65,9 +67,9 @@ def project_job(
     run = M.trajectories(table(spark, rates, H.RATES), newborn, M.effect_table(parts, s), [*codes, s.second_hand_code, *care, s.combined], s, causes)
     S.replace_scenarios(run, f"{out}/trajectories")
     run = spark.read.schema(run.schema).parquet(f"{out}/trajectories")
-    totals = materialize(M.totals_by_scenario(run))
+    totals = S.stored(M.totals_by_scenario(run), f"{out}/totals_table")
     titles = table(spark, names, H.NAMES, multi_line=True).select(M.code_text("code").alias("scenario"), "name")
-    averted = materialize(M.averted_report(totals, titles, s))
+    averted = S.stored(M.averted_report(totals, titles, s), f"{out}/averted_table")
     report(totals, out, "totals")
     report(averted, out, "averted")
     report(M.totals_report(averted, s.survey_last), out, "averted_totals")
@@ -75,9 +77,13 @@ def project_job(
     report(M.prevalence_report(run, scenarios, [s.baseline, s.status_package]), out, "prevalence")
     report(M.cause_report(run, s, s.combined), out, "causes")
     report(M.chain_report(averted, s), out, "care_steps")
-    ratio = M.additivity_report(averted.filter(F.col("year") >= s.survey_last), s, status_codes)
-    report(ratio, out, "additivity")
-    report(M.cost_report(averted, S.read_costs(spark, costs, user_costs)), out, "costs")
+    recent = F.col("year") >= s.survey_last
+    exact = M.averted_report(totals, titles, s, digits=None)
+    additivity = M.additivity_report(averted.filter(recent), s, status_codes, parts_from=exact.filter(recent))
+    report(additivity, out, "additivity")
+    factor = F.lit(additivity.first()["ratio"]).cast("double")  # one row: parts are scaled to add up to the package
+    scale = F.when(F.col("scenario").isin(status_codes), factor).otherwise(F.lit(1.0))
+    report(M.cost_report(averted, S.read_costs(spark, costs, user_costs), scale), out, "costs")
 
 
 def main(argv: list[str] | None = None) -> None:

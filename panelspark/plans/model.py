@@ -1,8 +1,8 @@
 """The model as Spark jobs: base rates, transition rates, births, calibration, projection.
 
 Each function takes tables in the declared schemas and returns lazy DataFrames. Tables
-that several reports read (trajectories, calibrated rates) are checkpointed by the
-caller with ``materialize``.
+that several reports read (trajectories, calibrated rates) are written and read back
+by the caller.
 """
 
 from __future__ import annotations

@@ -410,9 +410,10 @@ def q48(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q48b_null_counts", """
 SELECT count(*) AS n_rows, count(*) - count(o_orderkey) AS missing_o_orderkey, count(*) - count(o_custkey) AS missing_o_custkey,
-       count(*) - count(o_totalprice) AS missing_o_totalprice FROM orders""")
+       count(*) - count(o_orderstatus) AS missing_o_orderstatus, count(*) - count(o_totalprice) AS missing_o_totalprice,
+       count(*) - count(o_orderdate) AS missing_o_orderdate, count(*) - count(o_orderpriority) AS missing_o_orderpriority FROM orders""")
 def q48b(spark: SparkSession, d: str) -> DataFrame:
-    return null_counts(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    return null_counts(table(spark, d, "orders"))
 
 
 @query("q48c_unmatched_keys", """

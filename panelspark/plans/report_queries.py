@@ -9,7 +9,7 @@ from panelspark.functions.scalars import band_index
 from panelspark.operators.effects import tax_effect
 from panelspark.operators.joins import select_scenarios, upsert_scenarios
 from panelspark.operators.report import (
-    averted, averted_totals, cost_per_unit, group_shares, marginal, nonadditivity, scenario_difference, share_check, survival_prob,
+    averted, averted_totals, cost_per_unit, group_shares, marginal, nonadditivity, scaled_parts, scenario_difference, share_check, survival_prob,
 )
 from panelspark.plans.effect_queries import lines
 from panelspark.plans.registry import CELLS, FACTS, query, r, round_cols
@@ -82,6 +82,20 @@ def q39(spark: SparkSession, d: str) -> DataFrame:
     return round_cols(nonadditivity(t, ["location"], "code", 1, "v"))
 
 
+@query("q39b_scaled_parts", f"""
+WITH {FACTS}, t AS (SELECT location, code, sum(value * discount) AS v, sum(value * tax) AS total_cost FROM facts GROUP BY 1, 2),
+q AS (SELECT location, sum(CASE WHEN code = 1 THEN v END) / nullif(sum(CASE WHEN code <> 1 THEN v END), 0) AS ratio FROM t GROUP BY location)
+SELECT t.location, t.code, {r("round(CASE WHEN code = 1 THEN v ELSE v * ratio END)")} AS v, {r("total_cost", 4)} AS total_cost,
+       {r("total_cost / nullif(round(CASE WHEN code = 1 THEN v ELSE v * ratio END), 0)")} AS cost_per_unit
+FROM t JOIN q ON t.location = q.location""")
+def q39b(spark: SparkSession, d: str) -> DataFrame:
+    """Parts scaled to add up to the package, and their cost per unit."""
+    t = lines(spark, d).groupBy("location", "code").agg(
+        F.sum(F.col("value") * F.col("discount")).alias("v"), F.sum(F.col("value") * F.col("tax")).alias("total_cost"))
+    scaled = scaled_parts(t.select("location", "code", "v"), ["location"], "code", 1, "v")
+    return round_cols(cost_per_unit(scaled, t, ["location", "code"], "v", "total_cost"), 6, total_cost=4)
+
+
 CHAINS, NAMES = [["1", "2", "3"], ["5", "6", "7"]], {"3": "3 most", "7": "7 most"}
 
 

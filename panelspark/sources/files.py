@@ -89,9 +89,21 @@ def number_range(spark: SparkSession, first: int, last: int, name: str) -> DataF
     return spark.range(first, last + 1).select(F.col("id").cast("int").alias(name))
 
 
+def dealt(df: DataFrame, by: list[str], files: int = 8) -> DataFrame:
+    """Rows distributed by the columns of a partitioned table and a salt: at most ``files`` files per value, and a value
+    with most of the rows is still written by that many tasks."""
+    return df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(files)))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """Write a table and read it back: computed once, and the plans that follow start from the files."""
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Write a result, replacing an earlier one; no row numbers."""
-    w = df.write.mode("overwrite")
+    w = (dealt(df, partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path, header=True) if fmt == "csv" else w.parquet(path)
@@ -99,4 +111,4 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
 
 def replace_scenarios(df: DataFrame, path: str, scenario: str = "scenario") -> None:
     """Replace only the scenarios present in ``df`` in a table partitioned by scenario."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(scenario).parquet(path)
+    dealt(df, [scenario]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(scenario).parquet(path)

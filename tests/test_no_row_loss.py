@@ -61,3 +61,19 @@ def test_the_national_grid_is_spread(spark):
     errors = calibration_errors(df, seen, ["place"], "cause", ["x"], "age", "year", 2000, (0, 4), "band", range(-10, 11), range(-1, 2))
     used = errors.select(F.spark_partition_id().alias("p")).distinct().count()
     assert used == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_parts_are_scaled_to_the_package(spark):
+    from panelspark.operators.report import scaled_parts
+    df = spark.createDataFrame([("a", 1, 8.0), ("a", 2, 4.0), ("a", 3, 6.0), (None, 1, 5.0), (None, 2, 2.0), ("z", 2, 1.0)], "k string, code int, v double")
+    got = {(r.k, r.code): r.v for r in scaled_parts(df, ["k"], "code", 1, "v").collect()}
+    assert got == {("a", 1): 8.0, ("a", 2): pytest.approx(3.2), ("a", 3): pytest.approx(4.8), (None, 1): 5.0, (None, 2): 5.0, ("z", 2): None}
+
+
+def test_partitioned_tables_have_few_files(spark, tmp_path):
+    from panelspark.sources.files import write_table
+    df = spark.range(20_000).repartition(16).select((F.col("id") % 3).alias("year"), "id")
+    write_table(df, str(tmp_path / "t"), partition_by=["year"])
+    for folder in (tmp_path / "t").glob("year=*"):
+        assert 1 <= len(list(folder.glob("part-*"))) <= 8
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 20_000
