@@ -167,3 +167,43 @@ def q53(spark: SparkSession, d: str) -> DataFrame:
     totals = projection_totals(spark, d, CAUSES)
     out = averted(totals, [], "year", "scenario", "0", {"dead": "deaths_averted"}, digits=None, keep=["dead", "newcases"])
     return round_cols(out, 4)
+
+
+def projection(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Trajectories of all scenarios, and the composition behind their effects."""
+    status, effects, risks, rates, births = projection_inputs(spark, d)
+    s = SETTINGS
+    scenarios = M.status_scenarios(status, effects, CAUSES, s)
+    wide = M.effect_table([M.status_impact(scenarios, risks, s)], s)
+    return M.trajectories(rates, births, wide, CAUSES, s, CAUSES, sexes=["F", "O"]), scenarios
+
+
+@query("q57_status_scenarios_job", PROJECT_SQL + f"""
+SELECT scenario, sex, CAST(age AS INTEGER) AS age, CAST(year AS INTEGER) AS year, {r("never")} AS never, {r("current")} AS current, {r("ex")} AS ex FROM sall""")
+def q57(spark: SparkSession, d: str) -> DataFrame:
+    """Effects on initiation and cessation, rolled forward for every scenario."""
+    status, effects, _, _, _ = projection_inputs(spark, d)
+    out = M.status_scenarios(status, effects, CAUSES, SETTINGS)
+    return round_cols(out.select("scenario", "sex", "age", "year", "never", "current", "ex"))
+
+
+@query("q58_survival_report", PROJECT_SQL + f""",
+c AS (SELECT scenario, year, sex, age, avg(pop) AS pop, sum(dead) AS dead FROM roll WHERE age BETWEEN 31 AND 50 GROUP BY 1, 2, 3, 4),
+b AS (SELECT scenario, year, (age - 31) // 5 AS band, sum(dead) / sum(pop) AS m FROM c GROUP BY 1, 2, 3)
+SELECT scenario, CAST(year AS INTEGER) AS year, {r("1e0 - product(1e0 - 5e0 * m / (1e0 + 2.5e0 * m))")} AS dying_prob FROM b GROUP BY scenario, year""")
+def q58(spark: SparkSession, d: str) -> DataFrame:
+    """Probability of dying between two ages, from the trajectories; population is the mean over causes."""
+    run, _ = projection(spark, d)
+    return round_cols(M.survival_report(run, ["0", *CAUSES], (30, 49)))
+
+
+@query("q58b_prevalence_report", PROJECT_SQL + f""",
+p AS (SELECT scenario, sex, age - 1 AS age, year, avg(pop) AS pop FROM roll GROUP BY 1, 2, 3, 4)
+SELECT p.scenario, p.sex, CAST(p.year AS INTEGER) AS year, {r("sum(pop * current / 100e0)", 4)} AS cases, {r("sum(pop)", 4)} AS population,
+       {r("sum(pop * current / 100e0) / nullif(sum(pop), 0)")} AS rate
+FROM p JOIN sall s ON s.scenario = p.scenario AND s.sex = p.sex AND s.age = p.age AND s.year = p.year
+WHERE pop IS NOT NULL AND current IS NOT NULL GROUP BY p.scenario, p.sex, p.year""")
+def q58b(spark: SparkSession, d: str) -> DataFrame:
+    """People in the current state by scenario, from the trajectories and their composition."""
+    run, scenarios = projection(spark, d)
+    return round_cols(M.prevalence_report(run, scenarios, ["0", *CAUSES]), 6, cases=4, population=4)
