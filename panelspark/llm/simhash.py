@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD)
     return each.join(grouped(each, threshold), "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5, threshold: int = THRESHOLD) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest doc_id (none: of the smallest fingerprint)."""
     each = saved(fingerprints(docs, size), "documents-with-fingerprints")
     groups = grouped(each.select("doc_id", "fp"), threshold)

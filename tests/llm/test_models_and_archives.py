@@ -190,7 +190,7 @@ def test_pipeline(spark):
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     left = {r.doc_id: r.text for r in toxicity.scored(docs, model).where("predicted = 0").collect()}
     left = {d: kept for d, _, _, kept in brute.lines(list(left.items()))}
-    keep = {c for _, _, c in brute.simhash_components(list(left.items()), size=5)}
+    keep = {c for _, _, c in brute.simhash_components(list(left.items()))}
     left = {d: t for d, t in left.items() if d in keep}
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     want = {d: n for d, n, hit, _ in brute.contamination(list(left.items()), items) if not hit}
