@@ -61,4 +61,3 @@ BASE_PRICE = 28.0         # pack price without tax
 TAX_EFFECT_CAP = 0.95
 SMOKE_SHARE = 0.0042      # share of deaths under 20 used in the share check
 INCREMENT_FLOOR = 0.00001  # smallest coverage increment that counts
-SIGNIF_DIGITS = 3

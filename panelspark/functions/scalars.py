@@ -162,11 +162,6 @@ def grid_key_parts(key: Column | str) -> tuple[Column, Column]:
     )
 
 
-def values_of(name: str, values: list) -> Column:
-    """A short literal list as an array, to be exploded in place of a cross join."""
-    return F.array(*[F.lit(v) for v in values]).alias(name)
-
-
 def bind(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it several times inside a lambda body.
 

@@ -37,10 +37,6 @@ def audit(df: DataFrame, keys: list[str], cols: list[str], expected: int | None
     return out
 
 
-def distinct_values(df: DataFrame, col: str) -> DataFrame:
-    return df.select(col).distinct()
-
-
 def unmatched_keys(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of ``df`` that do not occur in ``other``."""
     return df.select(*keys).distinct().join(other.select(*keys), keys, "left_anti")

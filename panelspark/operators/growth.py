@@ -21,16 +21,22 @@ def denominator(
 
 
 def remainder(
-    df: DataFrame, keys: list[str], part: str, value: str, parts: list | None = None, total_label: str = ALL_CAUSES
+    df: DataFrame, keys: list[str], part: str, value: str, parts: list | None = None, total_label: str = ALL_CAUSES,
+    others_to_background: bool = False,
 ) -> DataFrame:
     """Per part: its value, the total, total minus part and total minus all parts.
 
     The parts of a key travel in one array through a single aggregation, which
     completes missing parts with zero and needs no join back to the totals.
-    ``parts`` is the short list of parts to report.
+    ``parts`` is the short list of parts to report. A part that is not listed raises,
+    or with ``others_to_background`` stays in the background.
     """
     if not parts:
         raise ValueError("name the parts")
+    if not others_to_background:
+        listed = F.col(part).isin([*parts, total_label])
+        text = F.concat(F.lit(f"{part} is not listed: "), F.coalesce(F.col(part).cast("string"), F.lit("NULL")))
+        df = df.filter(F.when(listed, F.lit(True)).otherwise(F.raise_error(text).cast("boolean")))
     def at(label):
         return F.when(F.col(part) == F.lit(label), F.col(value))
     wide = df.groupBy(*keys).agg(
@@ -245,7 +251,7 @@ def split_series(
 
     The wide table is unpivoted, multiplied by ``unit`` and ``scale`` and split; the
     history is appended; ``fill_years`` without data are interpolated, constant at
-    the ends.
+    the ends. A place without history keeps its rows, without values.
     """
     from panelspark.operators.interp import gap_fill
 
@@ -254,7 +260,7 @@ def split_series(
     )
     long = wide.unpivot(keys, year_cols, t, "_v").withColumn(t, F.regexp_extract(t, r"(\d+)$", 1).try_cast("int"))
     long = long.withColumn("_v", F.col("_v").try_cast("double") * F.lit(float(unit)) * F.lit(float(scale)))
-    long = with_values(long.join(share, keys), group, list(groups))
+    long = with_values(long.join(share, keys, "left"), group, list(groups))
     part = F.when(F.col(group) == groups[0], F.col("_share")).otherwise(F.lit(1.0) - F.col("_share"))
     made = long.select(*keys, group, t, (F.col("_v") * part).alias(value))
     out = made.unionByName(history.select(*keys, group, F.col(t).cast("int").alias(t), value))

@@ -36,11 +36,6 @@ def read_csv(spark: SparkSession, paths: str | list[str], spec: Spec, multi_line
     return typed(raw, spec)
 
 
-def read_parquet(spark: SparkSession, paths: str | list[str], spec: Spec | None = None) -> DataFrame:
-    raw = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    return raw if spec is None else typed(raw, spec)
-
-
 def read_sheet_csv(spark: SparkSession, path: str, first_header: str, keep: dict[str, str]) -> DataFrame:
     """A wide sheet exported as CSV, with lines of text before the header row.
 
