@@ -44,8 +44,7 @@ def powers() -> tuple[np.ndarray, np.ndarray]:
     n, base = 2 * SEGMENT + LENGTH, 0x9E3779B97F4A7C15
     inverse = pow(base, -1, 1 << 64)
     with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[1], np.full(n, base)]).astype(np.uint64), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[1], np.full(n, inverse)]).astype(np.uint64), dtype=np.uint64)
+        up, down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)])) for b in (base, inverse))
     return up, down
 
 

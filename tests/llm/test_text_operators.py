@@ -100,6 +100,7 @@ def test_long_text_in_segments():
     assert len(parts) == 2
     found = [[(int(h), int(f) + p[j][1] - p[j][2], p[j][0]) for h, f, j in zip(x.hash, x.first, x.piece)]
              for d, p in parts for x in [substrings.Anchors(d, p)]]
+    assert len({h for h, *_ in found[0]}) > 0.99 * len(found[0]) and len(found[0]) < 0.12 * len(parts[0][0])
     of_tail = {h for h, _, text in found[1] if text == 2}
     assert of_tail and of_tail <= {h for h, at, text in found[1] if text == 1}
 
