@@ -6,8 +6,9 @@ its shingles, so the necessary prefix of a window is one shingle: its rarest, by
 documents. Each place of that shingle in a document gives one place for the window; it must lie inside the document
 (length and position bounds), and then the words are compared one by one.
 
-The documents are exploded to places, met with the windows' shingles and verified in one pass over the text, without a
-shuffle of the text: the side of the windows is broadcast when its checked size is small, and shuffled otherwise.
+One pass over the texts finds and keeps the places of all shingles of windows, which also gives their rarity; the second
+reads only documents with a place for a window's prefix. Neither shuffles text as long as the checked size of the other
+side is small; beyond that, both are joins by shuffle.
 
 Cases: null or blank text has no words; an item without words has no window; items with the same id count once; an item
 with a null id is named by the empty string; repeated rows are reported once each. Further columns pass through.
@@ -15,10 +16,13 @@ with a null id is named by the empty string; repeated rows are reported once eac
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.llm.common import ascii_lower, saved, small
 
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z become a-z
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -56,18 +60,17 @@ def places(docs: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
     return out.withColumn("sh", F.explode(shingles))
 
 
-def prefixes(docs: DataFrame, windows: DataFrame, lengths: list[int], shingle: int) -> DataFrame:
-    """The windows with their rarest shingle ``sh`` and its offset ``off``."""
-    def shingles(n: int) -> DataFrame:
+def window_shingles(windows: DataFrame, lengths: list[int], shingle: int) -> DataFrame:
+    """(w, off, sh): the shingles of every window and where they start in it."""
+    def of_length(n: int) -> DataFrame:
         kind = windows.where(F.col("m") == n) if n < shingle else windows.where(F.col("m") >= shingle)
         offs = kind.select("w", F.col("words").alias("all"), F.explode(F.sequence(F.lit(0), F.col("m") - n)).alias("off"))
         return offs.select("w", "off", shingle_at(F.col("all"), F.col("off"), n).alias("sh"))
-    parts = shingles(lengths[0])
-    for n in lengths[1:]:
-        parts = parts.unionByName(shingles(n))
-    parts = saved(parts, "window-shingles")
-    wanted = parts.select("sh").distinct()
-    found = places(docs, lengths).select("sh").join(small(wanted, 16), "sh")
+    return reduce(DataFrame.unionByName, [of_length(n) for n in lengths])
+
+
+def prefixes(windows: DataFrame, parts: DataFrame, found: DataFrame) -> DataFrame:
+    """The windows with their rarest shingle ``sh`` by the places ``found`` in all documents, and its offset ``off``."""
     counts = found.groupBy("sh").agg(F.count("*").alias("n"))
     ranked = parts.join(counts, "sh", "left").select("w", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "sh").alias("p"))
     best = ranked.groupBy("w").agg(F.min("p").alias("p")).where(F.col("p.n") > 0)  # a shingle that never occurs: no match
@@ -78,16 +81,21 @@ def contained(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int
     """(doc_id, text_key, w, start, m) for every occurrence of a window, and the windows with their items."""
     windows = saved(windows_of(items, window), "windows")
     lengths = sorted({min(r["m"], shingle) for r in windows.select("m").distinct().collect()}) or [shingle]
+    parts = saved(window_shingles(windows, lengths, shingle), "window-shingles")
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    wanted = saved(prefixes(docs, windows, lengths, shingle), "prefixes")
-    met = places(docs, lengths, "doc_id", "text_key").join(small(wanted, 64 * (window + 1)), "sh")
+    found = places(docs, lengths, "doc_id", "text_key").select("doc_id", "text_key", "at", "sh")
+    found = saved(found.join(small(parts.select("sh").distinct(), 16), "sh"), "shingle-places")
     start = F.col("at") - F.col("off")
-    inside = (start >= 0) & (start + F.col("m") <= F.size("words"))
-    same = F.lit(True)
+    likely = found.join(prefixes(windows, parts, found), "sh").where(start >= 0)
+    likely = saved(likely.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), start.alias("start"), "w", "m", "wanted"), "candidates")
+    same_doc = docs["doc_id"].eqNullSafe(likely["_d"]) & (docs["text_key"] == likely["_t"])
+    keys = likely.select("_d", "_t").distinct()
+    texts = docs.join(small(keys, 32), same_doc, "left_semi").select("doc_id", "text_key", words_of(F.col("text")).alias("words"))
+    met = texts.join(small(likely, 24 * (window + 3)), same_doc)
+    same = F.col("start") + F.col("m") <= F.size("words")
     for i in range(window):
-        same = same & ((F.col("m") <= i) | (F.get("words", start + i) == F.get("wanted", F.lit(i))))
-    met = met.where(inside & same)
-    return met.select("doc_id", "text_key", "w", start.alias("start"), "m").distinct(), windows
+        same = same & ((F.col("m") <= i) | (F.get("words", F.col("start") + i) == F.get("wanted", F.lit(i))))
+    return met.where(same).select("doc_id", "text_key", "w", "start", "m").distinct(), windows
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
@@ -102,7 +110,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle:
     side = hits.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
     other = named.withColumnsRenamed({"doc_id": "_e", "text_key": "_u"})
     side = side.join(other, F.col("_d").eqNullSafe(F.col("_e")) & (F.col("_t") == F.col("_u"))).drop("_e", "_u")
-    out = docs.withColumn("_words", F.regexp_count(ascii_lower(F.col("text")), F.lit(NOT_WORD.replace("[", "[^", 1))))
+    out = docs.withColumn("_words", F.regexp_count("text", F.lit(WORD)))
     out = out.withColumn("_key", F.xxhash64("text")).select(*[c for c in docs.columns if c != "text"], "_words", "_key")
     out = out.join(side, out["doc_id"].eqNullSafe(side["_d"]) & (F.col("_key") == F.col("_t")), "left")
     n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
