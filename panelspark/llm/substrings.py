@@ -4,7 +4,9 @@ Every string of ``length`` bytes has an anchor, the leftmost smallest hash among
 the string alone; equal strings have equal anchors. Strings with one anchor at one place form a context of at most
 2 * length - K bytes.
 
-1. Anchors of all documents are counted by hash, as packed arrays per hash range; a string can only repeat if its anchor
+0. Copies of a text of a smaller document (by 128-bit hash) lose all bytes and cannot hold a string first; they are set
+   aside.
+1. Anchors of all other documents are counted by hash, as packed arrays per hash range; a string can only repeat if its anchor
    occurs twice. The outcome comes back as two bits for each anchor of a document.
 2. Contexts of repeated anchors are made distinct in Spark with the smallest doc_id that holds them and dealt to
    partitions by anchor. Contexts of very frequent anchors are cut to single strings, which are dealt by their own hash,
@@ -15,7 +17,8 @@ the string alone; equal strings have equal anchors. Strings with one anchor at o
    search of one's classes in the others'.
 4. Each context learns which of its strings occur in a smaller document; its occurrences turn that into byte ranges.
 
-Counts, anchors and classes cover all bytes; hash values only decide what meets, strings are compared as bytes.
+Counts, anchors and classes cover all bytes. Apart from whole copies and the way back of the outcome (128-bit hashes), hash
+values only decide what meets; strings are compared as bytes.
 
 Cases: null or empty text has no bytes; documents under ``length`` bytes keep all; a null doc_id neither removes nor loses;
 rows with the same doc_id do not remove from each other; long texts are read in overlapping segments.
@@ -32,10 +35,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm.common import partitions, saved, small, table
+from panelspark.llm.common import key_pair, partitions, saved, small, table
 
 LENGTH, K, SEGMENT, SHARD = 50, 24, 1 << 18, 1 << 20
-HEAVY = 2_000  # occurrences from which an anchor's strings are dealt one by one
+HEAVY = 50_000  # occurrences from which an anchor's strings are dealt one by one
 WINDOW = LENGTH - K + 1
 
 
@@ -349,16 +352,26 @@ def judge_contexts(distinct: DataFrame) -> DataFrame:
     return out.select(F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(1), "ctx").alias("c2"), "smallest", "mask", "n")
 
 
+def copied(docs: DataFrame) -> DataFrame:
+    """(h1, h2, first) of the texts that several rows hold, by 128-bit hash, with their smallest doc_id."""
+    texts = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", *key_pair(F.col("text")))
+    found = texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return saved(found.select("h1", "h2", "first"), "copied-texts")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans) of the documents that lose bytes: array of (at, n, mask), bit i for the string at at + i."""
+    """(doc_id, text_key, spans) of the documents that lose bytes: array of (at, n, mask), bit i for the string at at + i.
+
+    ``docs`` has no null ids, no texts under ``length`` bytes and no copies of a text of a smaller document.
+    """
     spark = docs.sparkSession
-    docs = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    docs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     codes = repeated_anchors(docs, n_bytes)
     size = codes.agg(F.count("*"), F.sum(F.octet_length("codes"))).first()
     likely = docs.join(small(codes, 48 + (size[1] or 0) // max(size[0], 1)), ["doc_id", "text_key"])
-    found = saved(contexts(likely), "contexts")
-    n = max(partitions(spark), found.count() // 40_000)
+    found = contexts(likely)  # made twice below: cheaper than to keep it
+    n = max(partitions(spark), n_bytes // (4 << 20))
     distinct = found.groupBy("part", "ctx").agg(F.min("doc_id").alias("smallest"))
     judged = judge_contexts(distinct.repartition(n, "part").select("ctx", "smallest"))
     places = found.select(F.xxhash64("ctx").alias("c1"), F.xxhash64(F.lit(1), "ctx").alias("c2"), "doc_id", "text_key", "at")
@@ -370,9 +383,14 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def dedup_strings(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text, ...) with kept (bytes), n_bytes, n_removed and n_spans."""
-    found = saved(repeats(docs), "spans").withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
+    copies = copied(docs).withColumnsRenamed({"h1": "_h1", "h2": "_h2", "first": "_first"})
+    rows = docs.withColumns({"_key": F.xxhash64("text"), "_g1": key_pair(F.col("text"))[0], "_g2": key_pair(F.col("text"))[1]})
+    rows = rows.join(small(copies, 40), (F.col("_g1") == F.col("_h1")) & (F.col("_g2") == F.col("_h2")), "left")
+    whole = (F.octet_length("text") >= LENGTH) & (F.col("doc_id") > F.col("_first"))  # a copy of a smaller document's text
+    rows = rows.withColumn("_whole", F.coalesce(whole, F.lit(False))).drop("_g1", "_g2", "_h1", "_h2", "_first")
+    long = F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
+    found = saved(repeats(rows.where(long & ~F.col("_whole"))), "spans").withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
     size = found.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    rows = docs.withColumn("_key", F.xxhash64("text"))
     rows = rows.join(small(found, 64 + 40 * (size[1] or 0) // max(size[0], 1)), (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")
@@ -390,9 +408,12 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
             runs = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum())
             out.append((np.frombuffer(data, np.uint8)[~lost].tobytes(), int(lost.sum()), runs))
         return pd.DataFrame(out, columns=["kept", "n_removed", "n_spans"])
-    rows = rows.withColumn("_c", cut("text", "spans.at", "spans.n", "spans.mask"))
-    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    return rows.select(*docs.columns, "_c.kept", n_bytes, "_c.n_removed", "_c.n_spans")
+    left = F.when(~F.col("_whole"), F.col("text"))
+    rows = rows.withColumn("_c", cut(left, "spans.at", "spans.n", "spans.mask"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return rows.select(
+        *docs.columns, "_c.kept", n_bytes.alias("n_bytes"), F.when(F.col("_whole"), n_bytes).otherwise(F.col("_c.n_removed")).alias("n_removed"),
+        F.when(F.col("_whole"), F.lit(1).cast("long")).otherwise(F.col("_c.n_spans")).alias("n_spans"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
