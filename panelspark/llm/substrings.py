@@ -360,7 +360,7 @@ def copied(docs: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_key, spans) of the documents that lose bytes: array of (at, n, mask), bit i for the string at at + i.
+    """(doc_id, text_key, spans) of the documents that lose bytes: starts and stops of the maximal ranges, ascending.
 
     ``docs`` has no null ids, no texts under ``length`` bytes and no copies of a text of a smaller document.
     """
@@ -378,7 +378,19 @@ def repeats(docs: DataFrame) -> DataFrame:
     met = places.join(judged, ["c1", "c2"]).where((F.col("doc_id") > F.col("smallest")) | (F.col("mask") != 0))
     mask = F.when(F.col("doc_id") > F.col("smallest"), F.lit(-1).cast("long")).otherwise(F.col("mask"))
     span = F.struct("at", "n", mask.alias("mask"))
-    return met.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("spans"))
+    met = met.groupBy("doc_id", "text_key").agg(F.collect_list(span).alias("s"))
+
+    @F.pandas_udf("start array<long>, stop array<long>")
+    def merged(ats: pd.Series, sizes: pd.Series, masks: pd.Series) -> pd.DataFrame:
+        starts, stops = [], []
+        for at, n, mask in zip(ats, sizes, masks):
+            bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            first = np.sort((np.repeat(at, n) + bit)[(np.repeat(mask, n) >> bit) & 1 == 1])
+            new = np.concatenate([[True], first[1:] > first[:-1] + LENGTH])
+            starts.append(first[new])
+            stops.append(first[np.concatenate([new[1:], [True]])] + LENGTH)
+        return pd.DataFrame({"start": starts, "stop": stops})
+    return met.select("doc_id", "text_key", merged("s.at", "s.n", "s.mask").alias("spans"))
 
 
 def dedup_strings(docs: DataFrame) -> DataFrame:
@@ -390,26 +402,22 @@ def dedup_strings(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("_whole", F.coalesce(whole, F.lit(False))).drop("_g1", "_g2", "_h1", "_h2", "_first")
     long = F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
     found = saved(repeats(rows.where(long & ~F.col("_whole"))), "spans").withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
-    size = found.agg(F.count("*"), F.sum(F.size("spans"))).first()
-    rows = rows.join(small(found, 64 + 40 * (size[1] or 0) // max(size[0], 1)), (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
+    size = found.agg(F.count("*"), F.sum(F.size("spans.start"))).first()
+    rows = rows.join(small(found, 64 + 16 * (size[1] or 0) // max(size[0], 1)), (F.col("doc_id") == F.col("_d")) & (F.col("_key") == F.col("_t")), "left")
 
     @F.pandas_udf("kept binary, n_removed long, n_spans long")
-    def cut(texts: pd.Series, ats: pd.Series, sizes: pd.Series, masks: pd.Series) -> pd.DataFrame:
+    def cut(texts: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
         out = []
-        for t, at, n, mask in zip(texts, ats, sizes, masks):
+        for t, start, stop in zip(texts, starts, stops):
             data = (t or "").encode("utf-8", "surrogatepass")
-            if at is None:
+            if start is None:
                 out.append((data, 0, 0))
                 continue
-            bit = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            first = (np.repeat(at, n) + bit)[(np.repeat(mask, n) >> bit) & 1 == 1]
-            change = np.bincount(first, minlength=len(data) + 1) - np.bincount(first + LENGTH, minlength=len(data) + 1)
-            lost = np.cumsum(change[:-1]) > 0
-            runs = int(lost[0]) + int((lost[1:] & ~lost[:-1]).sum())
-            out.append((np.frombuffer(data, np.uint8)[~lost].tobytes(), int(lost.sum()), runs))
+            kept = b"".join(data[a:b] for a, b in zip([0, *stop], [*start, len(data)]))
+            out.append((kept, len(data) - len(kept), len(start)))
         return pd.DataFrame(out, columns=["kept", "n_removed", "n_spans"])
     left = F.when(~F.col("_whole"), F.col("text"))
-    rows = rows.withColumn("_c", cut(left, "spans.at", "spans.n", "spans.mask"))
+    rows = rows.withColumn("_c", cut(left, "spans.start", "spans.stop"))
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return rows.select(
         *docs.columns, "_c.kept", n_bytes.alias("n_bytes"), F.when(F.col("_whole"), n_bytes).otherwise(F.col("_c.n_removed")).alias("n_removed"),
