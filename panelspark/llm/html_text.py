@@ -4,7 +4,8 @@ Every page is read into events (open, close, text) with the usual repairs: impli
 stray end tags, raw text elements. Each element's subtree gets a 64-bit hash of its tag, class, id, texts and children. Spark counts
 on how many pages of its host a subtree occurs; those on at least ``min_pages`` pages and a ``share`` of the host's pages
 are the site's template and are deleted, together with elements whose tag, role, class or id names them as menus,
-headers, footers, sidebars, notices, adverts, forms or comments. Paragraphs, headings and list items inside an article
+headers, footers, sidebars, notices, adverts, forms or comments (never for a class or id an element that holds a main or
+most of the text). Paragraphs, headings and list items inside an article
 are the author's text even if they recur and are not counted. What is left of the article elements (else of main, else
 of the body) is the text: blocks in page order, one per line.
 
@@ -51,27 +52,65 @@ class Page:
     events: list[tuple] = field(default_factory=list)  # ("open"/"close", node) and ("text", str)
     tags: list[str] = field(default_factory=list)
     drop: list[bool] = field(default_factory=list)
+    named: list[bool] = field(default_factory=list)  # dropped by a word of class or id only
     within: list[bool] = field(default_factory=list)  # inside an article or main
     hashes: list[int] = field(default_factory=list)
 
 
-def unwanted(tag: str, attributes: str, within: bool) -> bool:
+def unwanted(tag: str, attributes: str, within: bool) -> tuple[bool, bool]:
+    """Whether an element is dropped, and whether only by a word of its class or id."""
     if tag in DROP_TAGS or tag == "header" and not within:
-        return True
+        return True, False
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return False, False
+    named = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         words = set(re.split(r"[^a-z]+", value))
         if name.lower() == "role":
             if words & DROP_ROLES or "banner" in words and not within:
-                return True
+                return True, False
         elif tag == "article":
-            if words & {"comment", "comments", "reply", "ad", "promo", "related"}:
-                return True
-        elif words & DROP_WORDS or "header" in words and not within:
-            return True
-    return bool(HIDDEN.search(attributes))
+            named |= bool(words & {"comment", "comments", "reply", "ad", "promo", "related"})
+        else:
+            named |= bool(words & DROP_WORDS) or "header" in words and not within
+    hidden = bool(HIDDEN.search(attributes))
+    return hidden or named, named and not hidden
+
+
+def spare(page: Page) -> None:
+    """Elements that hold a main or most of the text are not dropped for their name.
+
+    Most of the text: of the articles and main if they have any, else of the page. Dropped elements, and articles named
+    as comments or adverts where there are others, do not count.
+    """
+    def measured(soft: bool):
+        hard = inside = every = core = mains = 0
+        at, spans = {}, {}
+        for kind, value in page.events:
+            if kind == "text":
+                n = 0 if hard else len("".join(value.split()))
+                every, core = every + n, core + (n if inside else 0)
+                continue
+            step, tag = 1 if kind == "open" else -1, page.tags[value]
+            if page.drop[value] and not (page.named[value] and (soft or tag != "article")):
+                hard += step
+            if tag in ROOTS:
+                inside += step
+                mains += tag == "main" and kind == "open" and not hard
+            if page.named[value]:
+                if kind == "open":
+                    at[value] = every, core, mains
+                else:
+                    spans[value] = [x - y for x, y in zip((every, core, mains), at[value])]
+        return every, core, spans
+
+    every, core, spans = measured(False)
+    if not core:
+        every, core, spans = measured(True)
+    for node, (of_every, of_core, mains) in spans.items():
+        if mains or (2 * of_core > core if core else 2 * of_every > every):
+            page.drop[node] = False
 
 
 def read(source: str) -> Page:
@@ -133,7 +172,9 @@ def read(source: str) -> Page:
         node = len(page.tags)
         page.tags.append(tag)
         page.within.append(inside > 0)
-        page.drop.append(unwanted(tag, attributes, inside > 0))
+        drop, named = unwanted(tag, attributes, inside > 0)
+        page.drop.append(drop)
+        page.named.append(named)
         page.hashes.append(0)
         page.events.append(("open", node))
         marks = " ".join(a or b or c for name, a, b, c in ATTRIBUTE.findall(attributes)) if attributes else ""
@@ -149,6 +190,8 @@ def read(source: str) -> Page:
             at = end.end() if end else len(source)
             close(len(stack) - 1)
     close(0)
+    if any(page.named):
+        spare(page)
     return page
 
 
