@@ -10,7 +10,7 @@ are the author's text even if they recur and are not counted. What is left of th
 of the body) is the text: blocks in page order, one per line.
 
 Cases: null or empty html gives an empty text; broken or cut markup is read as far as it goes; a null or unparsable URL
-belongs to the host of the empty name; repeated rows count as pages of their own; other columns pass through.
+belongs to the host of the empty name; copies of a page on a host count as one page; other columns pass through.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from panelspark.llm.common import saved, small, table
+from panelspark.llm.common import key_pair, saved, small, table
 
 # Element names and the words of class, id and role that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -259,9 +259,15 @@ def extracted(pages: pd.Series, templates: pd.Series) -> pd.Series:
 
 def templates(pages: DataFrame, min_pages: int = 10, share: float = 0.6) -> DataFrame:
     """(host, template): the hashes of the subtrees that recur on the pages of a host; at most elements per page / share."""
-    hosts = pages.groupBy(host(F.col("url")).alias("host")).agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    each = pages.select(host(F.col("url")).alias("host"), F.explode(subtrees("html")).alias("subtree"))
-    counts = each.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    keyed = pages.select(host(F.col("url")).alias("host"), "html", *key_pair(F.coalesce("html", F.lit(""))))
+    copies = saved(keyed.groupBy("host", "h1", "h2").agg(F.count("*").alias("n")), "page-keys")
+    hosts = copies.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    # a page that stands once counts as a row; only of copies is the key carried along, to count it once
+    repeated = copies.where("n > 1").select("host", "h1", "h2", F.struct("h1", "h2").alias("page"))
+    each = keyed.join(small(repeated, 64), ["host", "h1", "h2"], "left").select("host", "page", F.explode(subtrees("html")).alias("subtree"))
+    counts = each.groupBy("host", "subtree", "page").agg(F.count("*").alias("n"))
+    counts = counts.groupBy("host", "subtree").agg(F.sum(F.when(F.col("page").isNull(), F.col("n")).otherwise(1)).alias("n"))
+    counts = counts.where(F.col("n") >= min_pages)
     found = counts.join(hosts, "host").where(F.col("n") >= F.col("pages") * share)
     return found.groupBy("host").agg(F.collect_list("subtree").alias("template"))
 

@@ -18,3 +18,13 @@ ARTICLE = "<article><p>Own text of the page, of some length</p></article>"
 ])
 def test_names_do_not_take_the_main_text(page, want):
     assert html_text.main_text(html_text.read(page), set()) == want
+
+
+def test_copies_of_a_page_count_once(spark):
+    menu = "<div><span>Menu of C</span></div>"
+    rows = [(i, f"http://c.example/{i}", f"{menu}<div><section>Same text</section></div>") for i in range(30)]
+    rows += [(30 + i, f"http://c.example/{30 + i}", f"{menu}<div><section>Own text {i}</section></div>") for i in range(9)]
+    rows += [(50 + i, f"http://d.example/{i}", "<div>All of a small site</div>") for i in range(12)]
+    out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = {p: "Same text" if p < 30 else f"Own text {p - 30}" if p < 50 else "All of a small site" for p, *_ in rows}
+    assert {r.page_id: r.text for r in out} == want
