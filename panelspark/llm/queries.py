@@ -7,6 +7,7 @@ from panelspark.llm.html_text import op4
 from panelspark.llm.langid import op1
 from panelspark.llm.line_dedup import SQL5, op5
 from panelspark.llm.mixing import op6
+from panelspark.llm.pieces import op11
 from panelspark.llm.simhash import op9
 from panelspark.llm.substrings import op7
 from panelspark.llm.topk import SQL2, op2
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_warc": op8,
     "op9_simhash_near_dedup": op9,
     "op10_toxicity": op10,
+    "op11_sentencepiece": op11,
 }
 ORACLES = {
     "op2_top_k": SQL2,
