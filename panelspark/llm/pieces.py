@@ -4,10 +4,10 @@ A text gets the word mark in front and in place of its spaces and is cut into ch
 a word mark that follows another character, and around characters that only ever stand alone in the vocabulary. (Vocabularies
 with a piece that holds a mark after another character are not cut at marks.) A chunk starts as single characters; every
 adjacent pair that forms a piece goes on an agenda ordered by score, then by place. The best pair is merged, stale entries are
-skipped, and the pairs with the new neighbours are added, until the agenda is empty. Characters outside the vocabulary become
-their UTF-8 bytes. Chunks, and the parts between neighbours that no piece holds in sequence, are remembered per worker, so a
-repeated word is merged once; the chunks that an Arrow batch adds are also encoded by the sentencepiece library, and any
-difference raises. Decoding joins the pieces, takes the mark at the
+skipped, and the pairs with the new neighbours are added, until the agenda is empty. The agendas of short chunks stand side by
+side in numpy arrays and advance together; a long chunk has a heap. Characters outside the vocabulary become their UTF-8
+bytes. Chunks are remembered per worker, so a repeated word is merged once; the chunks that an Arrow batch adds are also
+encoded by the sentencepiece library, and any difference raises. Decoding joins the pieces, takes the mark at the
 very start away and checks runs of byte pieces: a byte that belongs to no character becomes U+FFFD.
 
 The model file is read once by the driver (its size is that of one vocabulary) and travels with the function.
@@ -25,7 +25,9 @@ import struct
 from array import array
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -34,8 +36,10 @@ from panelspark.llm.common import table
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-REMEMBERED = 1 << 18  # chunks in each half of a worker's store
-SHORT = 48  # longer chunks are not remembered
+REMEMBERED = 1 << 19  # chunks that a worker keeps; beyond it the store starts anew
+SHORT = 32  # longer chunks have an agenda of their own
+ROWS, WAITING = 1 << 15, 1 << 19  # chunks merged together; chunks of texts that wait for their new ones
+NONE = np.iinfo(np.int32).max  # the rank of a pair that forms no piece
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -95,7 +99,19 @@ class Vocabulary:
         self.end = next(i for i, (piece, _, kind) in enumerate(self.pieces) if kind == CONTROL and piece == trainer.get(47, b"</s>").decode())
 
         joined = [piece for piece in self.ids if len(piece) > 1]
-        self.pairs = {piece[i:i + 2] for piece in joined for i in range(len(piece) - 1)}
+        pairs = {}
+        for piece in joined:
+            for i in range(1, len(piece)):
+                left, right = self.ids.get(piece[:i]), self.ids.get(piece[i:])
+                if left is not None and right is not None:
+                    pairs[left * len(self.pieces) + right] = piece
+        self.pair_keys = np.array(sorted(pairs) or [-1], np.int64)
+        self.pair_ranks = np.array([self.rank[pairs[k]] for k in sorted(pairs)] or [NONE], np.int32)
+        self.pair_ids = np.array([self.ids[pairs[k]] for k in sorted(pairs)] or [-1], np.int32)
+        self.letter_ids = np.full(0x110000, -1, np.int32)
+        for piece, i in self.ids.items():
+            if len(piece) == 1:
+                self.letter_ids[ord(piece)] = i
         letters = "".join(sorted(set("".join(joined)) - {MARK}))
         letters = "[" + re.escape(letters) + "]" if letters else "(?!)"
         if any(re.search(f"[^{MARK}]{MARK}", piece) for piece in joined):
@@ -114,19 +130,9 @@ class Vocabulary:
     def chunks(self, text: str) -> list[str]:
         return self.cut.findall(self.prefix + text.replace(" ", MARK)) if text else []
 
-    def parts(self, chunk: str) -> list[str]:
-        """A chunk cut between neighbours that no piece holds in sequence."""
-        pairs, out, start = self.pairs, [], 0
-        for i in range(1, len(chunk)):
-            if chunk[i - 1:i + 1] not in pairs:
-                out.append(chunk[start:i])
-                start = i
-        out.append(chunk[start:])
-        return out
-
-    def merged(self, part: str) -> list[int]:
-        """The ids of a chunk or part, by the agenda of its adjacent pairs: (rank of the score, place) in one number."""
-        rank, parts = self.rank, list(part)
+    def merged(self, chunk: str) -> list[int]:
+        """The ids of a chunk, by the agenda of its adjacent pairs: (rank of the score, place) in one number."""
+        rank, parts = self.rank, list(chunk)
         n = len(parts)
         shift = n.bit_length()
         place = (1 << shift) - 1
@@ -168,6 +174,63 @@ class Vocabulary:
                     out.append(i)
         return out
 
+    def ranks_of(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the piece that each pair of ids forms; NONE where it forms no piece."""
+        keys = left.astype(np.int64) * len(self.pieces) + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        hit = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
+        return np.where(hit, self.pair_ranks[at], NONE), self.pair_ids[at]
+
+    def merged_together(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of many chunks as 32-bit numbers. Short chunks share numpy agendas: a row per chunk, its pairs' ranks in place; in
+        each round every row merges its best pair, the leftmost of equals, and looks up the two new pairs."""
+        out: dict[str, bytes] = {}
+        by_width: dict[int, list[str]] = {}
+        for chunk in chunks:
+            by_width.setdefault(-(-len(chunk) // 4) if len(chunk) <= SHORT else 0, []).append(chunk)
+        for width, some in by_width.items():
+            for i in range(0, len(some), ROWS) if width else ():
+                rest = self._merge_rows(some[i:i + ROWS], 4 * width, out)
+                out.update((chunk, array("i", self.merged(chunk)).tobytes()) for chunk in rest)
+            if not width:
+                out.update((chunk, array("i", self.merged(chunk)).tobytes()) for chunk in some)
+        return out
+
+    def _merge_rows(self, chunks: list[str], width: int, out: dict[str, bytes]) -> list[str]:
+        """Fills ``out``; returns the chunks with a character that is no piece."""
+        lengths = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        ids = np.full((len(chunks), width + 1), -1, np.int32)
+        ids[np.arange(width + 1) < lengths[:, None]] = self.letter_ids[np.frombuffer("".join(chunks).encode("utf-32-le"), "<u4")]
+        known = (ids >= 0).sum(axis=1) == lengths
+        rest = [chunks[i] for i in np.flatnonzero(~known)]
+        rows, ids = np.flatnonzero(known), ids[known]
+        ranks = np.full(ids.shape, NONE, np.int32)
+        ranks[:, :-1] = self.ranks_of(ids[:, :-1], ids[:, 1:])[0]
+        columns = np.arange(width + 1)
+        while len(rows):
+            place = ranks.argmin(axis=1)
+            open_ = ranks[np.arange(len(rows)), place] < NONE
+            done = ~open_
+            if done.any():
+                sizes = (ids[done] >= 0).sum(axis=1).tolist()
+                data, step = ids[done].tobytes(), 4 * (width + 1)
+                for k, (row, size) in enumerate(zip(rows[done].tolist(), sizes)):
+                    out[chunks[row]] = data[k * step:k * step + 4 * size]
+                rows, ids, ranks, place = rows[open_], ids[open_], ranks[open_], place[open_]
+                if not len(rows):
+                    break
+            every = np.arange(len(rows))
+            both = self.ranks_of(ids[every, place], ids[every, place + 1])[1]
+            shift = np.minimum(columns + (columns > place[:, None]), width)
+            ids, ranks = np.take_along_axis(ids, shift, 1), np.take_along_axis(ranks, shift, 1)
+            ids[:, width], ranks[:, width] = -1, NONE
+            ids[every, place] = both
+            ranks[every, place] = self.ranks_of(both, ids[every, np.minimum(place + 1, width)])[0]
+            inner = place > 0
+            before = every[inner], place[inner] - 1
+            ranks[before] = self.ranks_of(ids[before], both[inner])[0]
+        return rest
+
     def text(self, ids: list[int]) -> str:
         """The text of ids."""
         surface = self.surface
@@ -206,79 +269,60 @@ class Vocabulary:
         return "".join(out)
 
 
-class Remembered:
-    """A bounded store of a worker: when the young half is full it becomes the old half; what is asked for stays young."""
-
-    def __init__(self, size: int = REMEMBERED):
-        self.size, self.young, self.old = size, {}, {}
-
-    def get(self, key: str) -> bytes | None:
-        out = self.old.get(key)
-        if out is not None:
-            self.put(key, out)
-        return out
-
-    def put(self, key: str, value: bytes) -> None:
-        if len(self.young) >= self.size:
-            self.young, self.old = {}, self.young
-        if len(key) <= SHORT:
-            self.young[key] = value
-
-
 class Encoder:
-    """One worker's vocabulary, remembered chunks and parts, and the library to check against."""
+    """One worker's vocabulary, remembered chunks, and the library to check against."""
 
-    def __init__(self, model: bytes):
-        self.vocabulary = Vocabulary(model)
+    def __init__(self, model: bytes, remembered: int = REMEMBERED):
+        self.vocabulary, self.remembered = Vocabulary(model), remembered
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.known, self.known_parts = Remembered(), Remembered()
-
-    def ids(self, chunk: str) -> bytes:
-        """The ids of a chunk as 32-bit numbers, part by part."""
-        out, store = b"", self.known_parts
-        for part in self.vocabulary.parts(chunk):
-            ids = store.young.get(part) or store.get(part)
-            if ids is None:
-                ids = array("i", self.vocabulary.merged(part)).tobytes()
-                store.put(part, ids)
-            out += ids
-        return out
+        self.known: dict[str, bytes] = {}
 
     def check(self, new: dict[str, bytes]) -> None:
         """The library encodes the same chunks. It puts the mark in front itself; a chunk without one is encoded behind a line feed,
         which is a chunk of its own."""
-        v, texts, want = self.vocabulary, [], []
-        lead = b"".join(map(self.ids, v.chunks("\n")))
-        for chunk, ids in new.items():
-            if v.prefix and chunk[0] != MARK:
-                texts.append("\n" + chunk)
-                want.append(lead + ids)
-            elif chunk != v.prefix:  # the library has no ids for an empty text
-                texts.append(chunk[len(v.prefix):].replace(MARK, " "))
-                want.append(ids)
-        for text, ids, found in zip(texts, want, self.library.encode(texts, num_threads=1)):
-            if array("i", found).tobytes() != ids:
-                raise RuntimeError(f"the sentencepiece library encodes {text!r} as {found}, not as {array('i', ids).tolist()}")
+        v = self.vocabulary
+        lead = b"".join(v.merged_together(v.chunks("\n")).values())
+        plain = [c for c in new if c[:len(v.prefix)] == v.prefix and c != v.prefix]  # the library has no ids for an empty text
+        other = [c for c in new if c[:len(v.prefix)] != v.prefix]
+        texts = [c[len(v.prefix):].replace(MARK, " ") for c in plain] + ["\n" + c.replace(MARK, " ") for c in other]
+        found = self.library.encode(texts, num_threads=1)
+        want = [new[c] for c in plain] + [lead + new[c] for c in other]
+        if np.fromiter(chain.from_iterable(found), np.int32).tobytes() != b"".join(want) or any(4 * len(f) != len(w) for f, w in zip(found, want)):
+            text, f, w = next((t, f, w) for t, f, w in zip(texts, found, want) if array("i", f).tobytes() != w)
+            raise RuntimeError(f"the sentencepiece library encodes {text!r} as {f}, not as {array('i', w).tolist()}")
+
+    def learn(self, chunks: set[str], checked: bool) -> None:
+        new = self.vocabulary.merged_together(list(chunks))
+        if checked and new:
+            self.check(new)
+        self.known.update(new)
 
     def encoded(self, texts: pa.Array, checked: bool, end: bool) -> pa.Array:
-        v, known = self.vocabulary, self.known
-        flat, offsets, new = bytearray(), [0], {}
-        last = array("i", [v.end] if end else []).tobytes()
+        flat, offsets = bytearray(), [0]
+        last = array("i", [self.vocabulary.end] if end else []).tobytes()
+        waiting: list[list[str]] = []
+        new: set[str] = set()
+
+        def put() -> None:
+            self.learn(new, checked)
+            for chunks in waiting:
+                flat.extend(b"".join(map(self.known.__getitem__, chunks)))
+                flat.extend(last)
+                offsets.append(len(flat) // 4)
+            waiting.clear()
+            new.clear()
+            if len(self.known) > self.remembered:
+                self.known.clear()
+        size = 0
         for text in texts:
-            for chunk in v.chunks(text.as_py() or ""):
-                ids = known.young.get(chunk) or known.get(chunk)
-                if ids is None:
-                    ids = self.ids(chunk)
-                    known.put(chunk, ids)
-                    if checked:
-                        new[chunk] = ids
-                flat += ids
-            flat += last
-            offsets.append(len(flat) // 4)
-            if len(new) >= 4096:
-                self.check(new)
-                new = {}
-        self.check(new)
+            chunks = self.vocabulary.chunks(text.as_py() or "")
+            waiting.append(chunks)
+            new.update(set(chunks).difference(self.known))
+            size += len(chunks)
+            if size > WAITING:
+                put()
+                size = 0
+        put()
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)]))
 
 

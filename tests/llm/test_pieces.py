@@ -36,11 +36,11 @@ def test_odd_texts(model, library):
         assert e.vocabulary.text(found) == library.decode(found)
 
 
-def test_whole_chunk_equals_its_parts(model):
+def test_rows_and_heaps_agree(model):
     rng, v = random.Random(4), pieces.Vocabulary(model)
-    for _ in range(2000):
-        t = "".join(rng.choice("abethn,.'\"éß9") for _ in range(rng.randrange(1, 20)))
-        assert [i for p in v.parts(t) for i in v.merged(p)] == v.merged(t)
+    chunks = list({"".join(rng.choice("▁abethnio,.'é\nß9漢") for _ in range(rng.randrange(1, 44))) for _ in range(5000)} | {"a" * 32, "▁" * 20, "ab" * 20})
+    got = v.merged_together(chunks)
+    assert {c: pieces.array("i", x).tolist() for c, x in got.items()} == {c: v.merged(c) for c in chunks}
 
 
 def test_random_ids_decode_as_the_library_does(model, library):
@@ -52,18 +52,17 @@ def test_random_ids_decode_as_the_library_does(model, library):
 
 def test_difference_from_the_library_raises(model):
     e = pieces.Encoder(model)
-    e.check({"▁the": e.ids("▁the"), "the": e.ids("the"), "▁": e.ids("▁")})
+    e.check(e.vocabulary.merged_together(["▁the", "the", "▁", "▁▁x"]))
     with pytest.raises(RuntimeError):
-        e.check({"▁the": e.ids("▁a")})
+        e.check(e.vocabulary.merged_together(["▁x"]) | {"▁the": b"abcd"})
 
 
-def test_store_keeps_what_is_used():
-    store = pieces.Remembered(2)
-    for k in "abcd":
-        store.put(k, k.encode())
-    assert store.get("b") == b"b" and store.get("c") == b"c" and store.get("a") is None and len(store.young) <= 2
-    store.put("x" * 100, b"long")
-    assert store.get("x" * 100) is None
+def test_store_starts_anew(model, library):
+    e = pieces.Encoder(model, remembered=10)
+    for _ in range(3):
+        texts = [" ".join(f"word{i}" for i in range(50)), None, "é"]
+        assert e.encoded(pieces.pa.array(texts), True, False).to_pylist() == [library.encode(t or "") for t in texts]
+        assert len(e.known) <= 10
 
 
 @pytest.mark.parametrize("wrong", ["unigram", "broken"])
