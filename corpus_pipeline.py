@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from panelspark.llm import decontaminate, line_dedup, mixing, near_copies, toxicity
+from panelspark.llm import decontaminate, line_dedup, mixing, simhash, toxicity
 from panelspark.llm.common import saved, table
 
 
@@ -26,8 +26,8 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more) stays."""
-    return near_copies.keep_one(docs)
+    """One document of each group of near copies stays: fingerprints of three-word shingles, links at two differing bits or fewer."""
+    return simhash.keep_one(docs, size=3, threshold=2)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
