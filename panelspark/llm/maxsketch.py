@@ -7,10 +7,10 @@ The width of a row grows with the number of its distinct terms. The index holds
 text, and partial document frequencies of all terms; it does not depend on the queries.
 
 A search looks all query terms up in blocks of sketches and adds weight times impact bound: an upper bound of each score.
-First the documents with the best ``k`` bounds of each query are scored exactly; their k-th best score is a threshold that the
-result cannot fall below. Then each block goes through its documents in descending order of the bound, scores them exactly and stops at
-the first bound under the threshold, which the block's own k-th best score raises further. Every document whose bound reaches the threshold
-is scored, so the result is exact. A window ranks what the blocks kept, at most k rows of each per query.
+A first, small step scores the first block of each task; the k-th best score of each query there is a threshold that the result cannot
+fall below. Then each task goes through the documents of its blocks in descending order of bound over threshold and scores exactly
+those with a bound that reaches a threshold; its own k-th best scores raise the thresholds as it goes. Every document whose
+bound reaches the final threshold is scored, so the result is exact. A window ranks what the tasks kept, at most k rows of each per query.
 
 The queries are one table, asked against all documents, about ``per_pass`` of them at a time: the terms of one pass are
 gathered on the driver and travel with the function; more queries mean more passes over the index.
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from panelspark.llm.common import saved, table
 
-PLACES, PER_TERM, NARROW = 2, 4, 64  # counters of a term; counters per distinct term, at least; narrowest sketch
+PLACES, PER_TERM, NARROW = 2, 8, 64  # counters of a term; counters per distinct term, at least; narrowest sketch
 STAT_TERMS = 1 << 16  # distinct terms of one row of partial frequencies, about
 BLOCK = 512  # sketches looked up at a time
 # Everything that no term holds becomes a space, and A-Z become small.
@@ -46,30 +46,35 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def places(term: bytes) -> tuple[int, int]:
-    """Two hashes of 32 bits; a sketch of a width that is a power of two uses the low bits of each."""
-    h = xxhash.xxh64_intdigest(term, 42)
-    return h & 0xFFFFFFFF, h >> 32
+class Places:
+    """64 bits per term; a sketch of a width that is a power of two uses the low bits of each half."""
 
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
 
-def sketch(counts: Counter, known: dict[bytes, tuple[int, int]]) -> bytes:
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """Two places of each term, one row each."""
+        known = self.known
+        if len(known) > STAT_TERMS:
+            known.clear()
+        for w in words:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w, 42)
+        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        return np.stack([h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)]).astype(np.int64)
+
+
+def sketch(counts: Counter, places: Places) -> bytes:
     """Coordinatewise maxima of the terms' frequencies, cut at 255."""
     width = NARROW
     while width < PER_TERM * len(counts):
         width *= 2
-    out, low = bytearray(width), width - 1
-    for term, n in counts.items():
-        two = known.get(term)
-        if two is None:
-            if len(known) > STAT_TERMS:
-                known.clear()
-            two = known[term] = places(term)
-        n = min(n, 255)
-        for at in two:
-            at &= low
-            if out[at] < n:
-                out[at] = n
-    return bytes(out)
+    out = np.zeros(width, np.uint8)
+    at = places.of(list(counts)) & (width - 1)
+    n = np.minimum(np.fromiter(counts.values(), np.int64, len(counts)), 255).astype(np.uint8)
+    for row in at:
+        np.maximum.at(out, row, n)
+    return out.tobytes()
 
 
 INDEX = "doc_id long, n long, sketch binary, text binary, frequencies array<struct<term:binary,df:long>>"
@@ -78,8 +83,7 @@ INDEX = "doc_id long, n long, sketch binary, text binary, frequencies array<stru
 def index(docs: DataFrame) -> DataFrame:
     """One row (doc_id, n, sketch, text) per document with terms, and rows that only have frequencies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, tuple[int, int]] = {}
-        df: Counter = Counter()
+        places, df = Places(), Counter()
         schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("sketch", pa.binary()), ("text", pa.binary()),
                             ("frequencies", pa.list_(pa.struct([("term", pa.binary()), ("df", pa.int64())])))])
 
@@ -96,7 +100,7 @@ def index(docs: DataFrame) -> DataFrame:
                     continue
                 ids.append(doc_id)
                 ns.append(counts.total())
-                sketches.append(sketch(counts, known))
+                sketches.append(sketch(counts, places))
                 texts.append(text)
                 df.update(counts.keys())
                 if len(df) > STAT_TERMS:
@@ -119,38 +123,34 @@ class Queries:
         self.asked = [(key, words) for key, words in self.asked if words]
         self.terms = sorted({t for _, words in self.asked for t in words})
         number = {t: i for i, t in enumerate(self.terms)}
+        self.number = number
         self.weight = np.array([weight[t] for t in self.terms], np.int64)
-        self.places = np.array([places(t) for t in self.terms], np.int64).reshape(len(self.terms), PLACES)
+        self.places = Places().of(self.terms)
         self.flat = np.array([number[t] for _, words in self.asked for t in words], np.int64)
         self.start = np.cumsum([0] + [len(words) for _, words in self.asked])[:-1]
 
-    def length(self, n: np.ndarray) -> np.ndarray:
+    def length(self, n: np.ndarray | int) -> np.ndarray | int:
         """m of documents with n terms."""
         return 100 - 50 + 50 * n * self.n_docs // self.n_terms
 
-    @staticmethod
-    def impact(tf: np.ndarray, m: np.ndarray) -> np.ndarray:
-        return 1_000_000_000 * tf // (1000 * tf + 20 * m)
-
     def bounds(self, sketches: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Upper bounds, documents by queries, from sketches of one width."""
+        """Upper bounds, documents by queries, from sketches of one width. Single precision; the last factor is above its error."""
         at = self.places & (sketches.shape[1] - 1)
-        tf = np.minimum(sketches[:, at[:, 0]], sketches[:, at[:, 1]]).astype(np.int64)
-        best = self.impact(tf, self.length(n)[:, None])
-        best[tf == 255] = 1_000_000  # no impact reaches it
-        best *= self.weight
-        return np.add.reduceat(best[:, self.flat], self.start, axis=1)
-
-    def score(self, counts: dict[bytes, int], n: int, query: int) -> int:
-        m = 100 - 50 + 50 * n * self.n_docs // self.n_terms
-        a = self.start[query]
-        b = self.start[query + 1] if query + 1 < len(self.start) else len(self.flat)
-        out = 0
-        for i in self.flat[a:b].tolist():
-            tf = counts.get(self.terms[i], 0)
-            if tf:
-                out += int(self.weight[i]) * (1_000_000_000 * tf // (1000 * tf + 20 * m))
-        return out
+        counter = np.minimum(sketches[:, at[0]], sketches[:, at[1]])
+        tf = counter.astype(np.float32)
+        best = tf * np.float32(1e9) / (tf * np.float32(1000) + (20 * self.length(n)).astype(np.float32)[:, None])
+        best[counter == 255] = 1e6  # no impact reaches it
+        best *= self.weight.astype(np.float32)
+        return np.add.reduceat(best[:, self.flat], self.start, axis=1) * np.float32(1 + 1e-4)
+
+    def scores(self, text: bytes, n: int) -> np.ndarray:
+        """Exact scores of one document with all queries."""
+        number = self.number
+        counts = Counter(t for t in terms(text) if t in number)
+        tf = np.zeros(len(self.terms), np.int64)
+        tf[[number[t] for t in counts]] = list(counts.values())
+        impact = 1_000_000_000 * tf // (1000 * tf + 20 * self.length(n))
+        return np.add.reduceat((impact * self.weight)[self.flat], self.start)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
@@ -171,52 +171,46 @@ def blocks(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
         yield block(width)
 
 
-def best_bounds(indexed: DataFrame, queries: Queries, k: int) -> dict[int, int]:
-    """The k-th best bound of each query, 1 where fewer than k documents have one."""
-    def run(batches):
-        kept = np.zeros((0, len(queries.asked)), np.int64)
-        for sketches, n in blocks(batches):
-            kept = np.concatenate([kept, queries.bounds(sketches, n)])
-            if len(kept) > k:
-                kept = -np.partition(-kept, k - 1, axis=0)[:k]
-        row, query = np.nonzero(kept)
-        yield pa.RecordBatch.from_arrays([pa.array(query, pa.int32()), pa.array(kept[row, query], pa.int64())], ["query", "bound"])
-    found = indexed.where("n is not null").select("sketch", "n").mapInArrow(run, "query int, bound long")
-    order = Window.partitionBy("query").orderBy(F.desc("bound"))
-    last = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
-    return {r.query: r.bound for r in last.select("query", "bound").collect()}  # one number per query
-
-
-def rescored(indexed: DataFrame, queries: Queries, k: int, threshold: dict[int, int]) -> DataFrame:
-    """(query, doc_id, score): of each task the k best exact scores among the documents whose bound reaches the query's threshold."""
+class Best:
+    """The k best (score, doc_id) of each query, smaller doc_ids first among equals and a null last."""
+
+    def __init__(self, queries: int, k: int, threshold: dict[int, int]):
+        self.k, self.heaps = k, [[] for _ in range(queries)]  # worst first
+        self.floor = np.array([threshold.get(q, 1) for q in range(queries)], np.int64)
+
+    def add(self, doc_id: int | None, scores: np.ndarray) -> None:
+        for query in np.flatnonzero(scores >= self.floor).tolist():
+            heap = self.heaps[query]
+            entry = (int(scores[query]), doc_id is not None, -(doc_id or 0))
+            if len(heap) < self.k:
+                heapq.heappush(heap, entry)
+            else:
+                heapq.heappushpop(heap, entry)
+            if len(heap) == self.k:
+                self.floor[query] = max(self.floor[query], heap[0][0])
+
+    def rows(self) -> pa.RecordBatch:
+        rows = [(q, -d if known else None, score) for q, heap in enumerate(self.heaps) for score, known, d in heap]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
+                                           pa.array([r[2] for r in rows], pa.int64())], ["query", "doc_id", "score"])
+
+
+def rescored(indexed: DataFrame, queries: Queries, k: int, threshold: dict[int, int] | None = None) -> DataFrame:
+    """(query, doc_id, score): of each task the k best exact scores among the documents whose bound reaches the query's threshold.
+
+    Without thresholds only the first block of each task is scored, to find some.
+    """
     def run(batches):
-        floor = np.array([threshold.get(q, 1) for q in range(len(queries.asked))], np.int64)
-        best: list[list[tuple]] = [[] for _ in queries.asked]  # heaps, worst first
+        best = Best(len(queries.asked), k, threshold or {})
         for sketches, n, ids, texts in blocks(batches, "doc_id", "text"):
             bounds = queries.bounds(sketches, n)
-            counted: dict[int, Counter] = {}
-            for query in np.flatnonzero((bounds >= floor).any(axis=0)).tolist():
-                column = bounds[:, query]
-                rows = np.flatnonzero(column >= floor[query])
-                for row in rows[np.argsort(-column[rows], kind="stable")].tolist():
-                    if column[row] < floor[query]:
-                        break
-                    counts = counted.get(row)
-                    if counts is None:
-                        counts = counted[row] = Counter(terms(texts[row]))
-                    score = queries.score(counts, int(n[row]), query)
-                    if score:
-                        doc_id = ids[row]
-                        entry = (score, 0 if doc_id is None else 1, 0 if doc_id is None else -doc_id)
-                        if len(best[query]) < k:
-                            heapq.heappush(best[query], entry)
-                        else:
-                            heapq.heappushpop(best[query], entry)
-                        if len(best[query]) == k:
-                            floor[query] = max(floor[query], best[query][0][0])
-        rows = [(q, -d if known else None, score) for q, heap in enumerate(best) for score, known, d in heap]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
-                                          pa.array([r[2] for r in rows], pa.int64())], ["query", "doc_id", "score"])
+            over = bounds / best.floor
+            for row in np.argsort(-over.max(axis=1), kind="stable").tolist():
+                if (bounds[row] >= best.floor).any():
+                    best.add(ids[row], queries.scores(texts[row], int(n[row])))
+            if threshold is None:
+                break
+        yield best.rows()
     return indexed.where("n is not null").select("sketch", "n", "doc_id", "text").mapInArrow(run, "query int, doc_id long, score long")
 
 
@@ -249,8 +243,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = 50, per_pass: int = 256)
         queries = Queries([(r.item_id, [bytes(t) for t in r.terms]) for r in some.collect()], counts, n_docs, n_terms)
         if not queries.asked:
             continue
-        first = saved(ranked(rescored(indexed, queries, k, best_bounds(indexed, queries, k)), k), "first-scores")
-        reached = {r.query: r.score for r in first.where(F.col("rank") == k).select("query", "score").collect()}
+        first = ranked(rescored(indexed, queries, k), k).where(F.col("rank") == k)
+        reached = {r.query: r.score for r in first.select("query", "score").collect()}  # at most one number per query
         out = ranked(rescored(indexed, queries, k, reached), k)
         names = spark.createDataFrame([(q, key) for q, (key, _) in enumerate(queries.asked)], f"query int, item_id {kind}")
         out = out.join(F.broadcast(names), "query").select("item_id", "rank", "doc_id", "score")  # one row per query of the pass

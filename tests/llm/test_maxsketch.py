@@ -69,14 +69,14 @@ def test_empty(spark, corpus):
 
 def test_bounds_hold(corpus):
     docs, _ = corpus
-    rng, known = random.Random(2), {}
+    rng, places = random.Random(2), maxsketch.Places()
     for _, text in docs:
         counts = Counter(maxsketch.terms((text or "").encode()))
         if counts:
             df = {t: rng.randint(1, 60) for t in rng.sample(sorted(counts), min(len(counts), 9))} | {b"absent": 3}
             q = maxsketch.Queries([("i", sorted(df))], df, 120, 9000)
-            row = np.frombuffer(maxsketch.sketch(counts, known), np.uint8)[None, :]
-            assert q.bounds(row, np.array([counts.total()]))[0, 0] >= q.score(counts, counts.total(), 0) > 0
+            row = np.frombuffer(maxsketch.sketch(counts, places), np.uint8)[None, :]
+            assert q.bounds(row, np.array([counts.total()]))[0, 0] >= q.scores(text.encode(), counts.total())[0] > 0
 
 
 def test_terms_are_those_of_the_pattern():
