@@ -20,9 +20,15 @@ from panelspark.plans import model as M
 from panelspark.sources import files as S, schemas as H
 
 
-def table(spark: SparkSession, path: str, spec: H.Spec, multi_line: bool = False) -> DataFrame:
-    """A CSV file in the declared layout, or a parquet table of our own."""
-    return S.read_csv(spark, path, spec, multi_line) if path.endswith(".csv") else spark.read.parquet(path)
+def table(spark: SparkSession, path: str | list[str], spec: H.Spec, out: str, name: str, multi_line: bool = False) -> DataFrame:
+    """CSV files in the declared layout, or a parquet table of our own.
+
+    CSV is parsed once and kept below ``out``; a value that is not of its column's type stops the job there.
+    """
+    if isinstance(path, str) and not path.endswith(".csv"):
+        return spark.read.parquet(path)
+    rejects = S.Rejects()
+    return S.stored(S.read_csv(spark, path, spec, multi_line, rejects=rejects), f"{out}/input/{name}", rejects)
 
 
 def report(df: DataFrame, out: str, name: str) -> None:
@@ -33,8 +39,8 @@ def rates_job(
     spark: SparkSession, burden: str, population: list[str], births: str, out: str, causes: list[str] = CAUSES,
     first: int = 2014, last: int = 2019, passes: tuple | None = None,
 ) -> None:
-    b = S.read_csv(spark, burden, H.BURDEN)
-    pop = S.clean_population(S.read_csv(spark, population, H.POPULATION))
+    b = table(spark, [burden], H.BURDEN, out, "burden")
+    pop = S.clean_population(table(spark, population, H.POPULATION, out, "population"))
     S.write_table(M.base_rates(b, pop, causes), f"{out}/base", partition_by=["year"])
     base = spark.read.parquet(f"{out}/base")
     S.write_table(M.transition_rates(b, base, range(first, last + 1)), f"{out}/transition", partition_by=["year"])
@@ -56,19 +62,19 @@ def project_job(
     s = s or M.Settings()
     codes = [s.status_package, *status_codes]
     care = [f"{c}.{k}" for c in s.arm_codes.values() for k in s.variants]
-    clinical_table = table(spark, clinical, H.CLINICAL_EFFECTS)
-    eff = M.status_effect_table(table(spark, effects, H.STATUS_EFFECTS), s)
-    scenarios = S.stored(M.status_scenarios(table(spark, status, H.STATUS_PANEL), eff, codes, s), f"{out}/status_scenarios")
+    clinical_table = table(spark, clinical, H.CLINICAL_EFFECTS, out, "clinical")
+    eff = M.status_effect_table(table(spark, effects, H.STATUS_EFFECTS, out, "effects"), s)
+    scenarios = S.stored(M.status_scenarios(table(spark, status, H.STATUS_PANEL, out, "status"), eff, codes, s), f"{out}/status_scenarios")
     parts = [
-        M.status_impact(scenarios, table(spark, risks, H.RISKS), s), M.second_hand_impact(clinical_table, s),
-        M.care_impact(table(spark, levels, H.CASCADE), clinical_table, s),
+        M.status_impact(scenarios, table(spark, risks, H.RISKS, out, "risks"), s), M.second_hand_impact(clinical_table, s),
+        M.care_impact(table(spark, levels, H.CASCADE, out, "levels"), clinical_table, s),
     ]
-    newborn = table(spark, births, H.BIRTHS)
-    run = M.trajectories(table(spark, rates, H.RATES), newborn, M.effect_table(parts, s), [*codes, s.second_hand_code, *care, s.combined], s, causes)
+    newborn = table(spark, births, H.BIRTHS, out, "births")
+    run = M.trajectories(table(spark, rates, H.RATES, out, "rates"), newborn, M.effect_table(parts, s), [*codes, s.second_hand_code, *care, s.combined], s, causes)
     S.replace_scenarios(run, f"{out}/trajectories")
     run = spark.read.schema(run.schema).parquet(f"{out}/trajectories")
     totals = S.stored(M.totals_by_scenario(run), f"{out}/totals_table")
-    titles = table(spark, names, H.NAMES, multi_line=True).select(M.code_text("code").alias("scenario"), "name")
+    titles = table(spark, names, H.NAMES, out, "names", multi_line=True).select(M.code_text("code").alias("scenario"), "name")
     averted = S.stored(M.averted_report(totals, titles, s), f"{out}/averted_table")
     report(totals, out, "totals")
     report(averted, out, "averted")
@@ -83,7 +89,7 @@ def project_job(
     report(additivity, out, "additivity")
     factor = F.lit(additivity.first()["ratio"]).cast("double")  # one row: parts are scaled to add up to the package
     scale = F.when(F.col("scenario").isin(status_codes), factor).otherwise(F.lit(1.0))
-    report(M.cost_report(averted, S.read_costs(spark, costs, user_costs), scale), out, "costs")
+    report(M.cost_report(averted, table(spark, user_costs or costs, H.COSTS, out, "costs", multi_line=True), scale), out, "costs")
 
 
 def main(argv: list[str] | None = None) -> None:

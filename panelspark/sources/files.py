@@ -3,37 +3,117 @@
 from __future__ import annotations
 
 import csv
+from collections.abc import Collection
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
 from panelspark.functions.scalars import no_nan, recode
 from panelspark.sources.schemas import COSTS, Spec
 
 
-def typed(df: DataFrame, spec: Spec) -> DataFrame:
-    """Pick, rename and cast declared columns; other columns (such as row numbers) are dropped.
+class Rejects:
+    """Counts of texts that are not of their column's declared type, taken while the tables are read for a write.
 
-    A text that is no number becomes NULL, NaN becomes NULL.
+    Give it to the reads and to ``stored`` or ``write_table``; the write raises when one of the reads rejected a text. The table is
+    written by then and holds NULL in place of each rejected text.
     """
-    missing = [h for h, _ in spec.values() if h not in df.columns]
-    if missing:
-        raise ValueError(f"columns missing in the input: {missing}")
-    cols = []
-    for name, (header, kind) in spec.items():
-        c = F.col(f"`{header}`")
-        c = no_nan(c.try_cast("double")) if kind == "double" else c.try_cast(kind)
-        cols.append(c.alias(name))
-    return df.select(*cols)
 
+    def __init__(self) -> None:
+        self._watched: list[tuple[str, Observation]] = []
+
+    def watch(self, df: DataFrame, source: str, wrong: dict[str, Column]) -> DataFrame:
+        """The same rows; what ``wrong`` holds for is counted by column."""
+        if not wrong:
+            return df
+        seen = Observation()
+        self._watched.append((source, seen))
+        counts = [F.count(F.when(c, F.lit(1))).alias(name) for name, c in wrong.items()]
+        return df.observe(seen, *counts)
+
+    def found(self) -> dict[tuple[str, str], int]:
+        """Rejected texts by (source, column) of the reads so far; they are taken off the list."""
+        watched, self._watched = self._watched, []
+        return {(source, name): n for source, seen in watched for name, n in seen.get.items() if n}
+
+    def check(self) -> None:
+        found = self.found()
+        if found:
+            raise ValueError("rejected values: " + "; ".join(f"{source}, column {name}: {n}" for (source, name), n in found.items()))
 
-def read_csv(spark: SparkSession, paths: str | list[str], spec: Spec, multi_line: bool = False) -> DataFrame:
-    """One CSV table from one or many files, by header.
 
+def typed(df: DataFrame, spec: Spec, optional: Collection[str] = (), rejects: Rejects | None = None, source: str = "table") -> DataFrame:
+    """Pick, rename and cast declared columns; other columns (such as row numbers) are dropped.
+
+    A column named in ``optional`` is NULL where the input lacks it; any other missing one raises. NaN becomes NULL. A text
+    that is no number becomes NULL; with ``rejects`` it is counted.
+    """
+    missing = [h for name, (h, _) in spec.items() if h not in df.columns and name not in optional]
+    if missing:
+        raise ValueError(f"columns missing in the input: {missing} ({source})")
+    cols, wrong = [], {}
+    for name, (header, kind) in spec.items():
+        if header not in df.columns:
+            cols.append(F.lit(None).cast(kind).alias(name))
+            continue
+        raw = F.col(f"`{header}`")
+        c = raw.try_cast(kind)
+        cols.append((no_nan(c) if kind == "double" else c).alias(name))
+        if kind != "string":
+            wrong[name] = raw.isNotNull() & c.isNull()
+    return (df if rejects is None else rejects.watch(df, source, wrong)).select(*cols)
+
+
+def headers(spark: SparkSession, paths: str | list[str]) -> dict[tuple[str, ...], list[str]]:
+    """The files of the paths by their header row.
+
+    Only the first lines are read, through the file system that Spark itself uses; what reaches the driver is one header
+    per file. Empty files have no rows and are left out.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def head(uri: str) -> tuple[tuple[str, ...] | None, str]:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(uri))
+        stream = path.getFileSystem(conf).open(path)
+        codec = codecs.getCodec(path)
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8"))
+        text = lines.readLine()
+        while text is not None and text.count('"') % 2:  # a line break inside quotes
+            more = lines.readLine()
+            if more is None:
+                break
+            text += "\n" + more
+        lines.close()
+        return (None if text is None else tuple(next(csv.reader([text.lstrip("\ufeff")], strict=True), ()))), path.toString()
+    out: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(16) as pool:
+        for found, path in pool.map(head, sorted(spark.read.text(paths).inputFiles())):
+            if found is not None:
+                out.setdefault(found, []).append(path)
+    return out
+
+
+def read_csv(
+    spark: SparkSession, paths: str | list[str], spec: Spec, multi_line: bool = False, optional: Collection[str] = (), rejects: Rejects | None = None,
+) -> DataFrame:
+    """One CSV table from one or many files, stacked by column name.
+
+    Files may order their columns differently: there is one read per distinct header, and the reads are united by name.
     ``multi_line`` allows line breaks inside quotes, at the price of reading each
     file in one task; leave it off for large files.
     """
-    raw = spark.read.csv(paths, header=True, multiLine=multi_line, escape='"', nullValue="NA", mode="FAILFAST")
-    return typed(raw, spec)
+    parts = []
+    for header, files in headers(spark, paths).items():
+        names = [h if h and header.count(h) == 1 else f"{h}_c{i}" for i, h in enumerate(header)]
+        layout = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        raw = spark.read.schema(layout).csv(files, header=True, multiLine=multi_line, escape='"', nullValue="NA", mode="FAILFAST", enforceSchema=True)
+        source = files[0] if len(files) == 1 else f"{files[0]} and {len(files) - 1} more"
+        parts.append(typed(raw, spec, optional, rejects, source))
+    if not parts:
+        raise ValueError(f"no header row in {paths}")
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def read_sheet_csv(spark: SparkSession, path: str, first_header: str, keep: dict[str, str]) -> DataFrame:
@@ -58,9 +138,9 @@ def read_sheet_csv(spark: SparkSession, path: str, first_header: str, keep: dict
     return raw.filter(F.col("_c0").try_cast("double").isNotNull()).select(*cols)
 
 
-def read_costs(spark: SparkSession, default_path: str, user_path: str | None = None) -> DataFrame:
+def read_costs(spark: SparkSession, default_path: str, user_path: str | None = None, rejects: Rejects | None = None) -> DataFrame:
     """The user's cost table if there is one, else the default."""
-    return read_csv(spark, user_path or default_path, COSTS, multi_line=True)
+    return read_csv(spark, user_path or default_path, COSTS, multi_line=True, rejects=rejects)
 
 
 def clean_population(df: DataFrame) -> DataFrame:
@@ -90,18 +170,20 @@ def dealt(df: DataFrame, by: list[str], files: int = 8) -> DataFrame:
     return df.repartition(*by, F.pmod(F.xxhash64(*df.columns), F.lit(files)))
 
 
-def stored(df: DataFrame, path: str) -> DataFrame:
+def stored(df: DataFrame, path: str, rejects: Rejects | None = None) -> DataFrame:
     """Write a table and read it back: computed once, and the plans that follow start from the files."""
-    write_table(df, path)
+    write_table(df, path, rejects=rejects)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Write a result, replacing an earlier one; no row numbers."""
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None, rejects: Rejects | None = None) -> None:
+    """Write a result, replacing an earlier one; no row numbers. Raises if the reads of ``rejects`` met a malformed value."""
     w = (dealt(df, partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.csv(path, header=True) if fmt == "csv" else w.parquet(path)
+    if rejects is not None:
+        rejects.check()
 
 
 def replace_scenarios(df: DataFrame, path: str, scenario: str = "scenario") -> None:

@@ -68,3 +68,50 @@ def test_small_tables(spark):
 def test_materialize_is_a_reliable_checkpoint(spark):
     df = materialize(spark.range(5))
     assert df.count() == 5 and spark.sparkContext.getCheckpointDir()
+
+
+def test_yearly_files_are_stacked_by_name(spark, tmp_path):
+    spec = {"year": ("year", "int"), "val": ("val", "double"), "note": ("note", "string")}
+    folder = tmp_path / "years with space"
+    folder.mkdir()
+    write(folder / "a.csv", "year,val,note\n2014,7,x\n2014,8,\"y,z\"\n")
+    write(folder / "b.csv", "val,note,year\n9,b,2015\n")
+    write(folder / "c.csv", '"","note","year","val"\n"1","c",2016,10\n')
+    write(folder / "d.csv", "year,val,note\n2014,11,again\n")
+    write(folder / "e.csv", "")
+    found = S.headers(spark, str(folder))
+    assert sorted(len(files) for files in found.values()) == [1, 1, 2]
+    df = S.read_csv(spark, str(folder), spec)
+    assert sorted(map(tuple, df.collect())) == [(2014, 7.0, "x"), (2014, 8.0, "y,z"), (2014, 11.0, "again"), (2015, 9.0, "b"), (2016, 10.0, "c")]
+
+    write(folder / "f.csv", "val,year\n12,2017\n")
+    with pytest.raises(ValueError, match="note.*f.csv"):
+        S.read_csv(spark, str(folder), spec)
+    assert (2017, 12.0, None) in set(map(tuple, S.read_csv(spark, str(folder), spec, optional={"note"}).collect()))
+    write(folder / "g.csv", "year,note\n2018,n\n")
+    with pytest.raises(ValueError, match="val.*g.csv"):
+        S.read_csv(spark, str(folder), spec, optional={"note"})
+    with pytest.raises(ValueError, match="no header"):
+        S.read_csv(spark, str(folder / "e.csv"), spec)
+
+
+def test_headers_of_compressed_files_and_line_breaks(spark, tmp_path):
+    import gzip
+    with gzip.open(tmp_path / "z.csv.gz", "wt") as f:
+        f.write('\ufeffCode,"Inter\nvention",Code\n1.1,x,2\n')
+    assert list(S.headers(spark, str(tmp_path / "z.csv.gz"))) == [("Code", "Inter\nvention", "Code")]
+    one = S.read_csv(spark, str(tmp_path / "z.csv.gz"), {"name": ("Inter\nvention", "string")}, multi_line=True)
+    assert [r.name for r in one.collect()] == ["x"]
+
+
+def test_malformed_values_are_counted_and_stop_the_write(spark, tmp_path):
+    spec = {"age": ("age", "string"), "year": ("year", "int"), "val": ("val", "double")}
+    write(tmp_path / "a.csv", "age,year,val\n<1 year,2014,NA\n95 plus,2014,NaN\n")
+    write(tmp_path / "b.csv", 'year,age,val\nabc,5,"1,234"\n2015,6,12\n2016,,x\n')
+    rejects = S.Rejects()
+    good = S.stored(S.read_csv(spark, str(tmp_path / "a.csv"), spec, rejects=rejects), str(tmp_path / "good"), rejects)
+    assert sorted(map(tuple, good.collect()), key=str) == [("95 plus", 2014, None), ("<1 year", 2014, None)]
+    both = S.read_csv(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], spec, rejects=rejects)
+    with pytest.raises(ValueError, match="b.csv, column year: 1; .*b.csv, column val: 2"):
+        S.write_table(both, str(tmp_path / "bad"), rejects=rejects)
+    S.write_table(good, str(tmp_path / "after"), rejects=rejects)
