@@ -80,6 +80,13 @@ def sketch(counts: Counter, places: Places) -> bytes:
 INDEX = "doc_id long, n long, sketch binary, text binary, frequencies array<struct<term:binary,df:long>>"
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that few texts are held at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def index(docs: DataFrame) -> DataFrame:
     """One row (doc_id, n, sketch, text) per document with terms, and rows that only have frequencies."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +97,7 @@ def index(docs: DataFrame) -> DataFrame:
         def frequencies() -> pa.RecordBatch:
             row = [{"term": t, "df": n} for t, n in df.items()]
             return pa.RecordBatch.from_pylist([{"frequencies": row}], schema)
-        for batch in batches:
+        for batch in slices(batches):
             ids, ns, sketches, texts = [], [], [], []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"]):
                 text = text.as_buffer()
@@ -161,7 +168,7 @@ def blocks(batches: Iterator[pa.RecordBatch], *more: str) -> Iterator[tuple]:
         rows = waiting.pop(width)
         matrix = np.frombuffer(b"".join(r[0] for r in rows), np.uint8).reshape(len(rows), width)
         return matrix, np.array([r[1] for r in rows], np.int64), *([r[i] for r in rows] for i in range(2, 2 + len(more)))
-    for batch in batches:
+    for batch in slices(batches):
         for row in zip(*(batch[c].to_pylist() for c in ("sketch", "n", *more))):
             width = len(row[0])
             waiting.setdefault(width, []).append(row)
