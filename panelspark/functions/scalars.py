@@ -173,3 +173,11 @@ def bind(value: Column, body) -> Column:
 def floor0(x: Column) -> Column:
     """max(0, x) that keeps NULL, for use inside lambdas."""
     return bind(x, lambda v: F.when(v < 0, F.lit(0.0)).otherwise(v))
+
+
+def civil_micros(c: str | Column) -> Column:
+    """Microseconds since 1970 of a timestamp without time zone, whatever the session's zone is."""
+    c = col(c)
+    day = F.datediff(c.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    second = (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("long")
+    return day * 86_400_000_000 + F.hour(c).cast("long") * 3_600_000_000 + F.minute(c).cast("long") * 60_000_000 + second

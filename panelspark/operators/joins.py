@@ -7,10 +7,13 @@ limited to listed values (``bounded``); elsewhere Spark decides by measured size
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from panelspark.functions.scalars import civil_micros
+
 
 def with_values(df: DataFrame, name: str, values: list | range) -> DataFrame:
     """Repeat every row for each literal value (Cartesian product with a short list)."""
@@ -107,22 +110,127 @@ def band_join(
     return df.join(spread, [*(on or []), axis], how)
 
 
+def _whole(c: Column, kind: str, resolution: float) -> Column:
+    """An axis value as a whole number that never decreases with it; NULL for NaN."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.least(c.cast("long"), F.lit((1 << 63) - 2))
+    if kind == "date":
+        return F.datediff(c, F.lit("1970-01-01").cast("date")).cast("long")
+    if kind.startswith("timestamp"):
+        return civil_micros(c) if kind == "timestamp_ntz" else F.unix_micros(c)
+    c = c.cast("double") * F.lit(float(resolution))
+    edge = F.lit(float(1 << 62))
+    return F.when(~F.isnan(c), F.floor(F.greatest(F.least(c, edge), -edge)).cast("long"))
+
+
+def interval_nodes(start: Column, stop: Column, bits: int) -> Column:
+    """The whole numbers start..stop as an array of nodes (level, number): node n of a level covers the numbers whose leading bits,
+    after ``bits`` times level are cut off, are n.
+
+    On each level these are the nodes inside the range whose parent is not; a range of length n has O(log n) of them.
+    """
+    levels = -(-64 // bits)
+    none = F.array().cast("array<struct<level:int,node:bigint>>")
+
+    def cut(c: Column, level: Column) -> Column:
+        return F.call_function("shiftright", c, level * bits)
+
+    def first(level: Column) -> Column:  # the first node that begins inside
+        whole = F.call_function("shiftleft", cut(start, level), level * bits)
+        return cut(start, level) + F.when(whole != start, F.lit(1)).otherwise(F.lit(0))
+
+    def run(level: Column, a: Column, b: Column) -> Column:
+        nodes = F.transform(F.sequence(a, b - 1), lambda n: F.struct(level.alias("level"), n.alias("node")))
+        return F.when(a < b, nodes).otherwise(none)
+
+    def at(level: Column) -> Column:
+        a, b = first(level), cut(stop + 1, level)  # from a to before b lie inside
+        below_top = level < levels - 1
+        pa, pb = first(level + 1), cut(stop + 1, level + 1)
+        sides = F.concat(run(level, a, F.call_function("shiftleft", pa, F.lit(bits))), run(level, F.call_function("shiftleft", pb, F.lit(bits)), b))
+        return F.when(below_top & (pa < pb), sides).otherwise(run(level, a, b))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at))
+
+
+def interval_join(
+    df: DataFrame, axis: str, intervals: DataFrame, start: str, stop: str, on: list[str] | None = None, bits: int = 3,
+    resolution: float = 1.0,
+) -> DataFrame:
+    """Rows with every interval that holds them, start <= axis <= stop, as an equi-join; for wide or real-valued ranges.
+
+    An interval is spread over O(log of its length) nodes of a tree of the number line, a row over its ancestors on those levels that
+    some interval uses (a list of at most 64 / ``bits`` numbers, found first). Axis, start and stop are of one kind:
+    whole numbers, dates, timestamps, or real numbers, which meet in units of 1 / ``resolution`` and are then compared exactly.
+    NULL and NaN meet nothing; an interval with stop < start holds nothing.
+    """
+    on = on or []
+    kind = df.schema[axis].dataType.simpleString()
+    nodes = F.inline(interval_nodes(F.col("_start"), F.col("_stop"), bits)).alias("_level", "_node")
+    spread = intervals.withColumns({"_start": _whole(F.col(start), kind, resolution), "_stop": _whole(F.col(stop), kind, resolution)})
+    spread = spread.filter("_start <= _stop").select(*intervals.columns, nodes)
+    levels = sorted(r[0] for r in spread.select("_level").distinct().collect())  # at most 64 / bits numbers
+    place = _whole(F.col(axis), kind, resolution)
+    own = F.array(*[F.struct(F.lit(v).alias("_level"), F.shiftright(F.col("_place"), bits * v).alias("_node")) for v in levels])
+    if not levels:
+        own = F.array().cast("array<struct<_level:int,_node:bigint>>")
+    rows = df.withColumn("_place", place).filter(F.col("_place").isNotNull()).select(*df.columns, F.inline(own))
+    out = rows.join(spread, [*on, "_level", "_node"]).drop("_level", "_node")
+    return out.filter((F.col(start) <= F.col(axis)) & (F.col(axis) <= F.col(stop)))
+
+
 def grid_of(entities: DataFrame, keys: list[str], axes: dict[str, list | range]) -> DataFrame:
     """Every combination of the distinct entities with the axis values."""
     return with_axes(entities.select(*keys).distinct(), axes)
 
 
-def _grid_array(axes: list[list | range], make, place: list[Column] | None = None) -> Column:
-    """All combinations of the axis values as one (constant) array."""
-    place = place or []
-    values = axes[len(place)]
-    items = (
-        F.sequence(F.lit(values.start), F.lit(values.stop - 1)) if isinstance(values, range) and values.step == 1
-        else F.array(*[F.lit(v) for v in values])
-    )
-    if len(place) == len(axes) - 1:
-        return F.transform(items, lambda x: make([*place, x]))
-    return F.flatten(F.transform(items, lambda x: _grid_array(axes, make, [*place, x])))
+WORD, GRID_CELLS, COMPLETED_CELLS = 64, 4096, 1024  # bits of a bitmap word; cells held as words in audits and in completion
+
+
+def cell_number(axes: dict[str, list | range]) -> Column:
+    """The place of a row in the grid of the axes, counted from 0; NULL outside."""
+    place = F.lit(0)
+    for name, values in axes.items():
+        c = F.col(name)
+        if isinstance(values, range) and values.step == 1:
+            at = F.when(c.between(values.start, values.stop - 1), (c - values.start).cast("int"))
+        else:
+            at = F.array_position(F.array(*[F.lit(v) for v in values]), c).cast("int") - 1
+            at = F.when(at >= 0, at)
+        place = place * len(values) + at
+    return place
+
+
+def cell_values(place: Column, axes: dict[str, list | range]) -> dict[str, Column]:
+    """The axis values at a place of the grid."""
+    out, below = {}, 1
+    for name, values in reversed(list(axes.items())):
+        at = F.pmod(F.floor(place / below).cast("int"), F.lit(len(values)))
+        listed = isinstance(values, range) and values.step == 1
+        out[name] = at + values.start if listed else F.get(F.array(*[F.lit(v) for v in values]), at)
+        below *= len(values)
+    return {name: out[name] for name in axes}
+
+
+def grid_size(axes: dict[str, list | range]) -> int:
+    return reduce(lambda n, values: n * len(values), axes.values(), 1)
+
+
+def cell_bits(place: Column, size: int, name: str = "_bits") -> list[Column]:
+    """Aggregates: the cells present, as words of 64 bits. They combine before the shuffle: one row per key and task."""
+    def word(w: int) -> Column:
+        hit = F.when((place >= w * WORD) & (place < (w + 1) * WORD), F.call_function("shiftleft", F.lit(1).cast("long"), place - w * WORD))
+        return F.coalesce(F.bit_or(hit), F.lit(0).cast("long")).alias(f"{name}{w}")
+    return [word(w) for w in range(-(-size // WORD))]
+
+
+def cells_where(size: int, bit: Callable[[Column], Column], names: list[str]) -> Column:
+    """The places 0..size-1 whose combined bit is 1. ``bit`` combines words (one per name) to a word."""
+    words = -(-size // WORD)
+    whole = F.array(*[bit(*[F.col(f"{n}{w}") for n in names]) for w in range(words)])
+    def one(p: Column) -> Column:
+        word = F.get(whole, F.floor(p / WORD).cast("int"))
+        return F.call_function("shiftright", word, (p % WORD).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return F.filter(F.sequence(F.lit(0), F.lit(size - 1)), one)
 
 
 def complete_grid(
@@ -135,29 +243,36 @@ def complete_grid(
 ) -> DataFrame:
     """One row per (entity, axis values); cells without data get ``fill``.
 
-    The empty grid is added to the rows and both are aggregated together: a single
-    shuffle instead of a join against the grid. With an entity table the grid comes
-    from there; without one, the first row of each key brings the grid along, so the
-    input is computed once. A repeated cell raises.
+    Each row goes in twice, as itself and as a bit of its entity's bitmap of present cells, and both are aggregated in the same
+    pass: one scan and one shuffle, in which an entity's bits are combined to one row per task. The complement of the bitmap
+    gives the missing cells. With an entity table its entities get the whole grid and others keep their rows. A repeated cell raises;
+    rows outside the axes stay as they are. Grids of more than 1,024 cells are completed by an anti join of all cells.
     """
-    cell = [*keys, *axes]
+    cell, size = [*keys, *axes], grid_size(axes)
     kinds = {c: df.schema[c].dataType for c in [*axes, *cols]}
-    if entities is None:
-        own = F.struct(*axes, *cols, F.lit(1).alias("_real"))
-        def empty(place: list[Column]) -> Column:
-            return F.struct(
-                *[x.cast(kinds[a]).alias(a) for a, x in zip(axes, place)], *[F.lit(None).cast(kinds[c]).alias(c) for c in cols],
-                F.lit(0).alias("_real"))
-        first = F.row_number().over(W.partitionBy(*keys).orderBy(*axes)) == 1
-        added = F.when(F.col("_first"), F.concat(F.array(own), _grid_array(list(axes.values()), empty))).otherwise(F.array(own))
-        rows = df.select(*cell, *cols).withColumn("_first", first).select(*keys, F.inline(added))
+    if size > COMPLETED_CELLS:
+        own = require_unique(df.select(*cell, *cols), cell)
+        grid = grid_of(entities if entities is not None else df, keys, axes)
+        blank = grid.select(*keys, *[F.col(a).cast(kinds[a]).alias(a) for a in axes])
+        same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in cell])
+        blank = blank.join(df.select(*[F.col(k).alias(f"_k_{k}") for k in cell]), same, "left_anti")
+        out = own.unionByName(blank.select(*cell, *[F.lit(None).cast(kinds[c]).alias(c) for c in cols]))
     else:
-        blank = grid_of(entities, keys, axes)
-        for c in cols:
-            blank = blank.withColumn(c, F.lit(None).cast(kinds[c]))
-        rows = df.select(*cell, *cols).withColumn("_real", F.lit(1)).unionByName(blank.withColumn("_real", F.lit(0)))
-    out = rows.groupBy(*cell).agg(*[F.max(c).alias(c) for c in cols], F.sum("_real").alias("_real"))
-    out = out.filter(F.when(F.col("_real") > 1, duplicate_error(cell)).otherwise(F.lit(True))).drop("_real")
+        empty = [F.lit(None).cast(kinds[c]).alias(c) for c in [*axes, *cols]]
+        itself = F.struct(*axes, *cols, F.lit(0).alias("_bit"), F.lit(None).cast("int").alias("_place"), F.lit(False).alias("_whole"))
+        bit = F.struct(*empty, F.lit(1).alias("_bit"), cell_number(axes).alias("_place"), F.lit(entities is None).alias("_whole"))
+        rows = df.select(*keys, F.inline(F.array(itself, bit)))
+        if entities is not None:
+            rows = rows.union(entities.select(*keys, *empty, F.lit(1), F.lit(None).cast("int"), F.lit(True)))
+        sums = rows.groupBy(*cell, "_bit").agg(
+            *[F.max(c).alias(c) for c in cols], *cell_bits(F.col("_place"), size), F.count(F.lit(1)).alias("_n"), F.max("_whole").alias("_whole"))
+        sums = sums.filter(F.when((F.col("_bit") == 0) & (F.col("_n") > 1), duplicate_error(cell)).otherwise(F.lit(True)))
+        def blank_at(p: Column) -> Column:
+            places = [v.cast(kinds[a]).alias(a) for a, v in cell_values(p, axes).items()]
+            return F.struct(*places, *[F.lit(None).cast(kinds[c]).alias(c) for c in cols])
+        missing = F.transform(cells_where(size, F.bitwise_not, ["_bits"]), blank_at)
+        kept = F.filter(F.array(F.struct(*axes, *cols)), lambda _: F.col("_bit") == 0)
+        out = sums.select(*keys, F.inline(F.when(F.col("_whole"), missing).otherwise(kept)))
     if fill is None:
         return out
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(fill).cast(df.schema[c].dataType)) for c in cols})

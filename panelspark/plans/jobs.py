@@ -16,6 +16,7 @@ import itertools
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.constants import CAUSES
+from panelspark.operators.audit import require_complete, require_coverage
 from panelspark.plans import model as M
 from panelspark.sources import files as S, schemas as H
 
@@ -45,6 +46,7 @@ def rates_job(
     base = spark.read.parquet(f"{out}/base")
     S.write_table(M.transition_rates(b, base, range(first, last + 1)), f"{out}/transition", partition_by=["year"])
     rates = spark.read.parquet(f"{out}/transition")
+    require_coverage(rates, [*M.PLACE, "cause"], {"year": range(first, last + 1), "age": range(M.LAST_AGE + 1)})
     wide = S.read_sheet_csv(spark, births, "Index", {"Region, subregion, country or area *": "location"})
     cols = [c for c in wide.columns if c != "location"]
     S.write_table(M.births(base, wide, cols, last, fill_years=[last, last + 1, last + 2]), f"{out}/births")
@@ -67,7 +69,7 @@ def project_job(
     scenarios = S.stored(M.status_scenarios(table(spark, status, H.STATUS_PANEL, out, "status"), eff, codes, s), f"{out}/status_scenarios")
     parts = [
         M.status_impact(scenarios, table(spark, risks, H.RISKS, out, "risks"), s), M.second_hand_impact(clinical_table, s),
-        M.care_impact(table(spark, levels, H.CASCADE, out, "levels"), clinical_table, s),
+        M.care_impact(require_complete(table(spark, levels, H.CASCADE, out, "levels"), ["htn", "aware", "treated", "control"]), clinical_table, s),
     ]
     newborn = table(spark, births, H.BIRTHS, out, "births")
     run = M.trajectories(table(spark, rates, H.RATES, out, "rates"), newborn, M.effect_table(parts, s), [*codes, s.second_hand_code, *care, s.combined], s, causes)

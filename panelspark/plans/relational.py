@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.constants import AGE_BANDS
 from panelspark.functions.scalars import (
-    band_label, band_midpoint, band_start, band_stop, clamp, complement_product, grid_key, grid_key_parts,
+    band_label, band_midpoint, band_start, band_stop, civil_micros, clamp, complement_product, grid_key, grid_key_parts,
     leading_number, product, ratio, recode,
 )
-from panelspark.operators.audit import audit, null_counts, unmatched_keys
+from panelspark.operators.audit import audit, key_coverage, null_counts, unmatched_keys
 from panelspark.operators.interp import gap_fill
 from panelspark.operators.joins import (
-    anti_filter, band_join, bounded, complete_grid, pivot_unique, semi_filter, stack, unpivot, with_values,
+    anti_filter, band_join, bounded, complete_grid, interval_join, pivot_unique, semi_filter, stack, unpivot, with_values,
 )
 from panelspark.operators.report import baseline_join
 from panelspark.operators.windows import best_row, previous, running_total, with_group_aggs
@@ -176,6 +176,22 @@ def q08(spark: SparkSession, d: str) -> DataFrame:
     return out.select("band", "brand", "year", "n_parts", rounded(F.col("price") * F.col("w") * (F.col("year") - 2023)).alias("phased"))
 
 
+@query("q08b_interval_join", f"""
+WITH e AS (SELECT user_id, epoch(ts) AS t, value FROM events),
+i AS (SELECT o_orderkey, o_custkey AS user_id, 1704067200e0 + dayofyear(o_orderdate) * 7200e0 AS start,
+             1704067200e0 + dayofyear(o_orderdate) * 7200e0 + o_totalprice AS stop FROM orders)
+SELECT o_orderkey, count(*) AS n_events, {r("sum(value)", 2)} AS value, {r("min(t - start)", 3)} AS first_after
+FROM e JOIN i ON e.user_id = i.user_id AND e.t BETWEEN i.start AND i.stop GROUP BY o_orderkey""")
+def q08b(spark: SparkSession, d: str) -> DataFrame:
+    """Events of a customer inside the stretch of time of each order, on real-valued seconds."""
+    e = table(spark, d, "events").select("user_id", (civil_micros("ts") / F.lit(1e6)).alias("t"), "value")
+    start = F.lit(1704067200.0) + F.dayofyear("o_orderdate") * F.lit(7200.0)
+    i = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("user_id"), start.alias("start"), (start + F.col("o_totalprice")).alias("stop"))
+    j = interval_join(e, "t", i, "start", "stop", on=["user_id"], resolution=1e-2)
+    return j.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n_events"), rounded(F.sum("value"), 2).alias("value"),
+                                       rounded(F.min(F.col("t") - F.col("start")), 3).alias("first_after"))
+
+
 @query("q10_semi_anti", """
 WITH late AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-01-01'),
 x AS (SELECT 'kept' AS tag, c_nationkey, c_mktsegment FROM customer WHERE EXISTS (SELECT 1 FROM late WHERE o_custkey = c_custkey)
@@ -422,6 +438,20 @@ def q48c(spark: SparkSession, d: str) -> DataFrame:
     return unmatched_keys(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"])
 
 
+@query("q48d_key_coverage", """
+WITH c AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(quarter(l_shipdate) AS INTEGER) AS quarter, l_linestatus, l_returnflag FROM lineitem),
+have AS (SELECT DISTINCT l_suppkey, year, quarter FROM c WHERE l_returnflag = 'R' AND l_linestatus = 'F'),
+want AS (SELECT DISTINCT l_suppkey, year, quarter FROM c WHERE l_returnflag = 'A' AND l_linestatus = 'F')
+SELECT l_suppkey, year, quarter, 'missing' AS finding FROM (SELECT * FROM want EXCEPT SELECT * FROM have) m
+UNION ALL SELECT l_suppkey, year, quarter, 'surplus' FROM (SELECT * FROM have EXCEPT SELECT * FROM want) s""")
+def q48d(spark: SparkSession, d: str) -> DataFrame:
+    """Quarters in which a supplier has lines of one kind but none of the other."""
+    c = table(spark, d, "lineitem").filter("l_linestatus = 'F'").select(
+        "l_suppkey", year_of("l_shipdate").alias("year"), F.quarter("l_shipdate").alias("quarter"), "l_returnflag")
+    have, want = c.filter("l_returnflag = 'R'"), c.filter("l_returnflag = 'A'")
+    return key_coverage(have, ["l_suppkey"], {"year": range(1990, 2010), "quarter": [1, 2, 3, 4]}, want)
+
+
 @query("q50_regex_cast_text", f"""
 WITH k AS (SELECT o_orderpriority AS priority, TRY_CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS num,
                   TRY_CAST(substring(o_orderpriority, 3, 2) AS INTEGER) AS no_num, o_totalprice, CAST(month(o_orderdate) AS INTEGER) AS mon FROM orders),

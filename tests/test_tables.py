@@ -167,3 +167,75 @@ def test_prevalence_panel(spark):
     assert got[2002, 20] == pytest.approx((73.0, 20.0, 7.0)) and got[2002, 10] == (100.0, 0.0, 0.0)
     assert got[2002, 15] == pytest.approx((86.5, 10.0, 3.5)) and got[2002, 35] == (None, None, None)
     assert len(got) == 5 * 6
+
+
+def test_key_coverage_names_cells(spark):
+    axes = {"t": range(1, 40), "u": ["a", "b"]}  # 78 cells: two words
+    have = [("x", t, u) for t in range(1, 40) for u in "ab" if (t, u) not in {(1, "a"), (33, "b"), (39, "b")}] + [("x", 2, "a")] * 3
+    df = spark.createDataFrame([*have, ("y", 50, "a"), ("y", 3, "c"), (None, 1, "a")], "k string, t int, u string")
+    want = spark.createDataFrame([("x", t, u) for t in range(1, 40) for u in "ab" if t != 5] + [(None, 2, "b")], "k string, t int, u string")
+    got = sorted(map(tuple, A.key_coverage(df, ["k"], axes, want).collect()), key=str)
+    assert got == sorted([("x", 1, "a", "missing"), ("x", 33, "b", "missing"), ("x", 39, "b", "missing"), ("x", 5, "a", "surplus"), ("x", 5, "b", "surplus"),
+                          ("y", None, None, "surplus"), (None, 1, "a", "surplus"), (None, 2, "b", "missing")], key=str)
+    whole = A.key_coverage(df.filter("k = 'x'"), ["k"], axes)
+    assert sorted(map(tuple, whole.collect())) == [("x", 1, "a", "missing"), ("x", 33, "b", "missing"), ("x", 39, "b", "missing")]
+    with pytest.raises(ValueError, match="k=x, t=1, u=a, finding=missing"):
+        A.require_coverage(df.filter("k = 'x'"), ["k"], axes)
+    A.require_coverage(df.filter("k = 'x' AND t BETWEEN 2 AND 32"), ["k"], {"t": range(2, 33)})
+    assert A.key_coverage(df.limit(0), ["k"], axes, want.limit(0)).count() == 0
+
+
+def test_grid_of_two_words_and_null_keys(spark):
+    axes = {"t": range(-3, 40), "u": [5, 7]}
+    df = spark.createDataFrame([("x", -3, 5, 1.0), ("x", 39, 7, 2.0), (None, 0, 7, 3.0), ("x", 77, 5, 4.0)], "k string, t int, u int, v double")
+    got = {(r.k, r.t, r.u): r.v for r in J.complete_grid(df, ["k"], axes, ["v"]).collect()}
+    assert len(got) == 2 * 86 + 1 and sum(got.values()) == 10.0 and got["x", 77, 5] == 4.0 and got[None, 39, 7] == 0.0
+    wide = {"t": range(-3, 4000), "u": [5, 7]}  # beyond the bitmaps
+    big = {(r.k, r.t, r.u): r.v for r in J.complete_grid(df, ["k"], wide, ["v"]).collect()}
+    assert len(big) == 2 * 4003 * 2 and sum(big.values()) == 10.0
+    with pytest.raises(PySparkException, match="duplicate"):
+        J.complete_grid(df.union(df), ["k"], wide, ["v"]).collect()
+
+
+def test_hot_entity_sends_one_row_per_task(spark):
+    df = spark.range(20_000, numPartitions=4).select(F.lit("hot").alias("k"), (F.col("id") % 7).cast("int").alias("t"), F.col("id").alias("v"))
+    bits = A.key_coverage(df, ["k"], {"t": range(0, 9)})
+    plan = bits._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "partial_bit_or" in plan
+    assert sorted(r.t for r in bits.collect()) == [7, 8]
+
+
+@pytest.mark.parametrize("bits", [1, 3, 5])
+def test_intervals_of_any_width(spark, bits):
+    import random
+    rng = random.Random(bits)
+    edge = (1 << 63) - 1
+    points = [(i, rng.choice([rng.randint(-50, 50), rng.randint(-10**12, 10**12), rng.choice([0, -1, edge, -edge - 1])])) for i in range(150)] + [(900, None)]
+    bands = []
+    for i in range(40):
+        a = rng.choice([rng.randint(-60, 50), rng.randint(-10**12, 10**12)])
+        bands.append((i, a, a + rng.choice([-1, 0, 1, 7, 100, 10**9, 10**12])))
+    bands += [(90, -edge - 1, edge), (91, None, 5), (92, 0, edge), (93, -edge - 1, -1)]
+    p = spark.createDataFrame(points, "id int, x long")
+    b = spark.createDataFrame(bands, "band int, a long, z long")
+    got = sorted((r.id, r.band) for r in J.interval_join(p, "x", b, "a", "z", bits=bits).collect())
+    assert got == sorted((i, k) for i, x in points if x is not None for k, a, z in bands if a is not None and a <= x <= z)
+    nodes = b.filter("a <= z").select((F.size(J.interval_nodes(F.col("a"), F.least("z", F.lit(edge - 1)), bits))).alias("n")).agg(F.max("n")).first()[0]
+    assert nodes <= 2 * ((1 << bits) - 1) * -(-64 // bits)  # a width of 2^64 stays a few hundred rows
+
+
+def test_intervals_of_real_numbers_dates_and_keys(spark):
+    p = spark.createDataFrame([("a", 0.5), ("a", 1e300), ("b", -0.25), ("a", float("nan")), ("b", None), ("a", float("inf"))], "k string, x double")
+    b = spark.createDataFrame([("a", 0.5, 0.5, 1), ("a", 0.500001, 9.0, 2), ("b", -1e308, 0.0, 3), ("a", 1.0, float("inf"), 4), ("b", 5.0, 4.0, 5)], "k string, lo double, hi double, n int")
+    for resolution in (1e-3, 1.0, 1e6):
+        got = sorted((r.x, r.n) for r in J.interval_join(p, "x", b, "lo", "hi", on=["k"], resolution=resolution).collect())
+        assert got == [(-0.25, 3), (0.5, 1), (1e300, 4), (float("inf"), 4)]
+    days = spark.sql("SELECT date'2020-02-29' AS d, timestamp'2020-02-29 12:00:00.000001' AS t")
+    spans = spark.sql("SELECT date'2019-12-31' AS s, date'2020-02-29' AS e, timestamp'2020-02-29 12:00:00.000001' AS ts, timestamp'2021-01-01' AS te")
+    assert J.interval_join(days, "d", spans, "s", "e").count() == 1
+    assert J.interval_join(days, "t", spans, "ts", "te").count() == 1
+    civil = days.selectExpr("CAST('2020-02-29 12:00:00.000001' AS timestamp_ntz) AS t")
+    open_ = spans.selectExpr("CAST('2020-02-29 12:00:00.000001' AS timestamp_ntz) AS s", "CAST('2020-02-29 12:00:00.000001' AS timestamp_ntz) AS e")
+    assert J.interval_join(civil, "t", open_, "s", "e").count() == 1
+    assert J.interval_join(civil, "t", open_.selectExpr("s - INTERVAL 1 HOUR AS s", "e - INTERVAL 1 MICROSECOND AS e"), "s", "e").count() == 0
+    assert J.interval_join(days.limit(0), "d", spans.limit(0), "s", "e").count() == 0
