@@ -7,9 +7,9 @@ up to the slices' rounding e. The rest of the unit vector is orthogonal to b and
 
     | <q, x> / |x| - a g |  <=  a e + sqrt(|q|^2 - g^2) sqrt(1 - a^2),
 
-an interval that holds the score for certain. A block's candidates are taken in descending order of the interval's upper end and
-scored with whole numbers, until that end falls below the score that the best k found so far have; rows whose interval misses what is asked for
-are never scored. Positives: the best rows of the anchor's label. Negatives: for each positive, the best rows of other labels
+an interval that holds the score for certain. Rows whose interval misses what is asked for are never scored. Of a block's other
+candidates those with the highest upper ends are scored with whole numbers first; their k-th best score is a limit, and the rest is scored
+only where the upper end reaches it. Positives: the best rows of the anchor's label. Negatives: for each positive, the best rows of other labels
 with a score in a window relative to the positive's. Blocks of anchors meet every block of codes once per step; the best of
 each pair of blocks are ranked by a window.
 
@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelspark.llm.common import saved, table
 
-SEED, ROUNDS, BITS = 42, 3, 8  # of the rotation; bits of an anchor's slices
-CHUNK = 256  # rows scored before the limit is looked at again
+SEED, ROUNDS, BITS = 42, 3, 6  # of the rotation; bits of an anchor's slices
+CHUNK = 256  # rows scored first, to find a limit
+MOST = (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, label: Column, scale: float = 256.0) -> DataFrame:
@@ -65,19 +66,22 @@ def packed_bits(bits: np.ndarray) -> np.ndarray:
 
 
 class Codes:
-    """A block of coded vectors."""
+    """A block of coded vectors, in order of label and id."""
 
     def __init__(self, ids: np.ndarray, labels: np.ndarray, m: np.ndarray, code: np.ndarray, length: np.ndarray, align: np.ndarray):
         self.ids, self.labels, self.m, self.code, self.length, self.align = ids, labels, m, code, length, align
-        self.ones = np.bitwise_count(code).sum(axis=1, dtype=np.int64)
+        self.ones = np.bitwise_count(code).sum(axis=1, dtype=np.float64)
+        self.along, self.across = length * align, length * np.sqrt(np.maximum(1 - align ** 2, 0))
+        self.largest = int(np.abs(m).max(initial=0))
 
     @classmethod
-    def of(cls, ids, labels, m: np.ndarray, size: int) -> Codes:
-        turned = rotated(m, size)
+    def of(cls, ids: np.ndarray, labels: np.ndarray, m: np.ndarray, size: int) -> Codes:
+        order = np.lexsort((ids, labels))
+        turned = rotated(m[order], size)
         length = np.sqrt((turned * turned).sum(axis=1))
         with np.errstate(invalid="ignore", divide="ignore"):
             align = np.where(length > 0, np.abs(turned).sum(axis=1) / (np.sqrt(size) * length), 1.0)
-        return cls(ids, labels, m, packed_bits(turned >= 0), length, np.minimum(align, 1.0))
+        return cls(ids[order], labels[order], m[order], packed_bits(turned >= 0), length, np.minimum(align, 1.0))
 
     def row(self) -> dict[str, list]:
         parts = {"ids": self.ids, "labels": self.labels, "m": self.m, "code": self.code, "length": self.length, "align": self.align}
@@ -90,49 +94,58 @@ class Codes:
         return cls(ids, np.frombuffer(r.labels, np.int64), np.frombuffer(r.m, np.int64).reshape(n, -1), np.frombuffer(r.code, np.uint64).reshape(n, -1),
                    np.frombuffer(r.length, np.float64), np.frombuffer(r.align, np.float64))
 
-    def interval(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper ends that hold the inner products with q for certain."""
-        size = self.code.shape[1] * 64
+    def of_label(self, label: int) -> tuple[int, int]:
+        return int(np.searchsorted(self.labels, label)), int(np.searchsorted(self.labels, label, "right"))
+
+    def interval(self, q: np.ndarray, a: int = 0, b: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Lower and upper ends that hold the inner products of q with rows a to b for certain."""
+        part = slice(a, len(self.ids) if b is None else b)
+        code, size = self.code[part], self.code.shape[1] * 64
         turned = rotated(q[None, :], size)[0]
         low, high = turned.min(), turned.max()
         step = (high - low) / ((1 << BITS) - 1) or 1.0
         whole = np.rint((turned - low) / step).astype(np.int64)
-        inside = low * self.ones
+        counted = np.zeros(len(code), np.int32)
         for j in range(BITS):
-            plane = packed_bits(((whole >> j) & 1).astype(np.uint8)[None, :])
-            inside = inside + step * (1 << j) * np.bitwise_count(self.code & plane).sum(axis=1, dtype=np.int64)
+            plane = packed_bits(((whole >> j) & 1).astype(np.uint8)[None, :])[0]
+            for word in range(len(plane)):
+                counted += np.bitwise_count(code[:, word] & plane[word]).astype(np.int32) << j
         near = low + step * whole
-        g = (2 * inside - near.sum()) / np.sqrt(size)
+        g = (2 * low / np.sqrt(size)) * self.ones[part] + (2 * step / np.sqrt(size)) * counted - near.sum() / np.sqrt(size)
         e = np.sqrt(((turned - near) ** 2).sum())
         square = (turned * turned).sum()
         least = np.maximum(np.abs(g) - e, 0)
-        wide = self.align * e + np.sqrt(np.maximum(square - least * least, 0)) * np.sqrt(np.maximum(1 - self.align ** 2, 0))
-        wide = self.length * wide + 1e-9 * self.length * np.sqrt(square) + 1e-6  # the rounding of doubles
-        middle = self.length * self.align * g
+        wide = np.sqrt(np.maximum(square - least * least, 0)) * self.across[part] + e * self.along[part]
+        wide += 1e-9 * np.sqrt(square) * self.length[part] + 1e-6  # the rounding of doubles
+        middle = self.along[part] * g
         return middle - wide, middle + wide
 
     def scores(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        return self.m[rows] @ q
-
-    def best(self, rows: np.ndarray, upper: np.ndarray, q: np.ndarray, k: int, low: int | None = None, high: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the k best of ``rows`` with a score from ``low`` to ``high``; ties go to smaller ids."""
-        order = rows[np.argsort(-upper[rows], kind="stable")]
-        got, found, limit = np.zeros(0, np.int64), np.zeros(0, np.int64), low
-        for at in range(0, len(order), CHUNK):
-            some = order[at:at + CHUNK]
-            if limit is not None:
-                some = some[upper[some] >= limit]
-            if not len(some):
-                break
-            s = self.scores(some, q)
-            if low is not None:
-                some, s = some[(s >= low) & (s <= high)], s[(s >= low) & (s <= high)]
-            got, found = np.concatenate([got, some]), np.concatenate([found, s])
-            first = np.lexsort((self.ids[got], -found))[:k]
-            got, found = got[first], found[first]
-            if len(got) == k:
-                limit = int(found[-1])
-        return got, found
+        m, whole = self.m[rows], int(np.abs(q).sum()) * self.largest
+        if whole < 1 << 53:  # doubles hold every partial sum
+            return (m.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+        return m @ q
+
+    def best(self, rows: np.ndarray, upper: np.ndarray, q: np.ndarray, k: int, windows: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(rows, scores) of the k best of ``rows`` with a score inside each window; ties go to smaller ids. ``upper`` goes with ``rows``."""
+        def inside(scores, low, high):
+            return (scores >= low) & (scores <= high)
+        if len(rows) > CHUNK:
+            first = np.argpartition(upper, len(rows) - CHUNK)[-CHUNK:]
+            known, limits = self.scores(rows[first], q), []
+            for low, high in windows:
+                s = known[inside(known, low, high)]
+                limits.append(np.partition(s, len(s) - k)[len(s) - k] if len(s) >= k else low)
+            rows = rows[upper >= min(limits)]
+        scores = self.scores(rows, q)
+        out = []
+        for low, high in windows:
+            at = np.flatnonzero(inside(scores, low, high))
+            if len(at) > k:
+                at = at[scores[at] >= np.partition(scores[at], len(at) - k)[len(at) - k]]
+            at = at[np.lexsort((self.ids[rows[at]], -scores[at]))][:k]
+            out.append((rows[at], scores[at]))
+        return out
 
 
 def coded(rows: DataFrame, n_rows: int, width: int) -> DataFrame:
@@ -140,7 +153,7 @@ def coded(rows: DataFrame, n_rows: int, width: int) -> DataFrame:
     size = 64
     while size < width:
         size *= 2
-    per_block = max(256, (1 << 21) // size)
+    per_block = max(256, (1 << 20) // size)
     blocks = max(1, -(-n_rows // per_block))
 
     def run(batches):
@@ -187,33 +200,37 @@ def met(codes: DataFrame, anchors: DataFrame, n_anchors: int, per_anchor_block:
 
 
 def positives_in(block: Codes, anchor, k: int):
-    q = np.asarray(anchor["q"], np.int64)
-    rows = np.flatnonzero((block.labels == anchor["label"]) & (block.ids != anchor["anchor_id"]))
-    if len(rows):
-        low, upper = block.interval(padded(q, block.m.shape[1]))
-        if len(rows) > k:  # the k best lower ends are a limit before anything is scored
-            rows = rows[upper[rows] >= np.partition(low[rows], len(rows) - k)[len(rows) - k]]
-        got, found = block.best(rows, upper, padded(q, block.m.shape[1]), k)
-        for i, s in zip(block.ids[got].tolist(), found.tolist()):
-            yield anchor["anchor_id"], anchor["key"], i, s
+    q = padded(np.asarray(anchor["q"], np.int64), block.m.shape[1])
+    a, b = block.of_label(anchor["label"])
+    rows = np.arange(a, b)
+    other = block.ids[a:b] != anchor["anchor_id"]
+    if not other.any():
+        return
+    low, upper = block.interval(q, a, b)
+    rows, low, upper = rows[other], low[other], upper[other]
+    if len(rows) > k:  # the k best lower ends are a limit before anything is scored
+        reach = upper >= np.partition(low, len(rows) - k)[len(rows) - k]
+        rows, upper = rows[reach], upper[reach]
+    got, found = block.best(rows, upper, q, k, [(-MOST, MOST)])[0]
+    for i, s in zip(block.ids[got].tolist(), found.tolist()):
+        yield anchor["anchor_id"], anchor["key"], i, s
 
 
 def negatives_in(block: Codes, anchor, k: int, least: int, most: int):
     q = padded(np.asarray(anchor["q"], np.int64), block.m.shape[1])
-    others = np.flatnonzero(block.labels != anchor["label"])
-    others = others[block.ids[others] != anchor["anchor_id"]]
-    if not len(others):
+    windows = [(place, p, -(-least * p["score"] // 100), most * p["score"] // 100) for place, p in enumerate(anchor["positives"])]
+    windows = [w for w in windows if w[2] <= w[3]]
+    if not windows:
         return
+    a, b = block.of_label(anchor["label"])
     lower, upper = block.interval(q)
-    for place, positive in enumerate(anchor["positives"]):
-        score = positive["score"]
-        low, high = -(-least * score // 100), most * score // 100
-        if low > high:
-            continue
-        rows = others[(upper[others] >= low) & (lower[others] <= high)]
-        got, found = block.best(rows, upper, q, k, low, high)
-        for i, s in zip(block.ids[got].tolist(), found.tolist()):
-            yield anchor["anchor_id"], anchor["key"], place, positive["vec_id"], score, i, s
+    reach = (upper >= min(w[2] for w in windows)) & (lower <= max(w[3] for w in windows)) & (block.ids != anchor["anchor_id"])
+    reach[a:b] = False
+    rows = np.flatnonzero(reach)
+    found = block.best(rows, upper[rows], q, k, [w[2:] for w in windows])
+    for (place, positive, _, _), (got, scores) in zip(windows, found):
+        for i, s in zip(block.ids[got].tolist(), scores.tolist()):
+            yield anchor["anchor_id"], anchor["key"], place, positive["vec_id"], positive["score"], i, s
 
 
 def padded(q: np.ndarray, width: int) -> np.ndarray:

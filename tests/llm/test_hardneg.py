@@ -66,11 +66,15 @@ def test_intervals_hold(size, width):
     rng = np.random.default_rng(width)
     m = rng.integers(-300, 300, (400, width))
     m[0], m[1] = 0, m[2]
-    block = hardneg.Codes.of(np.arange(400), np.zeros(400, np.int64), m, size)
+    block = hardneg.Codes.of(np.arange(400), np.arange(400) % 3, m, size)
     for q in (*rng.integers(-300, 300, (20, width)), m[5], np.zeros(width, np.int64)):
         low, high = block.interval(q)
-        score = m @ q
+        score = block.m @ q
         assert (low <= score).all() and (score <= high).all()
+        a, b = block.of_label(1)
+        assert set(block.labels[a:b]) == {1} and b - a == 133
+        assert np.array_equal(block.interval(q, a, b)[0], low[a:b])
+        assert np.array_equal(block.scores(np.arange(400), q << 36), block.scores(np.arange(400), q) << 36)  # beyond 2^53
 
 
 def test_search_skips_rows():
