@@ -132,6 +132,7 @@ def roll_coupled(
     carry: list[str] | None = None,
     spread: list[str] | None = None,
     with_rates: bool = False,
+    blocks: int = 1,
 ) -> DataFrame:
     """Roll well / sick / dead states forward; all parts of a cohort share its deaths.
 
@@ -157,7 +158,8 @@ def roll_coupled(
     ``with_rates`` its own capped ``ir`` and ``cf`` (not those that led to it).
 
     ``spread`` names the columns to distribute the cohorts by (default: keys and
-    cohort). Naming only ``keys`` keeps later sums over ages local to a task.
+    cohort). Naming only ``keys`` keeps later sums over ages local to a task. With ``blocks`` the cohorts of one value of ``spread``
+    are dealt to so many places.
     """
     carry = carry or []
     grid = grid or {}
@@ -166,6 +168,10 @@ def roll_coupled(
     numbered = F.array_position(F.array(*[F.lit(p) for p in parts]), F.col(part)).cast("int")
     unlisted = F.raise_error(F.concat(F.lit(f"{part} is not listed: "), F.coalesce(F.col(part).cast("string"), F.lit("NULL"))))
     r = r.withColumn("_p", F.when(numbered > 0, numbered).otherwise(unlisted.cast("int")))
+    held = [*keys, "_b"]
+    if blocks > 1:
+        r, held = r.withColumn("_blk", F.pmod(F.col("_b"), F.lit(blocks))), [*keys, "_blk", "_b"]
+        spread = [*spread, "_blk"] if spread else None
     own, rate = F.col("_role") == 0, F.col("_role") == 1
     def one(flag, c, kind="double"):
         return F.max(F.when(flag, F.col(c).cast(kind)))
@@ -173,7 +179,7 @@ def roll_coupled(
     rates = ["bg_mx", "bg_mx_all", "ir", "cf"]
     cells = (
         r.repartition(tasks(r), *(spread or [*keys, "_b"]))
-        .groupBy(*keys, "_b", F.col(t).cast("int").alias("_t"), "_p")
+        .groupBy(*held, F.col(t).cast("int").alias("_t"), "_p")
         .agg(
             *[one(own, c).alias(c) for c in seeds],
             one(own, "ir").alias("ir0"), one(own, "cf").alias("cf0"),
@@ -196,14 +202,14 @@ def roll_coupled(
         F.struct(*seeds, "ir0").alias("seed"),
         *([F.struct(*own_cols).alias("own")] if own_cols else []),
     )
-    by_year = cells.groupBy(*keys, "_b", "_t").agg(F.collect_list(cell).alias("rows"))
+    by_year = cells.groupBy(*held, "_t").agg(F.collect_list(cell).alias("rows"))
     # One slot per part in a fixed order; a missing part is a NULL slot.
     n = len(parts)
     slots = F.when(F.size("rows") == n, F.sort_array("rows")).otherwise(
         F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.get(F.filter("rows", lambda x: x["p"] == i), F.lit(0)))
     )
     by_year = by_year.withColumn("rows", slots)
-    cohorts = by_year.groupBy(*keys, "_b").agg(
+    cohorts = by_year.groupBy(*held).agg(
         F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), "rows"))).alias("s")
     )
     first = F.get(F.col("s"), F.lit(0))["t"]

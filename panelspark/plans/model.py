@@ -145,7 +145,7 @@ def with_births(panel: DataFrame, newborn: DataFrame, after: int) -> DataFrame:
 def calibrate(
     rates: DataFrame, newborn: DataFrame, burden: DataFrame, first: int, last: int, causes: list[str] = CAUSES,
     passes: tuple = ((range(-10, 11), range(-10, 11), 2.0, 1.0), (range(-10, 11), range(-20, 11), 1.0, 0.0)),
-    step: float = 0.01, missing: float = 1.0, ages: tuple[int, int] = (0, LAST_AGE), save=None,
+    step: float = 0.01, missing: float = 1.0, ages: tuple[int, int] = (0, LAST_AGE), save=None, cohort_blocks: int = 1,
 ) -> DataFrame:
     """Fit incidence and fatality multipliers per cause and age band, pass after pass.
 
@@ -163,7 +163,8 @@ def calibrate(
         F.coalesce(amount("Deaths"), F.lit(0.0)).alias("obs_dead"), amount("Prevalence").alias("obs_sick"))
     keys = [*PLACE, "cause", "band"]
     for i_range, j_range, w_dead, w_sick in passes:
-        errors = calibration_errors(panel, observed, PLACE, "cause", causes, "age", "year", first, ages, "band", i_range, j_range, step)
+        errors = calibration_errors(panel, observed, PLACE, "cause", causes, "age", "year", first, ages, "band", i_range, j_range, step,
+                                    cohort_blocks=cohort_blocks)
         panel = apply_multipliers(panel, fit(errors, keys, w_dead, w_sick), keys, step, missing)
         if save is not None:
             panel = save(panel)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.functions.scalars import band_index, piecewise_scale
@@ -260,6 +262,29 @@ def q33c(spark: SparkSession, d: str) -> DataFrame:
     return round_cols(apply_multipliers(panel, best, ["sex", "cause", "band"], 0.05).select("sex", "cause", "age", "year", "band", "ir", "cf"), 9)
 
 
+PASS_2 = re.sub(r"\b(obs|grates|roll|sums|errs|best)\b", r"\g<1>2", _grid_sql(calibration_sql(
+    "sex", "rates2", "nat", 2, 3, "0.02e0", "rd",
+    f"SELECT sex, cause, band, i, j, {r('rd', 4)} AS rmse_dead, {r('rs', 4)} AS rmse_sick, {r('error', 4)} AS error FROM best WHERE k = 1")))
+
+
+@query("q54_calibrate_two_pass", _grid_sql("WITH RECURSIVE " + NATIONAL + ", " + calibration_sql(
+    "sex", "nrates", "nat", 3, 3, "0.05e0", "2e0 * rd + rs", f""", rates2 AS MATERIALIZED (
+  SELECT q.* REPLACE (q.ir * coalesce(1e0 + b.i * 0.05e0, 1e0) AS ir, q.cf * coalesce(1e0 + b.j * 0.05e0, 1e0) AS cf)
+  FROM nrates q LEFT JOIN best b ON b.k = 1 AND b.sex = q.sex AND b.cause = q.cause AND b.band = (q.age - 1) // 5),
+{PASS_2}""")))
+def q54(spark: SparkSession, d: str) -> DataFrame:
+    """Two passes on the table of all suppliers together: deaths and cases first, then deaths alone on the rates of pass 1."""
+    counts = national_counts(spark, d)
+    panel, observed, best = national_rates(counts), _observed(counts, ["sex"]), None
+    for i_range, j_range, step, w_dead, w_sick in ((range(-3, 4), range(-3, 4), 0.05, 2.0, 1.0), (range(-2, 3), range(-3, 4), 0.02, 1.0, 0.0)):
+        if best is not None:
+            panel = apply_multipliers(panel, best, ["sex", "cause", "band"], 0.05)
+        errors = calibration_errors(panel, observed, ["sex"], "cause", CAUSES, "age", "year", FIRST, AXIS, "band", i_range, j_range, step,
+                                    cohort_blocks=4)
+        best = fit(errors, ["sex", "cause", "band"], w_dead, w_sick)
+    return round_cols(best, 4)
+
+
 @query("q42_scenario_prevalence", STATUS_ROLL + f"""
 SELECT p.scenario, p.location, CAST(p.year AS INTEGER) AS year, {r("sum(pop * current / 100e0)")} AS cases, {r("sum(pop)")} AS population,
        {r("sum(pop * current / 100e0) / sum(pop)")} AS rate

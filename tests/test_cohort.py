@@ -190,3 +190,25 @@ def test_plan_does_not_grow_with_years(spark):
     (a, _), (b, plan) = exchanges(2003), exchanges(2060)
     assert a == b == 1
     assert "Python" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_cohorts_of_one_place_fill_the_tasks(spark):
+    """One place and one grid value: the cohorts still go to many tasks, and the errors are those of the undivided sum."""
+    data = [("p", a, t, 1000.0 + a, 0.1, 0.01, 0.02, 0.01, 0.01, 0.02 + a / 1000, 0.05, "x", a // 5) for a in range(0, 40) for t in range(2000, 2008)]
+    df = spark.createDataFrame(data, "place string, age int, year int, nx double, prev_rate double, dis_mx double, all_mx double, bg_mx double, "
+                                     "bg_mx_all double, ir double, cf double, cause string, band int")
+    seen = df.groupBy("place", "cause", "band", "year").agg(F.sum("nx").alias("obs_dead"), F.sum("nx").alias("obs_sick"))
+    rolled = R.roll_coupled(df, ["place"], "cause", ["x"], "age", "year", 2000, (0, 39), carry=["band"], spread=["place"], blocks=16)
+    before = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        assert R.roll_coupled(df, ["place"], "cause", ["x"], "age", "year", 2000, (0, 39), carry=["band"], spread=["place"], blocks=16).select(
+            F.spark_partition_id().alias("task")).distinct().count() >= 8
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", str(before))
+    plain = R.roll_coupled(df, ["place"], "cause", ["x"], "age", "year", 2000, (0, 39), carry=["band"])
+    assert rolled.exceptAll(plain).count() == 0 and rolled.count() == plain.count()
+    args = (df, seen, ["place"], "cause", ["x"], "age", "year", 2000, (0, 39), "band", range(-1, 2), range(-1, 2))
+    one = {(r.band, r.i, r.j): (r.rmse_dead, r.rmse_sick) for r in C.calibration_errors(*args).collect()}
+    many = {(r.band, r.i, r.j): (r.rmse_dead, r.rmse_sick) for r in C.calibration_errors(*args, cohort_blocks=5).collect()}
+    assert one.keys() == many.keys() and all(many[k] == pytest.approx(v, rel=1e-9) for k, v in one.items())
