@@ -17,9 +17,10 @@ from panelspark.sources.tables import CAUSES, cause_rows, cells, line_facts, sta
 
 
 @query("q09_cohort_shift_join", f"""
-WITH {CELLS}
-SELECT a.location, a.sex, a.age, a.year, a.n_a + a.n_n + a.n_r AS n, b.n_a + b.n_n + b.n_r AS n_later
-FROM cells a JOIN cells b ON a.location = b.location AND a.sex = b.sex AND b.age = a.age + 2 AND b.year = a.year + 2""")
+WITH {CELLS},
+now AS MATERIALIZED (SELECT location, sex, age, year, n_a + n_n + n_r AS n FROM cells),
+later AS MATERIALIZED (SELECT location, sex, CAST(age - 2 AS INTEGER) AS age, CAST(year - 2 AS INTEGER) AS year, n AS n_later FROM now)
+SELECT location, sex, age, year, n, n_later FROM now JOIN later USING (location, sex, age, year)""")
 def q09(spark: SparkSession, d: str) -> DataFrame:
     c = cells(spark, d).withColumn("n", F.col("n_a") + F.col("n_n") + F.col("n_r"))
     return cohort_join(c.select("location", "sex", "age", "year", "n"), ["location", "sex"], "age", "year", 2, ["n"])
@@ -161,11 +162,12 @@ CESS = " + ".join(f"({_step('ex', 'ge', k)}) / ({_step('current', 'gc', k - 1)})
 
 
 @query("q27b_status_transition_rates", f"""
-WITH {STATUS}, p AS (
-  SELECT a.location, a.sex, a.age, a.year + 3 AS year, a.never, a.current, a.ex,
+WITH {STATUS},
+later AS MATERIALIZED (SELECT location, sex, CAST(age - 3 AS INTEGER) AS age, CAST(year - 3 AS INTEGER) AS year, never, current, ex FROM status),
+p AS (
+  SELECT location, sex, age, year + 3 AS year, a.never, a.current, a.ex,
          {", ".join(f"CASE WHEN ln(b.{c} / a.{c}) / 3e0 > 1 THEN 0.99e0 ELSE ln(b.{c} / a.{c}) / 3e0 END AS g{c[0]}" for c in ("never", "current", "ex"))}
-  FROM status a LEFT JOIN status b ON a.location = b.location AND a.sex = b.sex AND b.age = a.age + 3 AND b.year = a.year + 3
-  WHERE a.year <= 1998),
+  FROM status a LEFT JOIN later b USING (location, sex, age, year) WHERE year <= 1998),
 x AS (SELECT *, {_mean_status(INIT)} AS i0, {_mean_status(CESS)} AS c0 FROM p)
 SELECT location, sex, age, CAST(year AS INTEGER) AS year, {r(_clip('i0', '0.9e0'))} AS init, {r(_clip('c0', '0.9e0'))} AS cess FROM x""")
 def q27b(spark: SparkSession, d: str) -> DataFrame:
