@@ -142,7 +142,7 @@ def _num(v) -> str:
 CASCADE_SQL = CELLS + f""", lv AS (
   SELECT location, year + 22 AS year, 0.1e0 + 0.4e0 * sum(n_a + 1) / sum(n_a + n_n + n_r + 3) AS aware, 0.2e0 + 0.5e0 * sum(n_n + 1) / sum(n_a + n_n + n_r + 3) AS connection,
          0.3e0 + 0.3e0 * sum(n_r + 1) / sum(n_a + n_n + n_r + 3) AS quality, 0.2e0 + 0.1e0 * sum(n_r + 1) / sum(n_a + n_n + n_r + 3) AS htn
-  FROM cells WHERE year >= 1997 GROUP BY 1, 2),
+  FROM cells GROUP BY 1, 2),
 lev AS (SELECT *, aware * connection AS treated, aware * connection * quality AS control FROM lv),
 variants(scenario, ta, tc, tq) AS (VALUES {", ".join(f"('{n}', {_num(v.get('aware'))}, {_num(v.get('connection'))}, {_num(v.get('quality'))})" for n, v in VARIANTS.items())}),
 ramp AS (
@@ -158,7 +158,7 @@ def levels(spark: SparkSession, d: str) -> DataFrame:
     tot = F.sum(F.col("n_a") + F.col("n_n") + F.col("n_r") + 3)
     def share(c):
         return F.sum(F.col(c) + 1) / tot
-    lv = cells(spark, d).filter(F.col("year") >= 1997).groupBy("location", (F.col("year") + 22).alias("year")).agg(
+    lv = cells(spark, d).groupBy("location", (F.col("year") + 22).alias("year")).agg(
         (F.lit(0.1) + F.lit(0.4) * share("n_a")).alias("aware"), (F.lit(0.2) + F.lit(0.5) * share("n_n")).alias("connection"),
         (F.lit(0.3) + F.lit(0.3) * share("n_r")).alias("quality"), (F.lit(0.2) + F.lit(0.1) * share("n_r")).alias("htn"))
     lv = lv.withColumn("treated", F.col("aware") * F.col("connection"))

@@ -44,9 +44,9 @@ base_rates AS (
 @query("q51_base_rates_job", f"""
 WITH {BASE_SQL}
 SELECT location, sex, cause, year, age, {r("all_mx", 9)} AS all_mx, {r("dis_mx", 9)} AS dis_mx, {r("bg_mx", 9)} AS bg_mx,
-       {r("prev_rate", 9)} AS prev_rate, nx FROM base_rates WHERE year >= 2000""")
+       {r("prev_rate", 9)} AS prev_rate, nx FROM base_rates""")
 def q51(spark: SparkSession, d: str) -> DataFrame:
-    out = M.base_rates(burden(spark, d), population(spark, d), CAUSES, first_year=2000)
+    out = M.base_rates(burden(spark, d), population(spark, d), CAUSES)
     return round_cols(out.select("location", "sex", "cause", "year", "age", "all_mx", "dis_mx", "bg_mx", "prev_rate", "nx"), 9)
 
 

@@ -76,11 +76,13 @@ def q28(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("q28b_composition_cells", STATUS_ROLL + f"""
-SELECT location, sex, age, CAST(year AS INTEGER) AS year, {r("never")} AS never, {r("current")} AS current, {r("ex")} AS ex
-FROM roll WHERE scenario = 'N'""")
+SELECT scenario, location, sex, age, CAST(year AS INTEGER) AS year, {r("never / 0.73e0")} AS never, {r("current / 0.73e0")} AS current,
+       {r("ex / 0.73e0")} AS ex
+FROM roll""")
 def q28b(spark: SparkSession, d: str) -> DataFrame:
-    rolled = status_scenarios(spark, d).filter(F.col("scenario") == "N")
-    return round_cols(rolled.select("location", "sex", "age", "year", "never", "current", "ex"))
+    """All scenarios; shares as the index of q28."""
+    rolled = status_scenarios(spark, d)
+    return round_cols(rolled.select("scenario", "location", "sex", "age", "year", *[(F.col(c) / 0.73).alias(c) for c in ("never", "current", "ex")]))
 
 
 def coupled_sql(keys: str, source: str, fi: str = "1e0", fc: str = "1e0") -> str:
