@@ -71,3 +71,14 @@ BROADCAST_BYTES = 64 << 20
 def small(df: DataFrame, row_bytes: int) -> DataFrame:
     """Mark a table for broadcast if its counted rows stay below the limit; otherwise it is joined by a shuffle."""
     return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
+def folded(docs: DataFrame, *used: str) -> DataFrame:
+    """The named columns that an operator works on, and all others in one struct ``row``, so that no name can clash."""
+    rest = [c for c in docs.columns if c not in used]
+    return docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(None).cast("int").alias("none")]).alias("row"))
+
+
+def unfolded(docs: DataFrame, *used: str, results: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``docs`` out of a folded table; one with the name of a result is left out: the result replaces it."""
+    return [F.col(c) if c in used else F.col("row").getField(c).alias(c) for c in docs.columns if c not in results]

@@ -6,8 +6,8 @@ its shingles, so the necessary prefix of a window is one shingle: its rarest, by
 documents. Each place of that shingle in a document gives one place for the window; it must lie inside the document
 (length and position bounds), and then the words are compared one by one.
 
-One pass over the texts finds and keeps the places of all shingles of windows, which also gives their rarity; the second
-reads only documents with a place for a window's prefix. Neither shuffles text as long as the checked size of the other
+One pass over the texts finds and keeps the places of all shingles of windows, which also gives their rarity, and counts the
+words; the second reads only documents with a place for a window's prefix. Neither shuffles text as long as the checked size of the other
 side is small; beyond that, both are joins by shuffle.
 
 Cases: null or blank text has no words; an item without words has no window; items with the same id count once; an item
@@ -20,9 +20,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelspark.llm.common import ascii_lower, saved, small
+from panelspark.llm.common import ascii_lower, folded, saved, small, unfolded
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z become a-z
+WHOLE = -(1 << 62) + 1  # stands for the shingle of the row that says how many words a document has
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -51,13 +52,14 @@ def shingle_at(words: Column, at: Column, length: int) -> Column:
 
 
 def places(docs: DataFrame, lengths: list[int], *keep: str) -> DataFrame:
-    """(…, words, at, sh): every place of a document with the shingles that start there."""
+    """(…, words, at, sh): every place of a document with the shingles that start there, and one row at -1 with the hash WHOLE."""
     out = docs.select(*keep, words_of(F.col("text")).alias("words"))
-    out = out.select(*keep, "words", F.posexplode("words").alias("at", "word"))
+    out = out.select(*keep, "words", F.explode(F.sequence(F.lit(-1), F.size("words") - 1)).alias("at"))
+    whole = F.col("at") < 0
     if len(lengths) == 1:
-        return out.withColumn("sh", shingle_at(F.col("words"), F.col("at"), lengths[0]))
+        return out.withColumn("sh", F.when(whole, F.lit(WHOLE)).otherwise(shingle_at(F.col("words"), F.col("at"), lengths[0])))
     shingles = F.array(*[shingle_at(F.col("words"), F.col("at"), n) for n in lengths])
-    return out.withColumn("sh", F.explode(shingles))
+    return out.withColumn("sh", F.explode(F.when(whole, F.array(F.lit(WHOLE))).otherwise(shingles)))
 
 
 def window_shingles(windows: DataFrame, lengths: list[int], shingle: int) -> DataFrame:
@@ -77,16 +79,22 @@ def prefixes(windows: DataFrame, parts: DataFrame, found: DataFrame) -> DataFram
     return windows.join(best, "w").select("w", "m", F.col("words").alias("wanted"), "p.off", "p.sh")
 
 
-def contained(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text_key, w, start, m) for every occurrence of a window, and the windows with their items."""
+def contained(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, text_key, w, start, m) for every occurrence of a window; the windows with their items; and for each row of ``docs``
+    (doc_id, text_key, n, row): its number of words and its further columns."""
     windows = saved(windows_of(items, window), "windows")
     lengths = sorted({min(r["m"], shingle) for r in windows.select("m").distinct().collect()}) or [shingle]
     parts = saved(window_shingles(windows, lengths, shingle), "window-shingles")
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
-    found = places(docs, lengths, "doc_id", "text_key").select("doc_id", "text_key", "at", "sh")
-    found = saved(found.join(small(parts.select("sh").distinct(), 16), "sh"), "shingle-places")
+    docs = folded(docs, "doc_id", "text").withColumn("text_key", F.xxhash64("text"))
+    found = places(docs, lengths, "doc_id", "text_key", "row")
+    whole = F.col("at") < 0
+    found = found.select("doc_id", "text_key", "at", "sh", F.when(whole, F.size("words")).alias("n"), F.when(whole, F.col("row")).alias("row"))
+    wanted = parts.select("sh").distinct().union(docs.sparkSession.range(1).select(F.lit(WHOLE)))
+    found = saved(found.join(small(wanted, 16), "sh"), "shingle-places")
+    each = found.where(whole).select("doc_id", "text_key", "n", "row")
+    found = found.where(~whole).select("doc_id", "text_key", "at", "sh")
     start = F.col("at") - F.col("off")
-    likely = found.join(prefixes(windows, parts, found), "sh").where(start >= 0)
+    likely = found.join(small(saved(prefixes(windows, parts, found), "prefixes"), 24 * (window + 3)), "sh").where(start >= 0)
     likely = saved(likely.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t"), start.alias("start"), "w", "m", "wanted"), "candidates")
     same_doc = docs["doc_id"].eqNullSafe(likely["_d"]) & (docs["text_key"] == likely["_t"])
     keys = likely.select("_d", "_t").distinct()
@@ -95,39 +103,40 @@ def contained(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int
     same = F.col("start") + F.col("m") <= F.size("words")
     for i in range(window):
         same = same & ((F.col("m") <= i) | (F.get("words", F.col("start") + i) == F.get("wanted", F.lit(i))))
-    return met.where(same).select("doc_id", "text_key", "w", "start", "m").distinct(), windows
+    return met.where(same).select("doc_id", "text_key", "w", "start", "m").distinct(), windows, each
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with n_words, n_hit, n_items, items_sha256 and contaminated."""
-    met, windows = contained(docs, items, window, shingle)
+    """``docs`` (doc_id, text, ...) with n_words, n_hit, n_items, items_sha256 and contaminated, without the text.
+
+    Further columns pass through whatever their names; one with the name of a result is replaced.
+    """
+    met, windows, each = contained(docs, items, window, shingle)
     met = saved(met, "occurrences")
     key = ["doc_id", "text_key"]
     words = met.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("m") - 1)).alias("at")).distinct()
-    hits = words.groupBy(*key).agg(F.count("at").alias("_hit"))
+    hits = words.groupBy(*key).agg(F.count("at").alias("hit"))
     named = met.select(*key, "w").distinct().join(windows.select("w", F.explode("items").alias("item")), "w")
-    named = named.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("_items"))
+    named = named.groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"))
     side = hits.withColumnsRenamed({"doc_id": "_d", "text_key": "_t"})
     other = named.withColumnsRenamed({"doc_id": "_e", "text_key": "_u"})
     side = side.join(other, F.col("_d").eqNullSafe(F.col("_e")) & (F.col("_t") == F.col("_u"))).drop("_e", "_u")
-    out = docs.withColumn("_words", F.regexp_count("text", F.lit(WORD)))
-    out = out.withColumn("_key", F.xxhash64("text")).select(*[c for c in docs.columns if c != "text"], "_words", "_key")
-    out = out.join(side, out["doc_id"].eqNullSafe(side["_d"]) & (F.col("_key") == F.col("_t")), "left")
-    n_hit = F.coalesce("_hit", F.lit(0)).cast("long")
+    out = each.join(side, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_key") == F.col("_t")), "left")
+    n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return out.select(
-        *[c for c in docs.columns if c != "text"], F.coalesce("_words", F.lit(0)).cast("long").alias("n_words"), n_hit.alias("n_hit"),
-        F.when(F.col("_items").isNull(), 0).otherwise(F.size("_items")).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join("_items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
+        *unfolded(docs, "doc_id", results=("text", *RESULTS)), F.col("n").cast("long").alias("n_words"), n_hit.alias("n_hit"),
+        F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
+        F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, shingle: int = 3) -> DataFrame:
     """``docs`` without the documents that hold a window of an item."""
-    met, _ = contained(docs, items, window, shingle)
+    met = contained(docs.select("doc_id", "text"), items, window, shingle)[0]
     met = met.select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_t")).distinct()
-    docs = docs.withColumn("_key", F.xxhash64("text"))
-    return docs.join(met, docs["doc_id"].eqNullSafe(met["_d"]) & (docs["_key"] == met["_t"]), "left_anti").drop("_key")
+    rows = folded(docs, "doc_id", "text").withColumn("_key", F.xxhash64("text"))
+    return rows.join(met, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_key") == F.col("_t")), "left_anti").select(*unfolded(docs, "doc_id", "text"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from panelspark.llm.common import key_pair, saved, small, table
+from panelspark.llm.common import folded, key_pair, saved, small, table, unfolded
 
 # Element names and the words of class, id and role that mark boilerplate.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -273,12 +273,12 @@ def templates(pages: DataFrame, min_pages: int = 10, share: float = 0.6) -> Data
 
 
 def extract(pages: DataFrame, **options) -> DataFrame:
-    """``pages`` (url, html, ...) with text."""
+    """``pages`` (url, html, ...) with text. Further columns pass through whatever their names; one named text is replaced."""
     found = saved(templates(pages, **options), "templates").withColumnRenamed("host", "_host")
     size = 8 * (found.agg(F.sum(F.size("template"))).first()[0] or 0)
-    rows = pages.withColumn("_own", host(F.col("url")))
+    rows = folded(pages, "url", "html").withColumn("_own", host(F.col("url")))
     rows = rows.join(small(found, 64 + size // max(found.count(), 1)), F.col("_own") == F.col("_host"), "left")
-    return rows.withColumn("text", extracted("html", "template")).drop("_own", "_host", "template")
+    return rows.select(*unfolded(pages, "url", "html", results=("text",)), extracted("html", "template").alias("text"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,8 +17,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelspark.llm.common import BLANKS, ascii_lower, key_pair, partitions, saved, scratch
+from panelspark.llm.common import BLANKS, ascii_lower, folded, key_pair, partitions, saved, scratch, unfolded
 
+RESULTS, LISTED = ("kept", "n_lines", "n_dropped"), 256
 KEY = ["h1", "h2"]
 
 
@@ -95,7 +96,11 @@ class LineRuns:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 4, fanout: int = 3) -> DataFrame:
-    """``docs`` (doc_id, text, ...) with the columns kept (text), n_lines and n_dropped added."""
+    """``docs`` (doc_id, text, ...) with the columns kept (text), n_lines and n_dropped added.
+
+    Further columns pass through whatever their names; one with the name of a result is replaced. Documents that lose at most LISTED different
+    lines carry them as a list; the lines of the others are joined.
+    """
     spark = docs.sparkSession
     hashes = saved(line_hashes(docs, min_chars), "line-hashes")
     cuts = hashes.agg(F.percentile_approx("doc_id", [i / batches for i in range(batches - 1, 0, -1)], 1000)).first()[0] or []
@@ -105,23 +110,43 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         index.add(part if cut is None else part.where(F.col("doc_id") >= cut))
         high = cut
     lost = hashes.join(index.frequent(min_docs), KEY).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("keeper")))
-    lost = lost.groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("_lost")).withColumnRenamed("doc_id", "_doc")
-    both = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_doc"]), "left").drop("_doc")
+    lost = lost.select(F.col("doc_id").alias("_doc"), *KEY)
+    listed = lost.groupBy("_doc").agg(F.collect_set(F.struct(*KEY)).alias("lost"))
+    rows = folded(docs, "doc_id", "text")
+    both = rows.join(listed, rows["doc_id"].eqNullSafe(listed["_doc"]), "left").drop("_doc")
 
     def stays(line: Column) -> Column:
         key = line_key(line)
-        return ~((F.char_length(key) >= min_chars) & F.array_contains(F.col("_lost"), F.struct(*key_pair(key))))
+        return ~((F.char_length(key) >= min_chars) & F.array_contains(F.col("lost"), F.struct(*key_pair(key))))
 
     lines = lines_of(F.col("text"))
-    both = both.withColumn("_kept", F.when(F.col("_lost").isNotNull(), F.filter(lines, stays)))
+    few = both.where(F.coalesce(F.size("lost"), F.lit(0)) <= LISTED)
+    few = few.withColumn("left", F.when(F.col("lost").isNotNull(), F.filter(lines, stays)))
+    many = both.where(F.size("lost") > LISTED).drop("lost")
+    out = few.drop("lost").unionByName(without_lines(many, lost, min_chars))
     n = F.size(lines).cast("long")
-    return both.select(
-        *docs.columns,
-        F.coalesce(F.array_join("_kept", "\n"), "text", F.lit("")).alias("kept"), n.alias("n_lines"),
-        F.coalesce(n - F.when(F.col("_kept").isNotNull(), F.size("_kept")), F.lit(0)).cast("long").alias("n_dropped"),
+    return out.select(
+        *unfolded(docs, "doc_id", "text", results=RESULTS), F.coalesce(F.array_join("left", "\n"), "text", F.lit("")).alias("kept"), n.alias("n_lines"),
+        F.coalesce(n - F.when(F.col("left").isNotNull(), F.size("left")), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
+def without_lines(rows: DataFrame, lost: DataFrame, min_chars: int) -> DataFrame:
+    """``rows`` (doc_id, text, row) with ``left``, the lines that stay: by an anti join of the lines, linear in a document's lines."""
+    rows = rows.withColumn("t", F.struct(*key_pair(F.col("text"))))
+    each = rows.dropDuplicates(["doc_id", "t"]).select("doc_id", "t", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
+    key = line_key(F.col("line"))
+    each = each.select("*", *[F.when(F.char_length(key) >= min_chars, k).alias(k_name) for k, k_name in zip(key_pair(key), KEY)])
+    gone = lost.withColumnsRenamed({k: f"_{k}" for k in KEY})
+    same = F.col("doc_id").eqNullSafe(F.col("_doc"))
+    for k in KEY:
+        same = same & (F.col(k) == F.col(f"_{k}"))
+    left = each.join(gone, same, "left_anti").groupBy("doc_id", "t").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
+    left = left.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("l.line").alias("left"))
+    out = rows.join(left, rows["doc_id"].eqNullSafe(left["_doc"]) & (rows["t"] == left["_t"]), "left")
+    return out.select("doc_id", "text", "row", F.coalesce("left", F.array().cast("array<string>")).alias("left"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = dedup_lines(docs)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from panelspark.llm.common import WORD, partitions, saved
+from panelspark.llm.common import WORD, folded, partitions, saved, unfolded
 
 WEIGHTS = (3, 1, 2)
 MAX_SOURCES = 10_000  # a mixture names its sources; more of them are refused, not cut
@@ -175,13 +175,18 @@ def mix(docs: DataFrame, block: int = 128, per_shard: int = 8192, seed: int = 7)
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) without the text, with size, source_size, target and taken."""
-    rows, parts, slots = mix(docs, **options)
+    """``docs`` (doc_id, text, source, ...) without the text, with size, source_size, target and taken.
+
+    Further columns pass through whatever their names; one with the name of a result is replaced.
+    """
+    used = ["doc_id", "text", "source"]
+    rows, parts, slots = mix(folded(docs, *used), **options)
     times = slots.groupBy("s", "block").agg(F.count("*").alias("times"))
     taken = parts.join(times, ["s", "block"]).groupBy("s", "off").agg(F.sum(F.col("words") * F.col("times")).alias("_taken"))
     taken = taken.withColumnsRenamed({"s": "_s", "off": "_off"})
     out = rows.join(taken, (F.col("s") == F.col("_s")) & (F.col("off") == F.col("_off")) & (F.col("size") > 0), "left")
-    return out.select(*[c for c in docs.columns if c != "text"], "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
+    own = unfolded(docs, *used, results=("text", "size", "source_size", "target", "taken"))
+    return out.select(*own, "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -352,9 +352,7 @@ def decoder(model: bytes) -> Callable[[Column], Column]:
 
 
 def with_ids(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids", checked: bool = True) -> DataFrame:
-    """``docs`` with the ids of a text column; a column of the result's name raises."""
-    if into in docs.columns:
-        raise ValueError(f"column {into} is there already")
+    """``docs`` with the ids of a text column; a column of the result's name is replaced."""
     return docs.withColumn(into, encoder(model, checked)(F.col(text)))
 
 

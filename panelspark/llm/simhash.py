@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from panelspark.llm.common import saved
+from panelspark.llm.common import folded, saved, unfolded
 
 LENGTH, THRESHOLD, CHUNK = 63, 2, 1 << 20
 
@@ -170,13 +170,13 @@ def near_duplicates(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD)
 
 def keep_one(docs: DataFrame, size: int = 3, threshold: int = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest doc_id (none: of the smallest fingerprint)."""
-    each = saved(fingerprints(docs, size), "documents-with-fingerprints")
+    each = saved(fingerprints(folded(docs, "doc_id", "text"), size), "documents-with-fingerprints")
     groups = grouped(each.select("doc_id", "fp"), threshold)
     rows = each.select("doc_id", "fp").distinct().join(groups, "fp")
     first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("r"))
     first = first.select(F.col("r.doc_id").alias("_doc"), F.col("r.fp").alias("_fp"))
     kept = each.join(first, each["doc_id"].eqNullSafe(first["_doc"]) & (each["fp"] == first["_fp"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "fp"]).select(*docs.columns)
+    return kept.dropDuplicates(["doc_id", "fp"]).select(*unfolded(docs, "doc_id", "text"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,7 @@ still tie; what is left after the last bitmap ties exactly, and the smallest ids
 every index block once; the best k of each pair are ranked per query by a window.
 
 Cases: null vectors and vectors with null, NaN or infinite components take no part; shorter vectors count as padded with
-zeros; quantised components are held within plus or minus 2^26, so that scores fit a long; rows that repeat a query's id are not
-its candidates; repeated query rows with equal vectors are one query; null ids are no candidates.
+zeros; vectors whose scores could pass a long raise; rows that repeat a query's id are not its candidates; repeated query rows with equal vectors are one query; null ids are no candidates.
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from panelspark.llm.common import saved, table
 
-LIMIT = 1 << 26
+LIMIT = 1 << 61  # of a score, so that all sums fit a long
 
 
 def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
@@ -31,8 +30,7 @@ def quantised(vectors: DataFrame, scale: float = 256.0) -> DataFrame:
         return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = F.col("embedding").cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & F.forall(v, fine))
-    q = F.transform(v, lambda x: F.greatest(F.least(F.floor(x * scale), F.lit(LIMIT)), F.lit(-LIMIT)).cast("int"))
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), q.alias("q"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(v, lambda x: F.floor(x * scale).cast("long")).alias("q"))
 
 
 def packed(rows: DataFrame, blocks: int, per_block: int, slot: Column | None = None) -> DataFrame:
@@ -42,7 +40,7 @@ def packed(rows: DataFrame, blocks: int, per_block: int, slot: Column | None = N
 
         def block():
             width = max(len(v) for v in vectors)
-            m = np.zeros((len(ids), width), np.int32)
+            m = np.zeros((len(ids), width), np.int64)
             for i, v in enumerate(vectors):
                 m[i, :len(v)] = v
             order = np.argsort(np.array(ids, np.int64), kind="stable")
@@ -64,7 +62,7 @@ class Slices:
 
     def __init__(self, ids: bytes, m: bytes, width: int):
         self.ids = np.frombuffer(ids, np.int64)
-        values = np.frombuffer(m, np.int32).reshape(len(self.ids), width).astype(np.int64)
+        values = np.frombuffer(m, np.int64).reshape(len(self.ids), width)
         self.n, self.width = len(self.ids), width
         self.low = values.min(0) if width else np.zeros(0, np.int64)
         offset = values - self.low
@@ -143,7 +141,14 @@ class Slices:
 
 def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, per_block: int = 16384, per_query_block: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score) of quantised (vec_id, q) queries over quantised rows."""
-    n_rows, queries = rows.count(), saved(queries.dropDuplicates(["vec_id", "q"]), "queries")
+    def size(df: DataFrame) -> tuple[int, int, int]:
+        largest = F.max(F.array_max(F.transform("q", lambda x: F.abs(x))))
+        n, width, most = df.agg(F.count(F.lit(1)), F.max(F.size("q")), largest).first()
+        return n, width or 0, most or 0
+    (n_rows, width, most), (_, _, asked_most) = size(rows), size(queries)
+    if width * most * asked_most >= LIMIT:
+        raise ValueError("components are too large: a score could pass a long")
+    queries = saved(queries.dropDuplicates(["vec_id", "q"]), "queries")
     n_blocks, n_queries = max(1, -(-n_rows // per_block)), queries.count()
     index = packed(rows, n_blocks, per_block).withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(n_blocks)))
     asked = packed(queries, max(1, -(-n_queries // per_query_block)), per_query_block)
@@ -157,7 +162,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5, per_block: int = 1638
                 if kept != (r.ids, r.m):
                     kept, slices = (r.ids, r.m), Slices(r.ids, r.m, r.width)
                 q_ids = np.frombuffer(r.q_ids, np.int64)
-                q_m = np.frombuffer(r.q_m, np.int32).reshape(len(q_ids), r.q_width)
+                q_m = np.frombuffer(r.q_m, np.int64).reshape(len(q_ids), r.q_width)
                 out = []
                 for qid, q in zip(q_ids, q_m):
                     ids, scores = slices.best(q, k, qid)

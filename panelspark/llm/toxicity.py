@@ -26,7 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelspark.llm.common import held_out, learns, saved, small, table
+from panelspark.llm.common import folded, held_out, learns, saved, small, table, unfolded
 
 NOT_TOKEN = r"[^\p{L}\p{N}_]+"
 TOKEN = re.compile(r"\w+")
@@ -167,11 +167,16 @@ def fit(docs: DataFrame, labels: DataFrame, **options) -> Model:
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """``docs`` with score, predicted, n (tokens) and passages (first and last token, score)."""
-    out = docs.withColumn("_s", segments_udf(model)("text")).select("*", "_s.n", "_s.passages").drop("_s")
+    """``docs`` with score, predicted, n (tokens) and passages (first and last token, score).
+
+    Further columns pass through whatever their names; one with the name of a result is replaced.
+    """
+    out = folded(docs, "text").withColumn("s", segments_udf(model)("text")).select("text", "row", "s.*")
     x = evidence(model)
     score = F.when(x.isNotNull(), 1 / (1 + F.exp(-(F.lit(model.a) + F.lit(model.b) * x)))).otherwise(F.lit(min(model.base, 1.0)))
-    return out.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = out.withColumn("score", score).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    results = ("n", "passages", "score", "predicted")
+    return out.select(*unfolded(docs, "text", results=results), *results)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,6 +81,7 @@ def test_top_k(spark):
     rows = [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in range(400)]
     rows += [(i, rows[3][1]) for i in range(400, 460)]  # ties
     rows += [(500, None), (550, [1.0, None]), (600, [float("nan")] * 8), (650, [float("inf")] * 8), (700, [0.5, -0.5]), (750, []), (None, rows[0][1]), (100, rows[100][1])]
+    rows += [(800, [1e6] * 8), (850, [-1e6, 2e6] * 4), (851, [3e5, -7e5, 1e6])]  # scores beyond 2^53
     table = spark.createDataFrame([(i, v, 1) for i, v in rows], VECTORS)
     q = topk.quantised(table).cache()
     out = topk.top_k(q.where("vec_id % 50 = 0"), q, per_block=100, per_query_block=3)
@@ -88,6 +89,9 @@ def test_top_k(spark):
     want = brute.top_k([(i, None if v is None else [None if x is None else float(spark_float(x)) for x in v]) for i, v in rows])
     assert got == want
     assert topk.top_k(q.limit(0), q.limit(0)).count() == 0
+    big = topk.quantised(spark.createDataFrame([(0, [1e9] * 8, 1)], VECTORS))
+    with pytest.raises(ValueError):
+        topk.top_k(big, big)
 
 
 def spark_float(x):
