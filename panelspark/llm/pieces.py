@@ -25,7 +25,6 @@ import struct
 from array import array
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +38,7 @@ NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 REMEMBERED = 1 << 19  # chunks that a worker keeps; beyond it the store starts anew
 SHORT = 32  # longer chunks have an agenda of their own
 ROWS, WAITING = 1 << 15, 1 << 19  # chunks merged together; chunks of texts that wait for their new ones
+CHECKED = 256  # chunks in one text of the check
 NONE = np.iinfo(np.int32).max  # the rank of a pair that forms no piece
 
 
@@ -119,6 +119,15 @@ class Vocabulary:
         else:
             self.cut = re.compile(f"{MARK}*{letters}+|{MARK}+|.", re.DOTALL)
 
+        # Kinds of characters: 0 stands alone; which kinds some piece holds in sequence.
+        kinds = {c: i for i, c in enumerate(sorted(set("".join(joined))), 1)}
+        self.letter_kinds = np.zeros(0x110000, np.int32)
+        self.letter_kinds[[ord(c) for c in kinds]] = list(kinds.values())
+        self.joined_kinds = np.zeros((len(kinds) + 1, len(kinds) + 1), bool)
+        for piece in joined:
+            for i in range(len(piece) - 1):
+                self.joined_kinds[kinds[piece[i]], kinds[piece[i + 1]]] = True
+
         self.surface = [piece.replace(MARK, " ").encode() if kind == NORMAL else b"" for piece, _, kind in self.pieces]
         self.byte_ids = frozenset(self.bytes.values())
         for value, i in self.bytes.items():
@@ -182,18 +191,35 @@ class Vocabulary:
         return np.where(hit, self.pair_ranks[at], NONE), self.pair_ids[at]
 
     def merged_together(self, chunks: list[str]) -> dict[str, bytes]:
-        """The ids of many chunks as 32-bit numbers. Short chunks share numpy agendas: a row per chunk, its pairs' ranks in place; in
-        each round every row merges its best pair, the leftmost of equals, and looks up the two new pairs."""
+        """The ids of many chunks as 32-bit numbers. Chunks are cut once more, between neighbours that no piece holds in sequence, and
+        the distinct parts are merged: short ones share numpy agendas, a row per part with its pairs' ranks in place; in each round
+        every row merges its best pair, the leftmost of equals, and looks up the two new pairs."""
+        whole = "".join(chunks)
+        if not whole:
+            return dict.fromkeys(chunks, b"")
+        kinds = self.letter_kinds[np.frombuffer(whole.encode("utf-32-le"), "<u4")]
+        ends = np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))
+        cut = np.ones(len(whole) + 1, bool)
+        cut[1:-1] = ~self.joined_kinds[kinds[:-1], kinds[1:]]
+        cut[ends] = True
+        at = np.flatnonzero(cut)
+        parts = [whole[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+        found = self._merged_parts(list(set(parts)))
+        data = list(map(found.__getitem__, parts))
+        last = np.searchsorted(at, ends).tolist()
+        return {c: data[a] if b - a == 1 else b"".join(data[a:b]) for c, a, b in zip(chunks, [0, *last], last)}
+
+    def _merged_parts(self, parts: list[str]) -> dict[str, bytes]:
         out: dict[str, bytes] = {}
         by_width: dict[int, list[str]] = {}
-        for chunk in chunks:
-            by_width.setdefault(-(-len(chunk) // 4) if len(chunk) <= SHORT else 0, []).append(chunk)
+        for part in parts:
+            by_width.setdefault(-(-len(part) // 2) if len(part) <= SHORT else 0, []).append(part)
         for width, some in by_width.items():
             for i in range(0, len(some), ROWS) if width else ():
-                rest = self._merge_rows(some[i:i + ROWS], 4 * width, out)
-                out.update((chunk, array("i", self.merged(chunk)).tobytes()) for chunk in rest)
+                rest = self._merge_rows(some[i:i + ROWS], 2 * width, out)
+                out.update((part, array("i", self.merged(part)).tobytes()) for part in rest)
             if not width:
-                out.update((chunk, array("i", self.merged(chunk)).tobytes()) for chunk in some)
+                out.update((part, array("i", self.merged(part)).tobytes()) for part in some)
         return out
 
     def _merge_rows(self, chunks: list[str], width: int, out: dict[str, bytes]) -> list[str]:
@@ -278,18 +304,23 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def check(self, new: dict[str, bytes]) -> None:
-        """The library encodes the same chunks. It puts the mark in front itself; a chunk without one is encoded behind a line feed,
-        which is a chunk of its own."""
-        v = self.vocabulary
-        lead = b"".join(v.merged_together(v.chunks("\n")).values())
-        plain = [c for c in new if c[:len(v.prefix)] == v.prefix and c != v.prefix]  # the library has no ids for an empty text
-        other = [c for c in new if c[:len(v.prefix)] != v.prefix]
-        texts = [c[len(v.prefix):].replace(MARK, " ") for c in plain] + ["\n" + c.replace(MARK, " ") for c in other]
-        found = self.library.encode(texts, num_threads=1)
-        want = [new[c] for c in plain] + [lead + new[c] for c in other]
-        if np.fromiter(chain.from_iterable(found), np.int32).tobytes() != b"".join(want) or any(4 * len(f) != len(w) for f, w in zip(found, want)):
-            text, f, w = next((t, f, w) for t, f, w in zip(texts, found, want) if array("i", f).tobytes() != w)
-            raise RuntimeError(f"the sentencepiece library encodes {text!r} as {f}, not as {array('i', w).tolist()}")
+        """The library encodes the same chunks in texts of many, each behind a line feed, which is a chunk of its own."""
+        v, chunks = self.vocabulary, list(new)
+        line = v.merged_together(["\n"])["\n"]
+        lead = array("i", v.merged(v.prefix)).tobytes() if v.prefix else b""
+        groups = [chunks[i:i + CHECKED] for i in range(0, len(chunks), CHECKED)]
+        texts = ["\n" + "\n".join(g).replace(MARK, " ") for g in groups]
+        for group, found in zip(groups, self.library.encode(texts, num_threads=1)):
+            want = lead + line + line.join(map(new.__getitem__, group))
+            if np.array(found, np.int32).tobytes() != want:
+                self._differs(group, new)
+
+    def _differs(self, chunks: list[str], new: dict[str, bytes]) -> None:
+        if len(chunks) == 1:
+            raise RuntimeError(f"the sentencepiece library encodes {chunks[0]!r} otherwise than as {array('i', new[chunks[0]]).tolist()}")
+        for chunk in chunks:
+            self.check({chunk: new[chunk]})
+        raise RuntimeError(f"the sentencepiece library encodes {chunks!r} otherwise than one by one")
 
     def learn(self, chunks: set[str], checked: bool) -> None:
         new = self.vocabulary.merged_together(list(chunks))
