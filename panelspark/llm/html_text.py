@@ -33,6 +33,7 @@ HEAD = set("title style script meta link base noscript template".split())
 BLOCK = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
             "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 PROSE = set("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre b i em strong a span br".split())
+TEXT = set("p h1 h2 h3 h4 h5 h6 li blockquote pre td th dt dd b i em strong a span".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 FENCE = set("article aside body div section main nav header footer table ul ol dl form blockquote".split())
 DROP_TAGS = set("nav footer aside form dialog menu head fieldset".split()) | RAW
@@ -72,7 +73,7 @@ def unwanted(tag: str, attributes: str, within: bool) -> tuple[bool, bool]:
                 return True, False
         elif tag == "article":
             named |= bool(words & {"comment", "comments", "reply", "ad", "promo", "related"})
-        else:
+        elif not (within and tag in TEXT):  # inside an article names decide about containers, not about its text
             named |= bool(words & DROP_WORDS) or "header" in words and not within
     hidden = bool(HIDDEN.search(attributes))
     return hidden or named, named and not hidden

@@ -28,3 +28,12 @@ def test_copies_of_a_page_count_once(spark):
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     want = {p: "Same text" if p < 30 else f"Own text {p - 30}" if p < 50 else "All of a small site" for p, *_ in rows}
     assert {r.page_id: r.text for r in out} == want
+
+
+def test_names_of_article_text_drop_nothing():
+    def text(html):
+        return html_text.main_text(html_text.read(html), set())
+    assert text('<article><p class="share-price">The share price rose</p><p>Other news</p></article>') == "The share price rose\nOther news"
+    assert text('<article><h2 id="related-work">Related work</h2><p>Text</p></article>') == "Related work\nText"
+    assert text('<article><p>Text</p><div class="related"><p>More</p></div><ul class="comments"><li>first</ul></article>') == "Text"
+    assert text('<p class="notice">Cookies</p><article><p>Text</p></article>') == "Text"
