@@ -1,9 +1,12 @@
-"""Counted cells: the grid of the suppliers is made after the shuffle, with the same counts."""
+"""Counted cells: the grid of the suppliers is made after the shuffle, with the same counts. What the fold is fed with."""
 
 import datetime as dt
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from panelspark.operators.cohort import roll_coupled
 from panelspark.sources import tables as T
 from conftest import rows
 
@@ -11,6 +14,10 @@ KINDS = "l_suppkey long, l_linestatus string, l_returnflag string, l_quantity do
     "l_extendedprice double, l_discount double"
 
 
+PANEL = "k string, part string, age int, year int, nx double, prev_rate double, dis_mx double, all_mx double, bg_mx double, " \
+    "bg_mx_all double, ir double, cf double"
+
+
 def line(supplier, sex, cause, age, year):
     return (supplier, sex, cause, age, dt.datetime(year, 6, 1) if year else None, 1, 1.0, 0.1)
 
@@ -42,3 +49,20 @@ def test_counts_with_odd_lines(spark, tmp_path):
              (1, "F", 3, None): (1, 0, 0), (None, None, 3, 1996): (0, 1, 0), (9, "F", 50, 2001): (0, 1, 0)}
     assert got == want and T.cells(spark, d).count() == len(want)
     assert [t for _, t in T.cells(spark, d).dtypes] == ["bigint", "string", "int", "int", "bigint", "bigint", "bigint"]
+
+
+def test_seeds_and_rates_meet_without_an_aggregation(spark):
+    """Without carried columns a cell is a seed or has rates: the fold collects the shuffled rows as they are."""
+    panel = spark.createDataFrame([("x", "p", 0, 2000, *[0.1] * 8)], PANEL)
+    out = roll_coupled(panel, ["k"], "part", ["p"], "age", "year", 2000, (0, 5))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max" not in plan and plan.count("Exchange") == 1 and "lambdafunction" not in plan.split("Exchange")[1]
+
+
+@pytest.mark.parametrize("parts", [("a", "a", "b"), ("a", "a"), ("a", "a", "b", "c")])
+def test_repeated_part_raises_whatever_the_number_of_rows(spark, parts):
+    """Three rows for three parts are not yet one of each."""
+    rates = [100.0, 0.1, 0.01, 0.02, 0.01, 0.01, 0.1, 0.1]
+    panel = spark.createDataFrame([("x", p, 0, 2000, *rates) for p in parts], PANEL)
+    with pytest.raises(PySparkException, match="duplicate key"):
+        roll_coupled(panel, ["k"], "part", ["a", "b", "c"], "age", "year", 2000, (0, 5)).collect()
