@@ -25,6 +25,7 @@ import struct
 from array import array
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -348,7 +349,7 @@ class Encoder:
         for text in texts:
             chunks = self.vocabulary.chunks(text.as_py() or "")
             waiting.append(chunks)
-            new.update(set(chunks).difference(self.known))
+            new.update(filterfalse(self.known.__contains__, chunks))
             size += len(chunks)
             if size > WAITING:
                 put()
@@ -374,11 +375,17 @@ def encoder(model: bytes, checked: bool = True, end: bool = True) -> Callable[[C
     return F.arrow_udf(run, "array<int>")
 
 
+def decoded(vocabulary: Vocabulary, ids: pa.Array) -> pa.Array:
+    """The texts of lists of ids, each taken from the flat numbers of the batch; one Arrow object per id would cost more than decoding."""
+    numbers, at = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_pylist()
+    rows = zip(at[:-1], at[1:], ids.is_valid().to_pylist())
+    return pa.array([vocabulary.text(numbers[a:b].tolist() if there else []) for a, b, there in rows], pa.string())
+
+
 def decoder(model: bytes) -> Callable[[Column], Column]:
     """A column function: array<int> of ids to text."""
     def run(ids: pa.Array) -> pa.Array:
-        vocabulary = _opened(model).vocabulary
-        return pa.array([vocabulary.text(row.as_py() or []) for row in ids], pa.string())
+        return decoded(_opened(model).vocabulary, ids)
     return F.arrow_udf(run, "string")
 
 

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -95,3 +96,14 @@ def test_query(spark, library):
     for r in got:
         ids = library.encode(docs[r.doc_id] or "", add_eos=True)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids)))
+
+
+def test_lists_are_decoded_from_the_flat_numbers(model):
+    """Null lists, empty lists and a slice of a batch; no Arrow object per id."""
+    v = pieces.Vocabulary(model)
+    texts = ["Zwei Wörter", "a b  c", "中\U0001f600"]
+    ids = [v.merged(v.prefix + t.replace(" ", pieces.MARK)) for t in texts]
+    batch = pa.array([[5], ids[0], None, [], ids[1], ids[2], [7]], pa.list_(pa.int32())).slice(1, 5)
+    assert pieces.decoded(v, batch).to_pylist() == [texts[0], "", "", texts[1], texts[2]]
+    with pytest.raises((IndexError, TypeError)):
+        pieces.decoded(v, pa.array([[10 ** 6]], pa.list_(pa.int32())))
