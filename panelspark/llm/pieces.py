@@ -389,18 +389,32 @@ def decoder(model: bytes) -> Callable[[Column], Column]:
     return F.arrow_udf(run, "string")
 
 
+def round_trip(model: bytes, checked: bool = True, end: bool = True) -> Callable[[Column], Column]:
+    """A column function: text to struct<ids, decoded>. A decoder over an encoder's column would have Spark encode every text twice, once
+    for the ids and once within the chain."""
+    def run(texts: pa.Array) -> pa.Array:
+        ids = _opened(model).encoded(texts, checked, end)
+        return pa.StructArray.from_arrays([ids, decoded(_opened(model).vocabulary, ids)], ["ids", "decoded"])
+    return F.arrow_udf(run, "struct<ids:array<int>,decoded:string>")
+
+
 def with_ids(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids", checked: bool = True) -> DataFrame:
     """``docs`` with the ids of a text column; a column of the result's name is replaced."""
     return docs.withColumn(into, encoder(model, checked)(F.col(text)))
 
 
+def with_round_trip(docs: DataFrame, model: bytes, text: str = "text", into: str = "ids", back: str = "decoded", checked: bool = True) -> DataFrame:
+    """``docs`` with the ids of a text column and the text decoded from them, each text encoded once; columns of these names are replaced."""
+    both = round_trip(model, checked)(F.col(text))
+    return docs.withColumns({into: both["ids"], back: both["decoded"]})
+
+
 def op11(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path("piece_bpe_32k.model")
     with open(path, "rb") as f:
         model = f.read()
-    out = with_ids(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    out = out.select("doc_id", "ids", decoder(model)("ids").alias("decoded"))
+    out = with_round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), model)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
                       F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -107,3 +107,14 @@ def test_lists_are_decoded_from_the_flat_numbers(model):
     assert pieces.decoded(v, batch).to_pylist() == [texts[0], "", "", texts[1], texts[2]]
     with pytest.raises((IndexError, TypeError)):
         pieces.decoded(v, pa.array([[10 ** 6]], pa.list_(pa.int32())))
+
+
+def test_every_text_is_encoded_once(spark, model, library):
+    """One call for ids and decoded text: the encoder stands once in the plan, not again under the decoder."""
+    plan = pieces.op11(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and plan.split("ArrowEvalPython [")[1].split("]")[0].count("run(") == 1
+    rows = [(1, None, "x"), (2, "", "x"), (3, " two  spaces\n", "x"), (4, "\u6f22\u5b57 \U0001f600\0", "x"), (5, "word " * 5000, "x")]
+    out = pieces.with_round_trip(spark.createDataFrame(rows, "doc_id long, text string, decoded string"), model)
+    assert out.columns == ["doc_id", "text", "decoded", "ids"]
+    got = {r.doc_id: (list(r.ids), r.decoded) for r in out.collect()}
+    assert got == {d: (library.encode(t or "", add_eos=True), t or "") for d, t, _ in rows}
