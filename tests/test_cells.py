@@ -1,12 +1,14 @@
 """Counted cells: the grid of the suppliers is made after the shuffle, with the same counts. What the fold is fed with."""
 
 import datetime as dt
+import os
 
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from panelspark.operators.cohort import roll_coupled
+from panelspark.plans import catalog
 from panelspark.sources import tables as T
 from conftest import rows
 
@@ -66,3 +68,32 @@ def test_repeated_part_raises_whatever_the_number_of_rows(spark, parts):
     panel = spark.createDataFrame([("x", p, 0, 2000, *rates) for p in parts], PANEL)
     with pytest.raises(PySparkException, match="duplicate key"):
         roll_coupled(panel, ["k"], "part", ["a", "b", "c"], "age", "year", 2000, (0, 5)).collect()
+
+
+ON_CELLS = [
+    "q17_rmse", "q09b_band_cohort_join", "q37_cascade", "q28_composition_roll", "q51_base_rates_job", "q42b_model_vs_observed",
+    "q52_transition_rates_job", "q37b_cascade_impact", "q09_cohort_shift_join", "q29_coupled_roll", "q27_transition_rates",
+    "q26_union_project_forward", "q34c_apply_effects",
+]
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ON_CELLS)
+def test_no_query_aggregates_suppliers_before_the_shuffle(spark, name):
+    """Between the scan of the suppliers and its shuffle there is neither an aggregation nor the range of ages, in any branch of the query."""
+    lines = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("\n")
+    def depth(line):
+        return len(line) - len(line.lstrip(" :+-"))
+    scans = [i for i, line in enumerate(lines) if "Scan parquet [s_suppkey" in line]
+    assert scans
+    for i in scans:
+        above, at = [], depth(lines[i])
+        for line in reversed(lines[:i]):
+            if depth(line) < at:
+                at = depth(line)
+                above.append(line)
+            if above and "Exchange" in above[-1]:
+                break
+        assert "Exchange" in above[-1]
+        assert not [line for line in above[:-1] if "Aggregate" in line or "sequence(1, 50" in line or "[1,2,3,4,5,6,7,8,9," in line], name
