@@ -12,7 +12,7 @@ from panelspark.plans import catalog
 from test_cohort import AGES, CAUSES, YEARS, frame, panel
 
 SF = "/root/testdata/sf0.001"
-IN_PLACE = ["q33_calibration"]
+IN_PLACE = ["q33_calibration", "q29_scenario_sweep"]
 
 
 @pytest.fixture
@@ -78,3 +78,19 @@ def test_calibration_in_place_is_the_same(spark, no_broadcast):
     assert got.keys() == want.keys() and len({k[3:] for k in got}) == 16
     for k, v in want.items():
         assert got[k] == (pytest.approx(v) if v[0] is not None else v), k
+
+
+def test_coupled_roll_in_place_is_the_same(spark, no_broadcast):
+    """Missing parts and years, and a repeated cell, which raises here too."""
+    cells = panel(12)
+    for t in YEARS:
+        del cells["p", 3, t, "y"]
+    for c in CAUSES:
+        del cells["q", 2, YEARS[2], c]
+    held = J.with_values(J.gather(frame(spark, cells), ["place"], 2), "scenario", ["0", "1"])
+    args = (["scenario", "place"], "cause", CAUSES, "age", "year", YEARS[0], (AGES[0], AGES[-1]))
+    inside, plain = R.roll_coupled(held, *args, placed=True), R.roll_coupled(held, *args)
+    assert shuffles(inside) == [("place",)] and shuffles(inside.groupBy("scenario", "place", "year").sum("dead")) == [("place",)]
+    assert inside.count() == plain.count() > 0 and inside.exceptAll(plain).count() == 0
+    with pytest.raises(PySparkException, match="duplicate key"):
+        R.roll_coupled(held.union(held.limit(1)), *args, placed=True).collect()
