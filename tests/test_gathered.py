@@ -12,7 +12,7 @@ from panelspark.plans import catalog
 from test_cohort import AGES, CAUSES, YEARS, frame, panel
 
 SF = "/root/testdata/sf0.001"
-IN_PLACE = ["q33_calibration", "q29_scenario_sweep"]
+IN_PLACE = ["q33_calibration", "q29_scenario_sweep", "q29_scenario_averted"]
 
 
 @pytest.fixture
