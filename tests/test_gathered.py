@@ -12,7 +12,7 @@ from panelspark.plans import catalog
 from test_cohort import AGES, CAUSES, YEARS, frame, panel
 
 SF = "/root/testdata/sf0.001"
-IN_PLACE = ["q33_calibration", "q29_scenario_sweep", "q29_scenario_averted"]
+IN_PLACE = ["q33_calibration", "q29_scenario_sweep", "q29_scenario_averted", "q28_composition_roll"]
 
 
 @pytest.fixture
@@ -94,3 +94,16 @@ def test_coupled_roll_in_place_is_the_same(spark, no_broadcast):
     assert inside.count() == plain.count() > 0 and inside.exceptAll(plain).count() == 0
     with pytest.raises(PySparkException, match="duplicate key"):
         R.roll_coupled(held.union(held.limit(1)), *args, placed=True).collect()
+
+
+def test_composition_in_place_is_the_same(spark, no_broadcast):
+    """With a missing year, and a repeated cell, which raises here too."""
+    data = [(p, a, t, 60.0 - a, 30.0 + t % 7, 10.0 + a - t % 7, 0.01 * a, 0.02 * (t % 5)) for p in "pq" for a in range(1, 9) for t in range(2000, 2006)
+            if (p, t) != ("q", 2003)]
+    df = spark.createDataFrame(data, "place string, age int, year int, never double, current double, ex double, init double, cess double")
+    held = J.with_values(J.gather(df, ["place"], 2), "scenario", ["0", "1"])
+    args = (["scenario", "place"], "age", "year", 2000, (1, 8))
+    inside, plain = R.roll_composition(held, *args, placed=True), R.roll_composition(held, *args)
+    assert shuffles(inside) == [("place",)] and inside.count() == plain.count() > 0 and inside.exceptAll(plain).count() == 0
+    with pytest.raises(PySparkException, match="duplicate key"):
+        R.roll_composition(held.union(held.limit(1)), *args, placed=True).collect()
