@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from panelspark.constants import SMOKE_SHARE
 from panelspark.functions.scalars import case_map, ratio, signif
-from panelspark.operators.joins import null_safe_join
+from panelspark.operators.joins import look_up, null_safe_join
 from panelspark.operators.windows import running_total
 
 
@@ -126,11 +126,18 @@ def survival_prob(
 
 
 def prevalence_total(
-    pop: DataFrame, shares: DataFrame, on: list[str], keys: list[str], share: str = "current", people: str = "pop", per: float = 100.0
+    pop: DataFrame, shares: DataFrame, on: list[str], keys: list[str], share: str = "current", people: str = "pop", per: float = 100.0,
+    placed: bool = False,
 ) -> DataFrame:
-    """People in a category and their part of the population."""
+    """People in a category and their part of the population.
+
+    With ``placed`` both tables were distributed by some of ``on`` (``gather``) and meet without a shuffle; a second row of people
+    for one key raises.
+    """
     own = [k for k in keys if k in shares.columns and k not in on]
-    d = pop.join(shares.select(*on, *own, share), on).filter(F.col(people).isNotNull() & F.col(share).isNotNull())
+    parts = shares.select(*on, *own, share)
+    d = look_up(parts, pop, on, [c for c in pop.columns if c not in on]) if placed else pop.join(parts, on)
+    d = d.filter(F.col(people).isNotNull() & F.col(share).isNotNull())
     return d.groupBy(*keys).agg(
         F.sum(F.col(people) * F.col(share) / F.lit(per)).alias("cases"), F.sum(people).alias("population")
     ).withColumn("rate", ratio("cases", "population"))

@@ -12,7 +12,7 @@ from panelspark.plans import catalog
 from test_cohort import AGES, CAUSES, YEARS, frame, panel
 
 SF = "/root/testdata/sf0.001"
-IN_PLACE = ["q33_calibration", "q29_scenario_sweep", "q29_scenario_averted", "q28_composition_roll"]
+IN_PLACE = ["q33_calibration", "q29_scenario_sweep", "q29_scenario_averted", "q28_composition_roll", "q42_scenario_prevalence"]
 
 
 @pytest.fixture
@@ -107,3 +107,15 @@ def test_composition_in_place_is_the_same(spark, no_broadcast):
     assert shuffles(inside) == [("place",)] and inside.count() == plain.count() > 0 and inside.exceptAll(plain).count() == 0
     with pytest.raises(PySparkException, match="duplicate key"):
         R.roll_composition(held.union(held.limit(1)), *args, placed=True).collect()
+
+
+def test_prevalence_in_place_is_the_same(spark, no_broadcast):
+    """People or shares that are missing, or have no partner, count on neither side; NULL keys meet nothing."""
+    pop = spark.createDataFrame([("a", 1, 10.0), ("a", 2, 20.0), ("a", 3, None), ("b", 1, 30.0), (None, 1, 40.0), ("c", 1, 5.0)], "k string, t int, pop double")
+    shares = spark.createDataFrame([(s, k, t, v) for s in "01" for k, t, v in (("a", 1, 50.0), ("a", 2, None), ("a", 3, 7.0), ("b", 1, 25.0), (None, 1, 9.0), ("d", 1, 1.0))],
+                                   "scenario string, k string, t int, current double")
+    args = (["k", "t"], ["scenario", "k"])
+    inside = P.prevalence_total(J.gather(pop, ["k"], 2), J.gather(shares, ["k"], 2), *args, placed=True)
+    assert shuffles(inside) == [("k",)] * 2
+    assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, P.prevalence_total(pop, shares, *args).collect())) == [
+        ("0", "a", 5.0, 10.0, 0.5), ("0", "b", 7.5, 30.0, 0.25), ("1", "a", 5.0, 10.0, 0.5), ("1", "b", 7.5, 30.0, 0.25)]
