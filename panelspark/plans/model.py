@@ -25,7 +25,7 @@ from panelspark.operators.growth import (
     disease_transition_rates, extend_edges, measures_wide, project_forward, split_series, status_transition_rates, to_rates,
 )
 from panelspark.operators.interp import bands_to_single, gap_fill, prevalence_panel, to_unit_steps
-from panelspark.operators.joins import bounded, complete_grid, stack, upsert_scenarios, with_values
+from panelspark.operators.joins import bounded, complete_grid, look_up, stack, upsert_scenarios, with_values
 from panelspark.operators.report import (
     averted, averted_totals, baseline_join, cost_per_unit, group_shares, marginal, nonadditivity, prevalence_total, survival_prob,
 )
@@ -40,9 +40,12 @@ LAST_AGE = 5 * LAST_BAND
 
 def base_rates(
     burden: DataFrame, population: DataFrame, causes: list[str] = CAUSES, first_year: int | None = None,
-    locations: list[str] | None = None, total: str = ALL_CAUSES,
+    locations: list[str] | None = None, total: str = ALL_CAUSES, placed: bool = False,
 ) -> DataFrame:
-    """Single-age rates per cause from five-year bands, with the population of each age."""
+    """Single-age rates per cause from five-year bands, with the population of each age.
+
+    With ``placed`` both tables were distributed by location, or location and sex (``gather``), and nothing is shuffled.
+    """
     df = burden.filter(F.col("age").isin(AGE_BANDS) & F.col("cause").isin(*causes, total))
     if locations:
         df = df.filter(F.col("location").isin(locations))
@@ -54,7 +57,7 @@ def base_rates(
     totals = df.filter((F.col("cause") == total) & (F.col("measure") == "Deaths")).groupBy(*CELL).agg(
         pick("deaths").alias("all_deaths"), pick("rate")).select(
         *CELL, "all_deaths", ratio("all_deaths", F.col("rate") / F.lit(float(PER))).alias("nx"))
-    d = per_cause.filter(F.col("sick").isNotNull()).join(totals, CELL, "left")
+    d = _beside(per_cause.filter(F.col("sick").isNotNull()), totals, CELL, placed)
     d = d.withColumn("deaths", F.coalesce("deaths", F.lit(0.0))).withColumn("other", F.col("all_deaths") - F.col("deaths"))
     names = {"all_mx": "all_deaths", "dis_mx": "deaths", "bg_mx": "other", "bg_mx_all": "other", "prev_rate": "sick"}
     d = to_rates(d, names, "nx")
@@ -63,18 +66,26 @@ def base_rates(
     single = extend_edges(single, "age", 2, [1, 0])
     if first_year is not None:
         single = single.filter(F.col("year") >= first_year)
-    return single.join(population.select(*CELL, "nx"), CELL, "left")
+    return _beside(single, population.select(*CELL, "nx"), CELL, placed)
+
+
+def _beside(x: DataFrame, y: DataFrame, keys: list[str], placed: bool) -> DataFrame:
+    """Left join on keys that are unique in ``y``; in place where both were distributed by some of them."""
+    cols = [c for c in y.columns if c not in keys]
+    return look_up(x.select(*keys, *[c for c in x.columns if c not in keys]), y, keys, cols) if placed else x.join(y, keys, "left")
 
 
 # 2. Transition rates ---------------------------------------------------------
 
 def transition_rates(
     burden: DataFrame, base: DataFrame, years: range, gap: int = 5, total: str = ALL_CAUSES, open_band_from_previous: bool = True,
+    placed: bool = False,
 ) -> DataFrame:
     """Incidence and case fatality by single age, next to the base rates.
 
     The open band takes the rates of the band before it; with the flag off its rates
-    are zero, and the ages before it run towards zero.
+    are zero, and the ages before it run towards zero. With ``placed`` both tables were
+    distributed by location, or location and sex (``gather``), and nothing is shuffled.
     """
     wide = measures_wide(
         burden.filter(F.col("age").isin(AGE_BANDS)), [*CELL, "cause"], "measure", "metric", "val",
@@ -87,7 +98,8 @@ def transition_rates(
     full = full.withColumn("age", F.col("band") * 5 + 2)
     keys = ["year", *PLACE, "cause"]
     single = extend_edges(to_unit_steps(full, keys, "age", ["ir", "cf"]), "age", 2, [1, 0])
-    return base.join(single, [*CELL, "cause"], "right").filter(F.col("age") <= LAST_AGE)
+    cell = [*CELL, "cause"]
+    return (_beside(single, base, cell, True) if placed else base.join(single, cell, "right")).filter(F.col("age") <= LAST_AGE)
 
 
 # 3. Status chain ---------------------------------------------------------------

@@ -10,17 +10,17 @@ from panelspark.plans import model as M
 from panelspark.plans.panels import BURDEN_SQL, CF_TERMS, IR_TERMS, _clip, burden_long
 from panelspark.plans.registry import FACTS, query, r, round_cols
 from panelspark.plans.rolls import coupled_sql
-from panelspark.sources.tables import CAUSES, cells, line_facts, table, year_of
+from panelspark.sources.tables import CAUSES, cells, gathered_cells, line_facts, table, year_of
 
 
-def burden(spark: SparkSession, d: str) -> DataFrame:
+def burden(spark: SparkSession, d: str, counted: DataFrame | None = None) -> DataFrame:
     """Long burden table with age-band labels."""
     labels = F.array(*[F.lit(b) for b in AGE_BANDS])
-    return burden_long(spark, d).withColumn("age", F.get(labels, F.col("band"))).drop("band")
+    return burden_long(spark, d, counted).withColumn("age", F.get(labels, F.col("band"))).drop("band")
 
 
-def population(spark: SparkSession, d: str) -> DataFrame:
-    return cells(spark, d).select(
+def population(spark: SparkSession, d: str, counted: DataFrame | None = None) -> DataFrame:
+    return (cells(spark, d) if counted is None else counted).select(
         "location", "sex", "age", "year", (F.lit(10.0) * (F.col("n_a") + F.col("n_n") + F.col("n_r") + 1)).alias("nx"))
 
 
@@ -71,9 +71,10 @@ s AS (SELECT location, sex, cause, year, CAST(g.age AS INTEGER) AS age, CASE WHE
 SELECT s.location, s.sex, s.cause, s.year, s.age, {r("s.ir", 9)} AS ir, {r("s.cf", 9)} AS cf, {r("b.prev_rate", 9)} AS prev_rate, b.nx
 FROM s LEFT JOIN base_rates b ON b.location = s.location AND b.sex = s.sex AND b.cause = s.cause AND b.year = s.year AND b.age = s.age""")
 def q52(spark: SparkSession, d: str) -> DataFrame:
-    b = burden(spark, d)
-    base = M.base_rates(b, population(spark, d), CAUSES)
-    out = M.transition_rates(b, base, range(2000, 2002))
+    counted = gathered_cells(spark, d, len(CAUSES))
+    b = burden(spark, d, counted)
+    base = M.base_rates(b, population(spark, d, counted), CAUSES, placed=True)
+    out = M.transition_rates(b, base, range(2000, 2002), placed=True)
     return round_cols(out.select("location", "sex", "cause", "year", "age", "ir", "cf", "prev_rate", "nx"), 9)
 
 

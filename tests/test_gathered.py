@@ -8,11 +8,12 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from panelspark.operators import calibrate as C, cohort as R, joins as J, report as P
-from panelspark.plans import catalog
+from panelspark.plans import catalog, model as M
 from test_cohort import AGES, CAUSES, YEARS, frame, panel
+from test_model import CAUSES as DISEASES, burden_rows
 
 SF = "/root/testdata/sf0.001"
-IN_PLACE = ["q33_calibration", "q29_scenario_sweep", "q29_scenario_averted", "q28_composition_roll", "q42_scenario_prevalence"]
+IN_PLACE = ["q33_calibration", "q29_scenario_sweep", "q29_scenario_averted", "q28_composition_roll", "q42_scenario_prevalence", "q52_transition_rates_job"]
 
 
 @pytest.fixture
@@ -119,3 +120,20 @@ def test_prevalence_in_place_is_the_same(spark, no_broadcast):
     assert shuffles(inside) == [("k",)] * 2
     assert sorted(map(tuple, inside.collect())) == sorted(map(tuple, P.prevalence_total(pop, shares, *args).collect())) == [
         ("0", "a", 5.0, 10.0, 0.5), ("0", "b", 7.5, 30.0, 0.25), ("1", "a", 5.0, 10.0, 0.5), ("1", "b", 7.5, 30.0, 0.25)]
+
+
+def test_rates_in_place_are_the_same(spark, no_broadcast):
+    """Two places; bands without a total, an outcome or a population keep their rows."""
+    kinds = "measure string, location string, sex string, age string, cause string, metric string, year int, val double"
+    burden = J.with_values(spark.createDataFrame(burden_rows(), kinds).drop("location"), "location", ["p", "q"])
+    burden = burden.filter("not (location = 'q' and year = 2011 and cause = 'All causes' and age = '20-24 years')")
+    burden = burden.filter("not (location = 'p' and year = 2012 and measure = 'Deaths' and cause = 'Stomach cancer')")
+    pop = J.with_axes(spark.createDataFrame([("p",), ("q",)], "location string"), {"sex": ["Female", "Male"], "age": range(0, 90), "year": range(2009, 2020)})
+    pop = pop.withColumn("nx", F.col("age") + F.col("year") * 2.0).filter("not (location = 'p' and age = 40)")
+    def both(b, p, **kw):
+        base = M.base_rates(b, p, DISEASES, **kw)
+        return base, M.transition_rates(b, base, range(2014, 2018), **kw)
+    inside, plain = both(J.gather(burden, ["location"], 2), J.gather(pop, ["location"], 2), placed=True), both(burden, pop)
+    for got, want in zip(inside, plain):
+        assert set(shuffles(got)) == {("location",)}
+        assert got.count() == want.count() > 0 and got.exceptAll(want.select(*got.columns)).count() == 0
