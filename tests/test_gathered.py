@@ -137,3 +137,11 @@ def test_rates_in_place_are_the_same(spark, no_broadcast):
     for got, want in zip(inside, plain):
         assert set(shuffles(got)) == {("location",)}
         assert got.count() == want.count() > 0 and got.exceptAll(want.select(*got.columns)).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name,times", [("q29_scenario_sweep", 12)])
+def test_tasks_grow_with_the_repetition(spark, no_broadcast, name, times):
+    """A supplier's cells go to as many times the usual partitions as their rows are repeated."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert set(re.findall(r"Exchange hashpartitioning\(location#\w+, (\d+)\)", plan)) == {str(times * int(spark.conf.get("spark.sql.shuffle.partitions")))}
