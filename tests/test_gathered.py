@@ -140,7 +140,7 @@ def test_rates_in_place_are_the_same(spark, no_broadcast):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name,times", [("q29_scenario_sweep", 12)])
+@pytest.mark.parametrize("name,times", [("q29_scenario_sweep", 12), ("q33_calibration", 9)])
 def test_tasks_grow_with_the_repetition(spark, no_broadcast, name, times):
     """A supplier's cells go to as many times the usual partitions as their rows are repeated."""
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
